@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, simhash
+from . import ann, bpe, langid, mixing, secrets, simhash, substring
 
 QUERIES = {
     "op1_collision_ann": ann.op1,
+    "op4_language_id": langid.op4,
+    "op6_substring_dedup": substring.op6,
     "op7_simhash_covering": simhash.op7,
     "op8_source_mix": mixing.op8,
+    "op9_bpe_rank_array": bpe.op9,
+    "op10_secret_scan": secrets.op10,
 }
 
 ORACLES = {"op8_source_mix": mixing.OP8_SQL}
