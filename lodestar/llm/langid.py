@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import langid_worker
@@ -41,8 +42,6 @@ def fit(labelled: DataFrame, path: str) -> langid_worker.Model | None:
     picked = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) <= int(share * (1 << 20)))
     picked = picked.where(F.length("text") <= SAMPLE_CHARS).select("lang", "text")
     counted = picked.mapInArrow(langid_worker.count_batches, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
     top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
     counts: dict[str, Counter] = {}
     for r in counted.withColumn("at", F.row_number().over(top)).where(F.col("at") <= SAMPLE_WORDS).collect():
@@ -61,7 +60,7 @@ def predict(docs: DataFrame, model: langid_worker.Model | None, held_out: Column
     flag = F.lit(False) if held_out is None else held_out
     rows = docs.select(F.col(id_col).alias("doc_id"), flag.alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     return rows.mapInArrow(langid_worker.predict_batches(sent), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
@@ -158,7 +159,7 @@ def predict_batches(sent):
     """Columns in: doc_id, held_out, text. Out: doc_id, held_out, lang_pred, score."""
 
     def run(batches):
-        model: Model | None = sent.value
+        model: Model | None = pickle.loads(sent.value)
         for batch in batches:
             texts = batch.column("text")
             index: dict[str, int] = {}

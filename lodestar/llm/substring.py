@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def remove_reference_spans(docs: DataFrame, reference: list[str], least: int = 3
             size = 0
         shards[-1].append((text or "").encode().split())
         size += len(text or "")
-    sent = [spark.sparkContext.broadcast(pickle.dumps(substring_worker.Automaton(s))) for s in shards]
+    sent = [spark.sparkContext.broadcast(cloudpickle.dumps(substring_worker.Automaton(s))) for s in shards]
 
     def run(batches):
         automata = [pickle.loads(s.value) for s in sent]
@@ -71,7 +72,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 15, id_col: st
     # Equal rows share a key, which is right: they lose the same words.
     keyed = rows.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), "doc_id", "text")
     keys = f"k1 {kind}, k2 long"
-    # hint kept out: Spark sizes these joins itself
     found = stored(keyed.select("k1", "k2", "text").mapInArrow(substring_worker.anchor_batches(window, gram), f"{keys}, at int, anchor long"), "anchors")
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     places = stored(found.join(again, "anchor").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at")).alias("places")), "places")
