@@ -46,5 +46,12 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(bpe_worker.digest_batches(path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """Rows ``doc_id, lang, source, n_tokens, ids, decoded_sha256``, one a row of ``docs``; the digest is of the decoded ids."""
+    rows = docs.select("doc_id", "lang", "source", "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
+    return rows.mapInArrow(bpe_worker.token_batches(path), f"{kinds}, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary())

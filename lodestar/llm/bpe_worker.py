@@ -181,6 +181,28 @@ def encode_batches(path: str):
     return run
 
 
+def token_batches(path: str):
+    """Columns in: doc_id, lang, source, text. Out: the same without the text, its ids, their number and the decoded text's SHA-256."""
+
+    def run(batches):
+        import numpy as np
+
+        encoder = Encoder(path)
+        for batch in batches:
+            ids, sizes, digests = [], [], []
+            for value in batch.column("text"):
+                packed, tokens = encoder.encode(value.as_py() or "")
+                ids.append(np.frombuffer(packed, "<u4").astype(np.int32))
+                sizes.append(len(packed) // 4)
+                digests.append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("lang"), batch.column("source"), pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string())],
+                ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"],
+            )
+
+    return run
+
+
 def decode_batches(path: str):
     def run(batches):
         encoder = Encoder(path)

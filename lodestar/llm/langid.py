@@ -64,6 +64,12 @@ def predict(docs: DataFrame, model: langid_worker.Model | None, held_out: Column
     return rows.mapInArrow(langid_worker.predict_batches(sent), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: langid_worker.Model | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, whole, whose ``text`` has a language; those without a letter or below the score go."""
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    return docs.mapInArrow(langid_worker.keep_batches(sent, least), docs.schema)
+
+
 def fold(doc_id: Column) -> Column:
     """CRC-32 of the id as text, modulo 4; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4

@@ -155,37 +155,52 @@ class Model:
         return self
 
 
+def predictions(model, texts) -> tuple[list[str], list[float]]:
+    """Language and score of each text of a column."""
+    index: dict[str, int] = {}
+    rows = []
+    for value in texts:
+        text = value.as_py()
+        rows.append(np.array([index.setdefault(w, len(index)) for w in words_of(text)] if text else [], np.int64))
+    distinct = [letters_only(w) for w in index]
+    real = np.array([bool(w) for w in distinct], bool)
+    langs = model.langs if model else []
+    scores = np.zeros((len(distinct), len(langs)))
+    if len(distinct) and langs:
+        keep = np.flatnonzero(real)
+        scores[keep] = model.forward([distinct[i] for i in keep])
+    best, chance = [], []
+    for own in rows:
+        if not langs or not len(own) or not real[own].any():
+            best.append("und")
+            chance.append(0.0)
+            continue
+        total = scores[own].sum(axis=0)
+        top = int(total.argmax())
+        best.append(langs[top])
+        chance.append(float(1 / np.exp(total - total[top]).sum()))
+    return best, chance
+
+
+def keep_batches(sent, least: float):
+    """Whole rows whose text has a language with a score of ``least`` or more."""
+
+    def run(batches):
+        model = pickle.loads(sent.value)
+        for batch in batches:
+            best, chance = predictions(model, batch.column("text"))
+            yield batch.filter(pa.array([b != "und" and c >= least for b, c in zip(best, chance)], pa.bool_()))
+
+    return run
+
+
 def predict_batches(sent):
     """Columns in: doc_id, held_out, text. Out: doc_id, held_out, lang_pred, score."""
 
     def run(batches):
         model: Model | None = pickle.loads(sent.value)
         for batch in batches:
-            texts = batch.column("text")
-            index: dict[str, int] = {}
-            rows, sizes = [], []
-            for value in texts:
-                text = value.as_py()
-                own = [index.setdefault(w, len(index)) for w in words_of(text)] if text else []
-                rows.append(np.array(own, np.int64))
-                sizes.append(len(own))
-            distinct = [letters_only(w) for w in index]
-            real = np.array([bool(w) for w in distinct], bool)
-            langs = model.langs if model else []
-            scores = np.zeros((len(distinct), len(langs)))
-            if len(distinct) and langs:
-                keep = np.flatnonzero(real)
-                scores[keep] = model.forward([distinct[i] for i in keep])
-            best, chance = [], []
-            for own in rows:
-                if not langs or not len(own) or not real[own].any():
-                    best.append("und")
-                    chance.append(0.0)
-                    continue
-                total = scores[own].sum(axis=0)
-                top = int(total.argmax())
-                best.append(langs[top])
-                chance.append(float(1 / np.exp(total - total[top]).sum()))
+            best, chance = predictions(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(best, pa.string()), pa.array(chance, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stored
 
 #: Buckets of the seeded order in each source; only the bucket that a target falls into is ordered row by row.
 BUCKETS_HEX = 3
@@ -48,8 +48,8 @@ def water_fill(sources: DataFrame, share: float = 1.5, max_epochs: int = 2) -> D
     return rows.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
-    """Rows ``doc_id, source, size, source_size, target, copies, taken`` for the rows ``doc_id, source, size`` given.
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, carry: str | None = None) -> DataFrame:
+    """Rows ``doc_id, source, size, source_size, target, copies, taken`` (and ``carry``) for the rows ``doc_id, source, size`` given.
 
     Each source repeats floor(target / source_size) times whole. The fraction left takes whole documents in a seeded
     order (MD5 of seed and doc_id, then size) up to the one with whose middle the target is passed, so a source's words
@@ -58,10 +58,12 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2)
     Null doc_ids count as the empty string; sizes of 0 are taken no further than whole repetitions; equal rows may
     stand for one another. No rows give no rows.
     """
-    rows = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    more = [carry] if carry else []
+    rows = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *more)
     rows = rows.withColumn("place", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = rows.withColumn("bucket", F.substring("place", 1, BUCKETS_HEX))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    # Few and narrow rows, one a source and bucket, which three places below read.
+    buckets = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
     sources = water_fill(cycle_weights(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights), share, max_epochs)
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = sources.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -79,7 +81,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2)
     edge = joined.where("state = -1").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("more", (F.col("at") + F.col("size") / 2 <= F.col("extra")).cast("long")).drop("at")
     both = edge.unionByName(joined.where("state <> -1").withColumn("more", F.col("state").cast("long")))
-    return both.withColumn("copies", F.col("whole") + F.col("more")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return both.withColumn("copies", F.col("whole") + F.col("more")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *more)
 
 
 def _few(cut: DataFrame, limit: int = 200_000) -> bool:
@@ -87,6 +89,13 @@ def _few(cut: DataFrame, limit: int = 200_000) -> bool:
     return cut.limit(limit + 1).count() <= limit
 
 
+def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs`` (doc_id, source, text and others), each as often as the mix takes it."""
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))
+    found = mix(rows, seed, carry="_row").where("copies > 0")
+    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

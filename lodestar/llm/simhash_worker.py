@@ -75,30 +75,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def word_set_batches(copies: int):
-    """For the pipeline: ``copies`` independent fingerprints of the set of words, and the sorted set of 5-word shingles."""
+    """Columns in: node, text. Out: node and ``copies`` independent fingerprints of the set of its words."""
 
     def run(batches):
+        steps = np.arange(1, copies + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            keys, prints, shingles = batch.column("key"), [], []
+            prints = []
             for value in batch.column("text"):
                 text = value.as_py()
                 found = set(text.encode().translate(LOWER).split()) if text else ()
                 base = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), np.uint64, len(found))
-                own = []
-                for c in range(copies):
-                    with np.errstate(over="ignore"):
-                        own.append(mix64(base + np.uint64(0x9E3779B97F4A7C15) * np.uint64(c + 1)))
-                prints.append(majority(np.concatenate(own), [len(found)] * copies).view(np.int64).tolist())
-                shingles.append(np.unique(np.asarray(shingle_hashes(text, 5), dtype=np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(prints, pa.list_(pa.int64())), pa.array(shingles, pa.binary())], ["key", "fps", "shingles"]
-            )
+                with np.errstate(over="ignore"):
+                    all_hashes = mix64((base[None, :] + steps[:, None]).ravel())
+                prints.append(majority(all_hashes, [len(found)] * copies).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(prints, pa.list_(pa.int64()))], ["node", "fps"])
+
+    return run
+
+
+def shingle_batches(words: int):
+    """Columns in: node, text. Out: node and the sorted, packed set of its shingles' hashes."""
+
+    def run(batches):
+        for batch in batches:
+            packed = [np.unique(np.asarray(shingle_hashes(v.as_py(), words), dtype=np.uint64)).tobytes() for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "shingles"])
 
     return run
 
 
 def jaccard_batches(batches):
-    """Likeness of two sets of shingles, as sorted packed hashes."""
+    """Likeness of two sets of shingles, as sorted packed hashes; 1 for two empty sets."""
     for batch in batches:
         out = []
         for a, b in zip(batch.column("sa"), batch.column("sb")):
