@@ -27,18 +27,29 @@ def digests(text: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(1)), lambda p: F.xxhash64(p)))
 
 
-def _entries(digests: str, salt: str) -> str:
-    return f"transform({digests}, d -> named_struct('d', d, 'h', xxhash64(d, {salt})))"
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _entries(digests: str, salt: str, groups: str = "1") -> str:
+    """Digest, check hash and group of each digest."""
+    group = "0L" if groups == "1" else f"pmod(xxhash64(d, 100 + {salt}), {groups})"
+    return f"transform({digests}, d -> named_struct('d', d, 'h', xxhash64(d, {salt}), 'g', {group}))"
 
 
 def _cells(entries: str) -> str:
-    """24 cells; cell i takes the entries whose three bits of table i div 8 are i mod 8."""
+    """24 cells of entries bound to a name; cell i takes those whose three bits of table i div 8 are i mod 8."""
     return (
         f"transform(sequence(0, 23), i -> aggregate(filter({entries}, e -> (shiftrightunsigned(e.h, 3 * shiftright(i, 3)) & 7L) = i % 8), "
         "named_struct('n', 0, 'k', 0L, 'h', 0L), (a, e) -> named_struct('n', a.n + 1, 'k', a.k ^ e.d, 'h', a.h ^ e.h)))"
     )
 
 
+def _sketch(digests: str) -> str:
+    return _let("en", _entries(digests, "0"), _cells("en"))
+
+
 def _less(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
@@ -50,34 +61,31 @@ def _peel(difference: str, salt: str) -> str:
         "transform(s.c, (x, i) -> aggregate(filter(u, e -> (shiftrightunsigned(e.h, 3 * shiftright(i, 3)) & 7L) = i % 8), x, "
         "(a, e) -> named_struct('n', a.n - e.n, 'k', a.k ^ e.k, 'h', a.h ^ e.h)))"
     )
-    step = (
-        f"element_at(transform(array({pure}), u -> if(size(u) = 0, s, named_struct('c', {out}, "
-        "'p', s.p + size(filter(u, e -> e.n = 1)), 'q', s.q + size(filter(u, e -> e.n = -1))))), 1)"
-    )
+    found = f"named_struct('c', {out}, 'p', s.p + size(filter(u, e -> e.n = 1)), 'q', s.q + size(filter(u, e -> e.n = -1)), 'on', true)"
+    still = "named_struct('c', s.c, 'p', s.p, 'q', s.q, 'on', false)"
+    step = f"if(s.on, {_let('u', pure, f'if(size(u) = 0, {still}, {found})')}, s)"
     return (
-        f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {difference}, 'p', 0, 'q', 0), (s, r) -> {step}, "
+        f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {difference}, 'p', 0, 'q', 0, 'on', true), (s, r) -> {step}, "
         "s -> named_struct('p', s.p, 'q', s.q, 'ok', forall(s.c, x -> x.n = 0 AND x.k = 0L AND x.h = 0L)))"
     )
 
 
 def _first_try(a: str, b: str) -> str:
     """From the two base sketches; not tried if hardly a cell is empty, which is beyond what 24 cells can give back."""
-    difference = _less(a, b)
-    return (
-        f"element_at(transform(array({difference}), z -> if(size(filter(z, x -> x.n = 0 AND x.k = 0L AND x.h = 0L)) < 3, "
-        f"named_struct('p', 0, 'q', 0, 'ok', false), {_peel('z', '0')})), 1)"
-    )
+    full = "size(filter(z, x -> x.n = 0 AND x.k = 0L AND x.h = 0L)) < 3"
+    return _let("z", _less(a, b), f"if({full}, named_struct('p', 0, 'q', 0, 'ok', false), {_peel('z', '0')})")
 
 
 def _larger(a: str, b: str, salt: int) -> str:
     """Split by hash into sketches for LOAD digests each; ``ok`` if all of them give everything back."""
-    groups = f"(size({a}) + size({b})) div {LOAD} + 1"
-    part = lambda d: f"filter({d}, d -> pmod(xxhash64(d, {salt + 100}), {groups}) = g)"
-    one = _peel(_less(_cells(_entries(part(a), str(salt))), _cells(_entries(part(b), str(salt)))), str(salt))
-    return (
-        f"aggregate(transform(sequence(0, {groups} - 1), g -> {one}), named_struct('p', 0, 'q', 0, 'ok', true), "
-        "(s, x) -> named_struct('p', s.p + x.p, 'q', s.q + x.q, 'ok', s.ok AND x.ok))"
+    groups = f"((size({a}) + size({b})) div {LOAD} + 1)"
+    of = lambda name: f"filter({name}, e -> e.g = g)"
+    one = _let("fa", of("ea"), _let("fb", of("eb"), _peel(_less(_cells("fa"), _cells("fb")), str(salt))))
+    summed = (
+        f"aggregate(transform(sequence(0L, gs - 1), g -> {one}), named_struct('p', 0, 'q', 0, 'ok', true), "
+        "(t, x) -> named_struct('p', t.p + x.p, 'q', t.q + x.q, 'ok', t.ok AND x.ok))"
     )
+    return _let("gs", groups, _let("ea", _entries(a, str(salt), "gs"), _let("eb", _entries(b, str(salt), "gs"), summed)))
 
 
 def likeness(rows: DataFrame, name: str, a: str, b: str, cells_a: str, cells_b: str) -> DataFrame:
@@ -147,7 +155,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Rows ``doc_id, digests, cells, fingerprint``: the sketch of each text; a null text counts as empty, with an empty sketch."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", digests("text").alias("digests"))
-    rows = rows.withColumn("cells", F.expr(_cells(_entries("digests", "0"))))
+    rows = rows.withColumn("cells", F.expr(_sketch("digests")))
     return rows.withColumn("fingerprint", printed("cells"))
 
 
@@ -166,7 +174,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), *(digests(t).alias(f"d_{k}") for k, t in kinds.items())
     )
-    rows = rows.select("*", *(F.expr(_cells(_entries(f"d_{k}", "0"))).alias(f"c_{k}") for k in kinds))
+    rows = rows.select("*", *(F.expr(_sketch(f"d_{k}")).alias(f"c_{k}") for k in kinds))
     rows = likeness(rows, "near_edited", "d_own", "d_new", "c_own", "c_new")
     rows = likeness(rows, "near_next", "d_own", "d_nxt", "c_own", "c_nxt")
     return rows.select("doc_id", "n_chars", "edited_sha256", printed("c_own").alias("fingerprint"), printed("c_new").alias("edited_fingerprint"), "near_edited", "near_next")
