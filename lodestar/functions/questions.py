@@ -168,3 +168,22 @@ def domain_hints(question: Column) -> Column:
     names = F.transform(some, lambda h: h["d"])
     clear = (some[0]["n"] >= 2) | (F.size(some) == 1)
     return F.when(F.size(some) == 0, F.lit(None)).when(clear, F.struct(F.lit(0.05).alias("boost"), F.slice(names, 1, 1).alias("targets"))).otherwise(F.struct(F.lit(0.03).alias("boost"), names.alias("targets")))
+
+
+#: What a corpus' profile stands for: by complexity, accuracy, tolerance of invention, and priority.
+PROFILE = {
+    "complexity": {"low": (180, 1, 0.15, 3, 2), "medium": (120, 2, 0.25, 6, 3), "high": (80, 3, 0.40, 10, 4)},
+    "accuracy": {"critical": 0.78, "high": 0.72, "medium": 0.65, "low": 0.55},
+    "invention": {"zero": "strict", "low": "strict", "medium": "balanced", "high": "creative"},
+    "priority": {"precision": (1.6, 0.8), "balanced": (1.0, 1.0), "speed": (0.6, 1.3)},
+}
+
+
+def profile_params(complexity: str = "medium", accuracy: str = "medium", invention: str = "medium", priority: str = "balanced") -> dict:
+    """Chunk size, derivative depth, adapter strength, thresholds and biases of a profile; KeyError for unknown values."""
+    size, depth, strength, metadata, k = PROFILE["complexity"][complexity]
+    derivative, balance = PROFILE["priority"][priority]
+    return {
+        "chunk_size": size, "derivative_depth": depth, "most_sentences": 4 * depth, "adapter_strength": strength, "metadata_fields": metadata, "k_per_level": k,
+        "threshold": PROFILE["accuracy"][accuracy], "mode": PROFILE["invention"][invention], "derivative_bias": derivative, "level_balance": balance,
+    }

@@ -75,7 +75,7 @@ def careful_sentences(text: Column) -> Column:
     empty = F.array().cast("array<string>")
 
     def of_line(line: Column) -> Column:
-        parts = F.filter(F.transform(F.split(line, r"(?<=[.!?])\s+(?=[A-Z\d\"'(\[])"), F.trim), lambda s: s != "")
+        parts = F.filter(F.transform(F.split(line, r"(?<=[.!?])\s+(?=[A-Z\d\"'(\[])"), lambda x: F.trim(x)), lambda s: s != "")
 
         def add(done: Column, part: Column) -> Column:
             last = F.try_element_at(done, F.lit(-1))
@@ -84,7 +84,7 @@ def careful_sentences(text: Column) -> Column:
 
         return F.when(line.startswith("#"), F.array(line)).otherwise(F.aggregate(parts, empty, add))
 
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda s: s != "")
     return F.flatten(F.transform(lines, of_line))
 
 
@@ -142,7 +142,8 @@ PANEL = {
 def panel_votes(text: Column) -> dict[str, Column]:
     """One vote from 0 to 1 for each expert: word hits over 5."""
     tokens = plain_tokens(text)
-    return {name: F.least(F.size(F.filter(tokens, lambda t, w=words: t.isin(*w.split()))) / F.lit(5.0), F.lit(1.0)) for name, (_, _, words) in PANEL.items()}
+    hits = lambda words: F.size(F.filter(tokens, lambda t: t.isin(*words.split())))
+    return {name: F.least(hits(words) / F.lit(5.0), F.lit(1.0)) for name, (_, _, words) in PANEL.items()}
 
 
 def panel_mean(votes: dict[str, Column]) -> Column:
@@ -191,7 +192,7 @@ def markdown_title(text: Column, stem: Column) -> Column:
 
 def parsed_title(text: Column, fallback: Column) -> Column:
     """A ``#`` line among the first 20, else the first of 10 lines longer than 3 characters; 120 characters at most."""
-    lines = F.transform(F.split(F.trim(text), "\n"), F.trim)
+    lines = F.transform(F.split(F.trim(text), "\n"), lambda x: F.trim(x))
     marked = F.filter(F.slice(lines, 1, 20), lambda s: s.startswith("#"))
     bare = F.filter(F.transform(marked, lambda s: F.trim(F.ltrim(s, F.lit("#")))), lambda s: s != "")
     long = F.filter(F.slice(lines, 1, 10), lambda s: F.length(s) > 3)

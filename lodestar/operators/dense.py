@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vectors import cosine
 from .lexical import Tokens, top_k
 
 #: Queries that are held at once: 2,048 x 1,024 doubles are 16 MB.
@@ -96,3 +98,42 @@ def sparse_dot(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Top k by the dot product of two tables from ``learned_sparse``; zero and negative products of met tokens count too."""
     met = docs.select(F.col("id").alias("doc_id"), "token", F.col("weight").alias("dw")).join(queries.select(F.col("id").alias("query_id"), "token", F.col("weight").alias("qw")), "token")
     return top_k(met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("dw") * F.col("qw")), 6).alias("score")), k)
+
+
+def embedded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]], dim: int, prefix: str = "") -> DataFrame:
+    """``rows`` (with ``text``) and ``vec`` from a plug-in model, which each worker loads once.
+
+    Each distinct text is embedded once, behind ``prefix`` (an instruction for questions, nothing for documents). Where
+    a batch fails, its texts are tried one by one, and those that fail get a zero vector; so do null texts.
+    """
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            said = [prefix + (t or "") for t in texts]
+            try:
+                out = [list(map(float, v)) for v in model(said)]
+            except Exception:
+                out = [_one(model, t, dim) for t in said]
+            yield pd.Series([v if t is not None else [0.0] * dim for v, t in zip(out, texts)])
+
+    distinct = rows.select(F.col("text").alias("_text")).distinct().withColumn("vec", embed("_text"))
+    return rows.join(distinct, F.col("text").eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
+def _one(model, text: str, dim: int) -> list[float]:
+    try:
+        return list(map(float, model([text])[0]))
+    except Exception:
+        return [0.0] * dim
+
+
+def instructed(task: str) -> str:
+    """The prefix that tells a model what a question is asked for."""
+    return f"Instruct: {task}\nQuery: "
+
+
+def pairwise(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b: vectors) and their ``cosine``."""
+    return pairs.withColumn("cosine", cosine(F.col("a"), F.col("b")))

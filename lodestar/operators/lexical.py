@@ -153,7 +153,7 @@ DECOMPOSE = r"(?i)\b(?:and|or|as well as|in addition to|along with)\b|[;,]"
 
 def sub_queries(queries: DataFrame) -> DataFrame:
     """``query_id, part, query``: aspects of queries that have several, of 5 characters or more."""
-    parts = F.filter(F.transform(F.split("query", DECOMPOSE), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("query", DECOMPOSE), lambda x: F.trim(x)), lambda p: p != "")
     rows = queries.select("query_id", parts.alias("parts")).where(F.size("parts") > 1)
     return rows.select("query_id", F.posexplode("parts").alias("part", "query")).where(F.length("query") >= 5)
 

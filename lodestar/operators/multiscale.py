@@ -164,3 +164,52 @@ def diversify(ranked: DataFrame, k: int = 10, weight: float = 0.4) -> DataFrame:
     chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda s: s["done"])
     rows = listed.select("query_id", F.posexplode(chosen).alias("rank", "c"))
     return rows.select("query_id", F.col("c.doc_id").alias("doc_id"), (-F.col("c.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+
+
+#: Share of a document's adapter that its vectors of each level take.
+ADAPTED = {2: 1.0, 1: 0.8, 0: 0.6}
+
+
+def adapted(entries: DataFrame, adapters: DataFrame, strength: float = 0.25) -> DataFrame:
+    """Entries moved towards their document's adapter (doc_id, adapter: a unit vector) and scaled to length 1 again."""
+    from ..functions.vectors import normalised
+
+    share = F.when(F.col("level") == 2, ADAPTED[2]).when(F.col("level") == 1, ADAPTED[1]).otherwise(ADAPTED[0])
+    rows = entries.withColumn("_doc", F.coalesce("parent", "entry_id")).join(adapters.select(F.col("doc_id").alias("_doc"), "adapter"), "_doc", "left").withColumn("_share", share)
+    moved = F.zip_with(F.col("vec").cast("array<double>"), F.col("adapter").cast("array<double>"), lambda x, a: x + a * F.lit(strength) * F.col("_share"))
+    return rows.withColumn("vec", normalised(F.coalesce(F.when(F.col("adapter").isNotNull(), moved), F.col("vec").cast("array<double>")))).drop("_doc", "_share", "adapter")
+
+
+def build(docs: DataFrame, embed, adapters: DataFrame | None = None, strength: float = 0.25, most_sentences: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries and derivatives of documents: cut at three scales, embedded by ``embed(rows with text) -> rows with vec``.
+
+    Parts are embedded behind the document's title, where there is one.
+    """
+    from .chunking import scales
+
+    cut = scales(docs)
+    if most_sentences:
+        cut = cut.where((F.col("level") > 0) | (F.col("position") < most_sentences))
+    title = docs.select("doc_id", "title") if "title" in docs.columns else docs.select("doc_id", F.lit("").alias("title"))
+    mark = F.element_at(F.array(F.lit("_s"), F.lit("_p")), F.col("level") + 1)
+    rows = cut.join(title, "doc_id").select(
+        F.when(F.col("level") == 2, F.col("doc_id").cast("string")).otherwise(F.concat(F.col("doc_id").cast("string"), F.when(F.col("level") < 2, mark), F.col("position"))).alias("entry_id"),
+        "level", F.when(F.col("level") < 2, F.col("doc_id").cast("string")).alias("parent"),
+        F.when((F.coalesce("title", F.lit("")) != "") & (F.col("level") < 2), F.concat("title", F.lit(": "), "text")).otherwise(F.col("text")).alias("text"),
+    )
+    entries = embed(rows).select("entry_id", "level", "parent", "vec")
+    if adapters is not None:
+        entries = adapted(entries, adapters, strength)
+    return entries, derivatives(entries)
+
+
+def adaptive(entries: DataFrame, queries: DataFrame, derived: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """Documents by each query's kind: documents alone for specifications, fused levels for syntheses, else re-ranked."""
+    flat = top_k(similarities(entries.where("level = 2"), queries.where("kind = 'specification'")).select("query_id", "doc_id", F.round("sim", 6).alias("score")), k)
+    fused = fused_levels(entries, queries.where("kind = 'synthesis'"), derived, k)
+    rest = reranked(entries, queries.where("kind not in ('specification', 'synthesis')"), derived, k)
+    return flat.unionByName(fused).unionByName(rest)
+
+
+def statistics(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("level").agg(F.count("*").alias("entries"), F.max(F.size("vec")).alias("dim"))

@@ -218,3 +218,28 @@ def lifecycle(observations: DataFrame, **rules) -> DataFrame:
 def fused_weights(lists: dict[str, DataFrame], weights: dict[str, float], rrf_k: float) -> DataFrame:
     """The fused list that a calibrated point stands for."""
     return rrf(lists, rrf_k, weights)
+
+
+def piece_profile(docs: DataFrame, pieces) -> DataFrame:
+    """One row: share of words of three pieces or more, mean pieces, share of technical and of split words.
+
+    ``pieces(list of words) -> list of counts`` is a plug-in tokenizer; it sees each distinct word once.
+    """
+    import pandas as pd
+
+    @F.pandas_udf("int")
+    def counted(words: pd.Series) -> pd.Series:
+        return pd.Series(pieces(words.tolist()))
+
+    words = docs.select(F.explode(T.found(F.col("text"), r"\w+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    rows = words.withColumn("p", counted("word"))
+    share = lambda met: F.round(F.sum(F.when(met, F.col("n")).otherwise(0)) / F.sum("n"), 6)
+    technical = F.col("word").rlike("^" + T.TECHNICAL + "$") | (F.length("word") > 12)
+    return rows.agg(share(F.col("p") >= 3).alias("fragmented"), F.round(F.sum(F.col("p") * F.col("n")) / F.sum("n"), 6).alias("mean_pieces"), share(technical).alias("technical"), share(F.col("p") > 1).alias("unknown"))
+
+
+def run_observation(n_evidence: Column, limit: int, seconds: Column) -> Column:
+    """Fitness of a technique's run: evidence found, and time left of five seconds; the other dimensions count half."""
+    half = F.lit(0.5)
+    found = F.least(n_evidence / F.lit(float(max(limit, 1))), F.lit(1.0))
+    return fitness({"retrieval_quality": found, "type_affinity": half, "confidence_lift": half, "diversity": half, "latency_efficiency": F.greatest(1 - seconds / 5, F.lit(0.0)), "recency": half})

@@ -242,8 +242,8 @@ def antiflood(spark, d):
 
 EXPANSION_SQL = f"""{EVIDENCE_SQL}, t AS (SELECT query_id, rank, unnest({COMPOUND.format('text')}) AS term, generate_subscripts({COMPOUND.format('text')}, 1) AS pos FROM ev JOIN documents USING (doc_id) WHERE rank <= 3),
 n AS (SELECT query_id, term, count(*) AS n, min(rank * 10000000 + pos) AS first FROM t WHERE len(term) >= 3 AND regexp_matches(term, '[A-Za-z]') AND term NOT IN ({", ".join(repr(w) for w in lexical.EXPANSION_STOPWORDS)}) GROUP BY ALL),
-k AS (SELECT n.*, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first, term) AS at FROM n ANTI JOIN bm_q USING (query_id, term) QUALIFY at <= 8)
-SELECT query_id, string_agg(term, ' ' ORDER BY at) AS terms FROM k GROUP BY query_id"""
+k AS (SELECT n.*, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first, term) AS nth FROM n ANTI JOIN bm_q USING (query_id, term) QUALIFY nth <= 8)
+SELECT query_id, string_agg(term, ' ' ORDER BY nth) AS terms FROM k GROUP BY query_id"""
 
 
 @query(EXPANSION_SQL)
@@ -258,7 +258,7 @@ def matched_terms(spark, d):
     return found.select("query_id", "doc_id", F.array_join("matched_terms", " ").alias("matched"))
 
 
-PARTS_SQL = r"""SELECT query_id, at - 1 AS part, query FROM (SELECT query_id, unnest(p) AS query, generate_subscripts(p, 1) AS at FROM (SELECT item_id AS query_id,
+PARTS_SQL = r"""SELECT query_id, nth - 1 AS part, query FROM (SELECT query_id, unnest(p) AS query, generate_subscripts(p, 1) AS nth FROM (SELECT item_id AS query_id,
   list_filter(list_transform(string_split_regex(text, '(?i)\b(?:and|or|as well as|in addition to|along with)\b|[;,]'), lambda p: trim(p)), lambda p: p <> '') AS p FROM benchmark) WHERE len(p) > 1) WHERE len(query) >= 5"""
 
 
@@ -277,8 +277,8 @@ def decompose_merge(spark, d):
     f"""{EVIDENCE_SQL}, t AS (SELECT query_id, rank, unnest({PLAIN.format('text')}) AS term, generate_subscripts({PLAIN.format('text')}, 1) AS pos FROM ev JOIN documents USING (doc_id) WHERE rank <= 5),
 own AS (SELECT DISTINCT item_id AS query_id, unnest({PLAIN.format('text')}) AS term FROM benchmark),
 n AS (SELECT query_id, term, count(*) AS n, min(rank * 10000000 + pos) AS first FROM t WHERE len(term) >= 3 AND regexp_matches(term, '[A-Za-z]') AND term NOT IN ({", ".join(repr(w) for w in lexical.EXPANSION_STOPWORDS)}) GROUP BY ALL),
-k AS (SELECT n.*, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first, term) AS at FROM n ANTI JOIN own USING (query_id, term) QUALIFY at <= 8),
-again AS (SELECT query_id, trim(text) || ' ' || string_agg(term, ' ' ORDER BY at) AS query FROM k JOIN benchmark ON item_id = query_id GROUP BY query_id, text), {bm25_sql('hop', 20, PLAIN, 'FROM again')},
+k AS (SELECT n.*, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first, term) AS nth FROM n ANTI JOIN own USING (query_id, term) QUALIFY nth <= 8),
+again AS (SELECT query_id, trim(text) || ' ' || string_agg(term, ' ' ORDER BY nth) AS query FROM k JOIN benchmark ON item_id = query_id GROUP BY query_id, text), {bm25_sql('hop', 20, PLAIN, 'FROM again')},
 x AS (SELECT query_id, doc_id, score, 1 AS hop, rank AS prev FROM ev UNION ALL SELECT query_id, doc_id, score, 2, 1000000 FROM hop ANTI JOIN ev USING (query_id, doc_id))
 SELECT query_id, doc_id, score, CAST(hop AS INT) AS hop, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prev, doc_id) - 1 AS INT) AS rank FROM x QUALIFY rank < 10"""
 )

@@ -107,7 +107,7 @@ def stable_id(spark, d):
     return documents(spark, d).select("doc_id", T.stable_id(F.col("source"), F.col("text")).alias("id"))
 
 
-@query(f"SELECT doc_id, at - 1 AS position, s AS text FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS at FROM (SELECT doc_id, {_split.format(x='text')} AS s FROM documents))")
+@query(f"SELECT doc_id, nth - 1 AS position, s AS text FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS nth FROM (SELECT doc_id, {_split.format(x='text')} AS s FROM documents))")
 def sentence_split(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("position", "text")).withColumn("position", F.col("position").cast("long"))
 
@@ -136,7 +136,7 @@ def page_slugs(spark, d):
 # --- Chunks ----------------------------------------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, at - 1 AS position, p AS text FROM (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS at FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))")
+@query(r"SELECT doc_id, nth - 1 AS position, p AS text FROM (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS nth FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))")
 def paragraph_split(spark, d):
     docs = documents(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return chunking.paragraphs(docs, 10**9).withColumn("position", F.col("position").cast("long"))
@@ -162,7 +162,7 @@ def careful_sentences(spark, d):
     return chunking.sentence_chunks(documents(spark, d))
 
 
-_cuts = f"SELECT doc_id, at - 1 AS position, s AS text FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS at FROM (SELECT doc_id, {_split.format(x='text')} AS s FROM documents))"
+_cuts = f"SELECT doc_id, nth - 1 AS position, s AS text FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS nth FROM (SELECT doc_id, {_split.format(x='text')} AS s FROM documents))"
 
 
 @query(
@@ -316,8 +316,8 @@ _content = f"list_distinct(list_filter({PLAIN.format('{}')}, lambda t: NOT list_
 
 @query(
     f"""{EVIDENCE_SQL}, a AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'In general, more or less: ' ELSE '' END || text AS answer FROM benchmark),
-at AS (SELECT query_id, unnest({_content.format('answer')}) AS term FROM a), et AS (SELECT DISTINCT query_id, unnest({_content.format('text')}) AS term FROM ev JOIN documents USING (doc_id)),
-g AS (SELECT query_id, count(et.term) / count(*) AS share FROM at LEFT JOIN et USING (query_id, term) GROUP BY query_id), s AS (SELECT a.query_id, coalesce(share, 0) AS share, greatest(1 - 0.15 * ({_generic}), 0) AS skeptic FROM a LEFT JOIN g USING (query_id))
+ans AS (SELECT query_id, unnest({_content.format('answer')}) AS term FROM a), et AS (SELECT DISTINCT query_id, unnest({_content.format('text')}) AS term FROM ev JOIN documents USING (doc_id)),
+g AS (SELECT query_id, count(et.term) / count(*) AS share FROM ans LEFT JOIN et USING (query_id, term) GROUP BY query_id), s AS (SELECT a.query_id, coalesce(share, 0) AS share, greatest(1 - 0.15 * ({_generic}), 0) AS skeptic FROM a LEFT JOIN g USING (query_id))
 SELECT query_id, round(share, 6) AS sovereignty, CAST(round(skeptic, 6) AS DOUBLE) AS skeptic, round(0.6 * share + 0.4 * skeptic, 6) AS overall FROM s"""
 )
 def tension(spark, d):
@@ -529,8 +529,8 @@ def pseudo(spark, d):
 PSEUDO_SQL = f"""p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(t) AS term FROM (SELECT doc_id, {PLAIN.format('text')} AS t, len({PLAIN.format('text')}) AS dl FROM documents)) GROUP BY ALL),
 tr AS (SELECT term, count(*) AS df FROM p WHERE doc_id % 5 <> 0 GROUP BY term),
 sc AS (SELECT doc_id, term, round(tf / dl * ln((SELECT count(*) FROM documents WHERE doc_id % 5 <> 0) / (1 + coalesce(df, 0))), 6) AS s FROM p LEFT JOIN tr USING (term) WHERE doc_id % 5 = 0),
-top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, term) AS at FROM sc QUALIFY at <= 5),
-pq AS (SELECT doc_id AS query_id, string_agg(term, ' ' ORDER BY at) AS query FROM top GROUP BY doc_id ORDER BY doc_id LIMIT 20)"""
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, term) AS nth FROM sc QUALIFY nth <= 5),
+pq AS (SELECT doc_id AS query_id, string_agg(term, ' ' ORDER BY nth) AS query FROM top GROUP BY doc_id ORDER BY doc_id LIMIT 20)"""
 
 
 @query(f"WITH {PSEUDO_SQL} SELECT query_id, query, query_id AS doc_id FROM pq")

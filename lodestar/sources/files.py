@@ -160,7 +160,7 @@ def read_code(spark: SparkSession, path: str, most: int = 80, chars: int = 1_400
     files = [f for f in _inside(root, CODE) if not set(Path(f).relative_to(root).parts) & set(SKIPPED)][:most]
     if not files:
         return spark.createDataFrame([], "path string, language string, category string, slug string, snippet string")
-    lines = F.filter(F.transform(F.split(F.col("content").cast("string"), "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x)), lambda s: s != "")
     source = _relative(root)
     rows = spark.read.format("binaryFile").load(files)
     return rows.select(source.alias("path"), F.regexp_extract("path", r"\.([^.]+)$", 1).alias("language"), path_category(source).alias("category"), T.slug(_stem(source)).alias("slug"), F.substring(F.array_join(lines, "\n"), 1, chars).alias("snippet"))
