@@ -20,7 +20,7 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(sound, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 48, threshold: float = 0.6, extra: int = 250, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 192, threshold: float = 0.6, extra: float = 0.03, seed: int = 7) -> DataFrame:
     """Rows ``query_id, rank, vec_id, score``: the k vectors of largest cosine found for each query, nearest first.
 
     Both tables have ``vec_id`` (long) and ``embedding`` (array of floats or doubles); other columns are ignored. Rows
@@ -42,7 +42,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 48, thr
     right = asked.withColumn("row", F.xxhash64("vec_id", "v")).withColumn("block", F.pmod("row", F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     keys = ["dim", "shard", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        lambda a, b: ann_worker.search_group(k, m, threshold, extra, seed)(a, b), "query_row long, query_id long, vec_id long, score double"
+        ann_worker.search_group(k, m, threshold, extra, seed), "query_row long, query_id long, vec_id long, score double"
     )
     order = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,67 +5,63 @@ from __future__ import annotations
 import numpy as np
 
 
+#: First half width of a window, for vectors of length 1, and its growth; queries whose collisions are counted together.
+START, GROWTH, TOGETHER = 0.8, 1.1, 128
+
+
 def projections(seed: int, dim: int, m: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, m))
 
 
-def search(ids, vectors, query_ids, queries, k: int, m: int, threshold: float, extra: int, seed: int):
+def search(ids, vectors, query_ids, queries, k: int, m: int, threshold: float, extra: float, seed: int):
     """The k nearest of one shard for each query, as (query's index, row's index, cosine).
 
     Vectors are scaled to length 1, where the nearest by distance are those of the largest cosine. Each of m seeded
-    projections is one sorted array. A query's windows grow round its own projections, by doubling, and each vector
-    that a window newly reaches counts a collision. Those past ``threshold * m`` are verified. The search ends when k
-    verified ones lie within the radius, or ``k + extra`` are verified at least, or all are.
+    projections is one sorted array. A query's windows grow round its own projections, step by step, and each vector
+    that a window newly reaches counts a collision. The search ends when ``k + extra * rows`` vectors have collided
+    ``threshold * m`` times, or all windows hold everything; all vectors past the threshold are verified.
     """
     n, dim = vectors.shape
     length = np.sqrt((vectors * vectors).sum(1))
-    unit = vectors / length[:, None]
     axes = projections(seed, dim, m)
-    spots = unit @ axes
-    order = np.argsort(spots, axis=0, kind="stable").T.astype(np.int64)
-    values = np.sort(spots, axis=0).T.copy()
-    need, enough = int(np.ceil(threshold * m)), min(n, k + extra)
+    spots = (vectors / length[:, None]) @ axes
+    order = np.ascontiguousarray(np.argsort(spots, axis=0, kind="stable").T)
+    values = np.ascontiguousarray(np.sort(spots, axis=0).T)
+    need, enough = int(np.ceil(threshold * m)), k + int(np.ceil(extra * n))
     out = []
-    for at in range(len(queries)):
-        q = queries[at]
-        size = np.sqrt((q * q).sum())
-        spot = (q / size) @ axes
-        own = ids == query_ids[at]
-        rest = n - int(own.sum())
-        if rest == 0:
-            continue
-        counts = np.zeros(n, np.int64)
-        lo = np.array([np.searchsorted(values[j], spot[j]) for j in range(m)])
-        hi = lo.copy()
-        radius, best = 0.1, None
-        while True:
-            parts = []
-            for j in range(m):
-                a, b = np.searchsorted(values[j], (spot[j] - radius, spot[j] + radius), side="left")
-                b = max(b, hi[j])
-                a = min(a, lo[j])
-                if a < lo[j]:
-                    parts.append(order[j, a : lo[j]])
-                if b > hi[j]:
-                    parts.append(order[j, hi[j] : b])
-                lo[j], hi[j] = a, b
-            if parts:
-                counts += np.bincount(np.concatenate(parts), minlength=n)
-            found = np.flatnonzero((counts >= need) & ~own)
-            everything = bool((lo == 0).all() and (hi == n).all())
-            if everything:
-                found = np.flatnonzero(~own)
-            if len(found) >= min(enough, rest) or everything:
-                dots = (vectors[found] * q).sum(1)
-                best = dots / (length[found] * size)
-                break
-            radius *= 1.2
-        keep = np.lexsort((ids[found], -best))[:k]
-        out += [(at, int(found[i]), float(best[i])) for i in keep]
+    for first in range(0, len(queries), TOGETHER):
+        some = queries[first : first + TOGETHER]
+        size = np.sqrt((some * some).sum(1))
+        centre = (some / size[:, None]) @ axes
+        own = ids[None, :] == query_ids[first : first + TOGETHER, None]
+        rest = n - own.sum(1)
+        counts = np.zeros((len(some), n), np.int32)
+        lo = np.stack([np.searchsorted(values[j], centre[:, j]) for j in range(m)], axis=1)
+        hi, active, radius = lo.copy(), np.flatnonzero(rest), START
+        while len(active):
+            a = np.stack([np.searchsorted(values[j], centre[active, j] - radius) for j in range(m)], axis=1)
+            b = np.stack([np.searchsorted(values[j], centre[active, j] + radius) for j in range(m)], axis=1)
+            going = []
+            for at, low, high in zip(active, a, b):
+                parts = [order[j, x:y] for j, (x, y) in enumerate(zip(low.tolist(), lo[at].tolist())) if x < y]
+                parts += [order[j, x:y] for j, (x, y) in enumerate(zip(hi[at].tolist(), high.tolist())) if x < y]
+                if parts:
+                    counts[at] += np.bincount(np.concatenate(parts), minlength=n)
+                lo[at], hi[at] = np.minimum(low, lo[at]), np.maximum(high, hi[at])
+                whole = not lo[at].any() and (hi[at] == n).all()
+                found = np.flatnonzero(~own[at] & (whole | (counts[at] >= need)))
+                if len(found) < min(enough, rest[at]) and not whole:
+                    going.append(at)
+                    continue
+                score = (vectors[found] * some[at]).sum(1) / (length[found] * size[at])
+                keep = np.lexsort((ids[found], -score))[:k]
+                out += [(first + int(at), int(found[i]), float(score[i])) for i in keep]
+            active = np.array(going, dtype=np.int64)
+            radius *= GROWTH
     return out
 
 
-def search_group(k: int, m: int, threshold: float, extra: int, seed: int):
+def search_group(k: int, m: int, threshold: float, extra: float, seed: int):
     def run(left, right):
         import pandas as pd
 

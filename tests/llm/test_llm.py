@@ -77,7 +77,7 @@ def test_nearest_recall(spark):
     centres = rng.standard_normal((20, 32))
     x = (centres[rng.integers(0, 20, 6_000)] + 0.7 * rng.standard_normal((6_000, 32))).astype("float32")
     hits = total = 0
-    found = ann.ann_worker.search(np.arange(6_000), x.astype(float), np.arange(0, 6_000, 100), x[::100].astype(float), 5, 48, 0.6, 250, 7)
+    found = ann.ann_worker.search(np.arange(6_000), x.astype(float), np.arange(0, 6_000, 100), x[::100].astype(float), 5, 192, 0.6, 0.03, 7)
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     by = collections.defaultdict(set)
     for q, i, _ in found:
