@@ -11,13 +11,15 @@ import unicodedata
 import pyarrow as pa
 import regex
 
+from .arrow import pieces
+
 #: White space of the tokenizer's own expressions (Python's \s has U+001C to U+001F besides).
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+")
 CHUNKS = regex.compile(f"[^{WS}]+")
 ODD = regex.compile("[\x1c-\x1f]")
 #: Distinct words whose ids a worker remembers, and the length beyond which a word is not remembered.
-MEMORY, LONG = 400_000, 64
+MEMORY, LONG = 200_000, 64
 #: Parts beyond which a word's boundaries are kept in a heap; scanning takes the square of the parts.
 SCAN = 96
 NEVER = 1 << 60
@@ -154,7 +156,7 @@ class Encoder:
 def digest_batches(path: str):
     def run(batches):
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, ids, texts = [], [], []
             for value in batch.column("text"):
                 packed, tokens = encoder.encode(value.as_py() or "")
@@ -174,7 +176,7 @@ def encode_batches(path: str):
         import numpy as np
 
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             out = [np.frombuffer(encoder.encode(v.as_py() or "")[0], "<u4").astype(np.int32).tolist() for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -188,7 +190,7 @@ def token_batches(path: str):
         import numpy as np
 
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, sizes, digests = [], [], []
             for value in batch.column("text"):
                 packed, tokens = encoder.encode(value.as_py() or "")
@@ -206,7 +208,7 @@ def token_batches(path: str):
 def decode_batches(path: str):
     def run(batches):
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             out = [encoder.decode(v.as_py() or ()) for v in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 

@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from .arrow import pieces
+
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Positions between rescalings, and words scored at once.
@@ -187,7 +189,7 @@ def keep_batches(sent, least: float):
 
     def run(batches):
         model = pickle.loads(sent.value)
-        for batch in batches:
+        for batch in pieces(batches):
             best, chance = predictions(model, batch.column("text"))
             yield batch.filter(pa.array([b != "und" and c >= least for b, c in zip(best, chance)], pa.bool_()))
 
@@ -199,7 +201,7 @@ def predict_batches(sent):
 
     def run(batches):
         model: Model | None = pickle.loads(sent.value)
-        for batch in batches:
+        for batch in pieces(batches):
             best, chance = predictions(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(best, pa.string()), pa.array(chance, pa.float64())],
@@ -211,7 +213,7 @@ def predict_batches(sent):
 
 def count_batches(batches):
     """Columns in: lang, text. Out: word counts of each batch by language."""
-    for batch in batches:
+    for batch in pieces(batches):
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             counts.setdefault(lang, Counter()).update(filter(None, map(letters_only, words_of(text))))

@@ -8,6 +8,8 @@ import re
 
 import pyarrow as pa
 
+from .arrow import pieces
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -119,7 +121,7 @@ def joined(spans) -> str:
 
 
 def scan_batches(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         counts, digests, everything = ([], [], []), [], []
         for value in batch.column("text"):
             text = value.as_py() or ""

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from .arrow import pieces
+
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Hashes whose bits are counted at once (64 bytes each).
 BLOCK = 1 << 17
@@ -58,7 +60,7 @@ def fingerprints(texts, words: int) -> np.ndarray:
 
 def fingerprint_batches(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             column = batch.column("text")
             prints = fingerprints((v.as_py() for v in column), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
@@ -79,7 +81,7 @@ def word_set_batches(copies: int):
 
     def run(batches):
         steps = np.arange(1, copies + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
+        for batch in pieces(batches):
             prints = []
             for value in batch.column("text"):
                 text = value.as_py()
@@ -97,7 +99,7 @@ def shingle_batches(words: int):
     """Columns in: node, text. Out: node and the sorted, packed set of its shingles' hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             packed = [np.unique(np.asarray(shingle_hashes(v.as_py(), words), dtype=np.uint64)).tobytes() for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "shingles"])
 
@@ -106,7 +108,7 @@ def shingle_batches(words: int):
 
 def jaccard_batches(batches):
     """Likeness of two sets of shingles, as sorted packed hashes; 1 for two empty sets."""
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for a, b in zip(batch.column("sa"), batch.column("sb")):
             x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
