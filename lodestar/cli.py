@@ -20,8 +20,9 @@ from .sources.files import read_folder
 class JsonLines(logging.Formatter):
     """One JSON object a record."""
 
-    def format(self, record: logging.LogRecord) -> str:
-        return json.dumps({"time": self.formatTime(record), "level": record.levelname, "logger": record.name, "message": record.getMessage()})
+    def format(self, r):
+        said = {"time": self.formatTime(r), "message": r.getMessage(), "logger": r.name, "level": r.levelname}
+        return json.dumps(said)
 
 
 def configure_logging(level: str = "INFO", as_json: bool = True) -> None:
@@ -82,7 +83,7 @@ def handler(spark: SparkSession) -> type[BaseHTTPRequestHandler]:
     return Handler
 
 
-def main(args: list[str] | None = None) -> int:
+def main(args=None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("folder", nargs="?")
     parser.add_argument("question", nargs="?")

@@ -47,7 +47,7 @@ SIGNALS: list[tuple[str, float, str, str]] = [
     ("synthesis", 1.0, "words > 14", " and "),
     ("summary", 3.0, "+", "briefly|high level|main points|overview|summarize"),
     ("summary", 2.5, "+", "current evidence|the evidence on|what approaches|what are recent advances|what are the perspectives|what role does"),
-    ("summary", 2.5, "", r"\bhow (?:is|are) .+ being\b"),
+    ("summary", 2.5, "", r"\bhow (?:are|is) .+ being\b"),
     ("summary", 1.5, "+", "advances in|applications|evidence for|evidence on|perspectives on|what is the current"),
     ("summary", 2.5, "words <= 5", r"^what is \w+\??$"),
     ("summary", 2.5, "words <= 4", r"^(?:describe|explain)(?:\s|$)"),
@@ -172,10 +172,10 @@ def domain_hints(question: Column) -> Column:
 
 #: What a corpus' profile stands for: by complexity, accuracy, tolerance of invention, and priority.
 PROFILE = {
-    "complexity": {"low": (180, 1, 0.15, 3, 2), "medium": (120, 2, 0.25, 6, 3), "high": (80, 3, 0.40, 10, 4)},
-    "accuracy": {"critical": 0.78, "high": 0.72, "medium": 0.65, "low": 0.55},
-    "invention": {"zero": "strict", "low": "strict", "medium": "balanced", "high": "creative"},
-    "priority": {"precision": (1.6, 0.8), "balanced": (1.0, 1.0), "speed": (0.6, 1.3)},
+    "complexity": dict(high=(80, 3, 0.40, 10, 4), medium=(120, 2, 0.25, 6, 3), low=(180, 1, 0.15, 3, 2)),
+    "accuracy": dict(low=0.55, medium=0.65, high=0.72, critical=0.78),
+    "invention": dict(high="creative", medium="balanced", low="strict", zero="strict"),
+    "priority": dict(speed=(0.6, 1.3), balanced=(1.0, 1.0), precision=(1.6, 0.8)),
 }
 
 

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 PII = {
     "credit_card": r"\b[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}\b",
-    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "email": r"\b[0-9A-Za-z%+._-]+@[0-9A-Za-z.-]+[.][A-Za-z]{2,}\b",
     "phone": r"\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 PHI = {
     "dob": r"(?i)\bDOB[\s:]*[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\b",
     "mrn": r"(?i)\bMRN[\s:]*[0-9]{6,10}\b",
-    "patient_name": r"\bPatient[\s:]*[A-Z][a-z]+(?:\s[A-Z][a-z]+)+",
+    "patient_name": r"\bPatient[:\s]*(?:[A-Z][a-z]+\s)+[A-Z][a-z]+",
 }
 SPANS = "array<struct<type:string,pattern:string,start:int,end:int>>"
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PLAIN, COMPOUND = "[A-Za-z0-9]+", "[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*"
+PLAIN, COMPOUND = "[A-Za-z0-9]+", "[0-9A-Za-z]+(?:[_-][0-9A-Za-z]+)*"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-GRAPH_STOPWORDS = "that this the and with from into also which uses should pattern category source brain mined methfam repofrax python".split()
+GRAPH_STOPWORDS = "that this the and with from into also which uses should pattern category source brain mined python".split()
 ABBREVIATIONS = "ref eq fig vol no ltd inc est dept approx al etc i.e e.g vs st jr sr prof ms mrs mr dr".split()
 
 
@@ -50,7 +50,7 @@ def expanding_tokens(text: Column, expansions: dict[str, list[str]], stopwords:
     return F.flatten(F.transform(own, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>")))))
 
 
-def sentences(text: Column, boundary: str = r"(?<=[.!?])\s+") -> Column:
+def sentences(text: Column, boundary: str = r"(?<=[!?.])\s+") -> Column:
     """Trimmed, non-blank pieces between sentence boundaries."""
     return F.filter(F.transform(F.split(text, boundary), lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b"))), lambda s: s != "")
 
@@ -64,7 +64,7 @@ def is_heading(line: Column) -> Column:
 
 def _abbreviated(text: Column) -> Column:
     """Whether a text ends with a known abbreviation or a single capital, and a period."""
-    words = found(text, "[A-Za-z][A-Za-z.]*")
+    words = found(text, "[a-zA-Z][.a-zA-Z]*")
     last = F.rtrim(F.element_at(words, -1), F.lit("."))
     known = F.lower(last).isin(*ABBREVIATIONS) | last.rlike("^[A-Z]$")
     return text.endswith(".") & (F.size(words) > 0) & F.coalesce(F.when(F.size(words) > 0, known), F.lit(False))
@@ -75,7 +75,7 @@ def careful_sentences(text: Column) -> Column:
     empty = F.array().cast("array<string>")
 
     def of_line(line: Column) -> Column:
-        parts = F.filter(F.transform(F.split(line, r"(?<=[.!?])\s+(?=[A-Z\d\"'(\[])"), lambda x: F.trim(x)), lambda s: s != "")
+        parts = F.filter(F.transform(F.split(line, r"(?<=[!?.])\s+(?=[A-Z\d(\[\"'])"), lambda x: F.trim(x)), lambda s: s != "")
 
         def add(done: Column, part: Column) -> Column:
             last = F.try_element_at(done, F.lit(-1))
@@ -93,9 +93,9 @@ def _ramp(value: Column, low: float, width: float) -> Column:
     return F.least(F.greatest((value - F.lit(low)) / F.lit(width), F.lit(0.0)), F.lit(1.0))
 
 
-TECHNICAL = r"\b(?:[a-z]+[A-Z][a-zA-Z0-9]*|[A-Z][a-z]+[A-Z][a-zA-Z0-9]*|[A-Za-z]+[0-9]+[A-Za-z]*|[0-9]+[A-Za-z]+[0-9A-Za-z]*)\b"
-CITED = r"\[[0-9]+\]|\([A-Z][a-z]+(?:\s+et\s+al\.?)?\s*,?\s*[0-9]{4}\)"
-LISTED = r"(?:^|\n)\s*(?:[-*+]|[0-9]+[.)]\s)"
+TECHNICAL = r"\b(?:[A-Z]?[a-z]+[A-Z][0-9A-Za-z]*|[a-zA-Z]+[0-9]+[a-zA-Z]*|[0-9]+[a-zA-Z]+[0-9a-zA-Z]*)\b"
+CITED = r"\[[0-9]+\]|[(](?:[A-Z][a-z]+)(?:\s+et\s+al[.]?)?\s*,?\s*[0-9]{4}[)]"
+LISTED = r"(?:\n|^)\s*(?:[*+-]|[0-9]+[).]\s)"
 COMPLEXITY_WEIGHTS = dict(n_sentences=0.10, sentence_length=0.15, diversity=0.15, technical=0.20, citations=0.10, lists=0.10, numbers=0.20)
 
 

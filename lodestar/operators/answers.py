@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CONTRACTS = {"hard": "[HARD CONSTRAINT]", "medium": "[MEDIUM CONSTRAINT]", "soft": "[SOFT CONTEXT]"}
+CONTRACTS = dict(soft="[SOFT CONTEXT]", medium="[MEDIUM CONSTRAINT]", hard="[HARD CONSTRAINT]")
 
 
 def citations(evidence: DataFrame, chars: int = 240) -> DataFrame:

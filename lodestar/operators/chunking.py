@@ -32,7 +32,7 @@ def packed(text: Column, max_chars: int = 900) -> Column:
     def finish(s: Column) -> Column:
         return F.filter(F.concat(s["done"], F.array(F.trim(s["now"]))), lambda c: c != "")
 
-    cut = F.aggregate(F.split(text, r"(?<=[.!?])\s+"), start, step, finish)
+    cut = F.aggregate(F.split(text, r"(?<=[!?.])\s+"), start, step, finish)
     return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(cut)
 
 
@@ -83,7 +83,7 @@ def scales(docs: DataFrame, least: int = 30, group: int = 3) -> DataFrame:
     Sentences shorter than ``least`` join the one before; a document of one paragraph and four sentences or more gets
     paragraphs of ``group`` sentences.
     """
-    raw = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b"))), lambda s: s != "")
+    raw = F.filter(F.transform(F.split("text", r"(?<=[!?.])\s+(?=[A-Z])"), lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b"))), lambda s: s != "")
 
     def merge(done: Column, x: Column) -> Column:
         glued = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.try_element_at(done, F.lit(-1)), F.lit(" "), x)))

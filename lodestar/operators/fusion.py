@@ -15,8 +15,8 @@ def rrf(lists: dict[str, DataFrame], rrf_k: float = 60.0, weights: dict[str, flo
     A list without a weight weighs 1; a document's first hit in a list counts; a missing or zero rank is its place in
     the list. Weights may also be a column ``weight`` of a list, for weights that differ by query.
     """
-    if rrf_k <= 0:
-        raise ValueError("rrf_k must be positive")
+    if not rrf_k > 0:
+        raise ValueError(f"a constant over 0 is needed, not {rrf_k}")
     parts = []
     for name, hits in lists.items():
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))

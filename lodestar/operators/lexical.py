@@ -47,10 +47,10 @@ def frequencies(posted: DataFrame) -> DataFrame:
 
 
 def idf(n: Column, df: Column) -> Column:
-    return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+    return F.log((n + 1) / (df + 0.5))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, tokens: Tokens = T.compound_tokens) -> DataFrame:
+def bm25_scores(docs: DataFrame, queries: DataFrame, b: float = 0.75, k1: float = 1.5, tokens: Tokens = T.compound_tokens) -> DataFrame:
     """All positive scores as ``query_id, doc_id, score``."""
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b between 0 and 1")
@@ -63,8 +63,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     return scored.where("score > 0")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, tokens: Tokens = T.compound_tokens) -> DataFrame:
-    return top_k(bm25_scores(docs, queries, k1, b, tokens), k)
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, b: float = 0.75, k1: float = 1.5, tokens: Tokens = T.compound_tokens) -> DataFrame:
+    return top_k(bm25_scores(docs, queries, b, k1, tokens), k)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = 5, aliases: DataFrame | None = None, rules: DataFrame | None = None, tokens: Tokens = T.long_tokens) -> DataFrame:
@@ -148,7 +148,7 @@ def antiflood(docs: DataFrame, queries: DataFrame, hits: DataFrame, share: float
     return hits.join(flood.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
 
 
-DECOMPOSE = r"(?i)\b(?:and|or|as well as|in addition to|along with)\b|[;,]"
+DECOMPOSE = r"(?i)\b(?:along with|in addition to|as well as|and|or)\b|[,;]"
 
 
 def sub_queries(queries: DataFrame) -> DataFrame:

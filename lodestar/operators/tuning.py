@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def pseudo_queries(docs: DataFrame, held_out: Column, tokens: Tokens = T.plain_t
     return picked.select(F.col("doc_id").alias("query_id"), F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("query"), "doc_id")
 
 
-def calibration_grid(lists: dict[str, DataFrame], expected: DataFrame, weights=(0.3, 0.4, 0.5, 0.6, 0.7, 0.8), depths=(50, 100, 150), ks=(30.0, 60.0, 90.0)) -> DataFrame:
+def calibration_grid(lists: dict[str, DataFrame], expected: DataFrame, weights=tuple(i / 10 for i in range(3, 9)), depths=(50, 100, 150), ks=(30.0, 60.0, 90.0)) -> DataFrame:
     """``point, dense_weight, depth, rrf_k, mrr``: mean reciprocal rank of expected documents at each grid point, all in one job."""
     grid = [(i, *p) for i, p in enumerate((w, d, k) for w in weights for d in depths for k in ks)]
     spark = expected.sparkSession
@@ -225,7 +226,6 @@ def piece_profile(docs: DataFrame, pieces) -> DataFrame:
 
     ``pieces(list of words) -> list of counts`` is a plug-in tokenizer; it sees each distinct word once.
     """
-    import pandas as pd
 
     @F.pandas_udf("int")
     def counted(words: pd.Series) -> pd.Series:

@@ -61,12 +61,14 @@ class Strategy:
     blend: float = 1.0
 
 
-_SCORING = ("moe_importance_scoring", "accuracy_contracts", "selective_filter", "complexity_routing")
-_DENSE = ("hyde_expansion", "dense_vector", "dense_to_evidence", *_SCORING, "cross_encoder_rerank", "score_normalize")
-_FULL = (
-    "sparse_bm25", "bm25_antiflood", "hyde_expansion", "dense_vector", "adaptive_fusion_weights", "rrf_fusion", "intersection_boost", "title_boost",
-    *_SCORING, "query_expansion", "query_decompose", "cross_encoder_rerank", "reciprocal_neighbor_rerank", "multi_hop_retrieval", "score_normalize",
-)
+_SCORING = "moe_importance_scoring accuracy_contracts selective_filter complexity_routing"
+_DENSE = tuple(f"hyde_expansion dense_vector dense_to_evidence {_SCORING} cross_encoder_rerank score_normalize".split())
+_FULL = tuple(
+    f"""sparse_bm25 bm25_antiflood hyde_expansion dense_vector adaptive_fusion_weights rrf_fusion intersection_boost title_boost {_SCORING}
+    query_expansion query_decompose cross_encoder_rerank reciprocal_neighbor_rerank multi_hop_retrieval score_normalize""".split()
+)
+#: Steps that need no evidence yet.
+_SEARCH = tuple("sparse_bm25 bm25_antiflood hyde_expansion dense_vector adaptive_fusion_weights rrf_fusion dense_to_evidence".split())
 STRATEGIES: dict[str, Strategy] = {
     s.name: s
     for s in (
@@ -78,7 +80,7 @@ STRATEGIES: dict[str, Strategy] = {
         Strategy("blended_rerank", 1.0, 0.0, 100, _DENSE, 0.2),
     )
 }
-TIERS = {"strong": "dense_dominant", "moderate": "hybrid", "weak": "sparse_boost"}
+TIERS = dict(weak="sparse_boost", moderate="hybrid", strong="dense_dominant")
 
 
 def register_strategy(strategy: Strategy) -> None:
@@ -240,7 +242,7 @@ def _expand(c):
     """Searches again with frequent terms of the first hits; earlier boosts and plug-in lists start anew."""
     terms = lexical.expansion_terms(c.docs, c.asked, c.evidence.withColumn("rank", F.col("rank") + 1), tokens=T.plain_tokens)
     again = replace(c, expanded=lexical.expanded_queries(c.asked, terms), lists={})
-    for name in ("sparse_bm25", "dense_vector", "rrf_fusion"):
+    for name in "sparse_bm25 dense_vector rrf_fusion".split():
         again = STEPS[name](again)
     kept = [n for n in ("moe_importance_scoring", "accuracy_contracts", "complexity_routing") if "votes" in c.evidence.columns]
     for name in kept:
@@ -313,7 +315,7 @@ def run(context: Context, steps: list[str] | tuple[str, ...] | None = None) -> C
     for name in steps or context.strategy.steps:
         if name not in STEPS:
             raise KeyError(f"no step {name!r}")
-        if context.evidence is None and name not in ("sparse_bm25", "bm25_antiflood", "hyde_expansion", "dense_vector", "adaptive_fusion_weights", "rrf_fusion", "dense_to_evidence"):
+        if context.evidence is None and name not in _SEARCH:
             continue
         context = STEPS[name](context)
     return context
@@ -325,7 +327,7 @@ def answer(docs: DataFrame, queries: DataFrame, limit: int = 5, strategy: str =
     ``docs`` is doc_id, text, source, title. The static path: search, fuse, score, cite, answer.
     """
     asked = queries.select("query_id", F.trim("query").alias("query")).where(F.length("query").between(1, Q.MOST_CHARS))
-    c = run(Context(docs, asked, limit, STRATEGIES[strategy], **parts), ("sparse_bm25", "dense_vector", "rrf_fusion", "confidence_scoring", "citation_grounding", "generation"))
+    c = run(Context(docs, asked, limit, STRATEGIES[strategy], **parts), tuple("sparse_bm25 dense_vector rrf_fusion confidence_scoring citation_grounding generation".split()))
     cited = answers.citations(c.evidence.join(docs.select("doc_id", "source", "text"), "doc_id"))
     listed = cited.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("score", "doc_id", "source", "excerpt")), False).alias("citations"))
     return c.queries.join(listed, "query_id", "left").select("query_id", "answer", "confidence", "grounded", Q.simple_type(F.col("query")).alias("kind"), "citations")

@@ -41,10 +41,10 @@ def asked(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-# --- SQL that several oracles share -------------------------------------------------------------------------------
+# --- SQL that several oracles share
 
 PLAIN = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda t: lower(t))"
-COMPOUND = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*'), lambda t: lower(t))"
+COMPOUND = "list_transform(regexp_extract_all({}, '[0-9A-Za-z]+(?:[_-][0-9A-Za-z]+)*'), lambda t: lower(t))"
 LONG = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda t: len(t) > 1)"
 ASKED = "SELECT item_id AS query_id, text AS query FROM benchmark"
 
@@ -56,7 +56,7 @@ def bm25_sql(name: str, k: int, tok: str = COMPOUND, queries: str = ASKED, docs:
 {name}_p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(t) AS term FROM {name}_d) WHERE term IN (SELECT term FROM {name}_q) GROUP BY ALL),
 {name}_f AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
 {name}_n AS (SELECT count(*) AS n, avg(dl) AS avg_dl FROM {name}_d),
-{name}_s AS (SELECT query_id, doc_id, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score
+{name}_s AS (SELECT query_id, doc_id, round(sum(qf * ln((n + 1) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score
   FROM {name}_q JOIN {name}_p USING (term) JOIN {name}_f USING (term), {name}_n GROUP BY ALL),
 {name} AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM {name}_s WHERE score > 0 QUALIFY rank <= {k})"""
 
@@ -64,7 +64,7 @@ def bm25_sql(name: str, k: int, tok: str = COMPOUND, queries: str = ASKED, docs:
 def tfidf_sql(name: str, k: int) -> str:
     q, d = LONG.format("text"), LONG.format("text")
     return f"""{name}_p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(t) AS term FROM (SELECT doc_id, {d} AS t, len({d}) AS dl FROM documents)) GROUP BY ALL),
-{name}_w AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM {name}_p GROUP BY term),
+{name}_w AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 0.5)) AS idf FROM {name}_p GROUP BY term),
 {name}_q AS (SELECT query_id, term, qf / sum(qf) OVER (PARTITION BY query_id) * idf AS qw FROM (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({q}) AS term FROM benchmark) GROUP BY ALL) LEFT JOIN {name}_w USING (term)),
 {name}_d AS (SELECT doc_id, term, tf / dl * idf AS dw FROM {name}_p JOIN {name}_w USING (term)),
 {name}_s AS (SELECT query_id, doc_id, sum(qw * dw) AS dot FROM {name}_q JOIN {name}_d USING (term) GROUP BY ALL),
@@ -100,7 +100,7 @@ def ranked(df: DataFrame, *more: str) -> DataFrame:
     return df.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"), *more)
 
 
-# --- Retrieval -------------------------------------------------------------------------------------------------------
+# --- Retrieval
 
 
 @query(f"WITH {bm25_sql('bm', 20)} SELECT * FROM bm")
@@ -172,7 +172,7 @@ def gaussian_embeddings(spark, d):
     return multiscale.gaussian_embeddings(documents(spark, d).select("doc_id", "text")).select("doc_id", "vec")
 
 
-# --- Fusion and re-ranking -------------------------------------------------------------------------------------------
+# --- Fusion and re-ranking
 
 
 @query(f"{EVIDENCE_SQL} SELECT query_id, doc_id, score, rank, CAST(coalesce(map_extract(source_ranks, 'dense')[1], 0) AS INT) AS dense_rank, CAST(coalesce(map_extract(source_ranks, 'sparse')[1], 0) AS INT) AS sparse_rank, CAST(coalesce(map_extract(source_scores, 'sparse')[1], 0) AS DOUBLE) AS sparse_score FROM ev")
@@ -259,7 +259,7 @@ def matched_terms(spark, d):
 
 
 PARTS_SQL = r"""SELECT query_id, nth - 1 AS part, query FROM (SELECT query_id, unnest(p) AS query, generate_subscripts(p, 1) AS nth FROM (SELECT item_id AS query_id,
-  list_filter(list_transform(string_split_regex(text, '(?i)\b(?:and|or|as well as|in addition to|along with)\b|[;,]'), lambda p: trim(p)), lambda p: p <> '') AS p FROM benchmark) WHERE len(p) > 1) WHERE len(query) >= 5"""
+  list_filter(list_transform(string_split_regex(text, '(?i)\b(?:along with|in addition to|as well as|and|or)\b|[,;]'), lambda p: trim(p)), lambda p: p <> '') AS p FROM benchmark) WHERE len(p) > 1) WHERE len(query) >= 5"""
 
 
 @query(

@@ -10,7 +10,7 @@ from .functions import text as T
 from .operators import answers, chunking, fusion, graph, lexical, multiscale, training, tuning, verify
 from .queries import EVIDENCE_SQL, PLAIN, asked, bm25_sql, documents, evidence, query, ranked, reranked_sql, table
 
-# --- Text scores -----------------------------------------------------------------------------------------------------
+# --- Text scores
 
 _split = r"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), lambda s: s <> '')"
 _punct = T.PUNCTUATION.replace("'", "''")
@@ -133,7 +133,7 @@ def page_slugs(spark, d):
     return table(spark, d, "pages").select("page_id", T.slug(F.regexp_extract("html", PAGE_TITLE, 1)).alias("slug"), graph.path_category(F.col("url")).alias("category"))
 
 
-# --- Chunks ----------------------------------------------------------------------------------------------------------
+# --- Chunks
 
 
 @query(r"SELECT doc_id, nth - 1 AS position, p AS text FROM (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS nth FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))")
@@ -182,7 +182,7 @@ def hard_negatives(spark, d):
     return training.hard_negatives(pairs, documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text"))
 
 
-# --- Questions -------------------------------------------------------------------------------------------------------
+# --- Questions
 
 QUESTIONS = [
     "Why does the model fail? What can be done?", "compare the two drug trials and the imaging study of retinal scans across sites, and clinical triage", "What is BERT?",
@@ -255,7 +255,7 @@ def domain_hints(spark, d):
     return rows.select("qid", F.col("h.boost").alias("boost"), F.array_join("h.targets", ",").alias("targets"))
 
 
-# --- Sensitive data --------------------------------------------------------------------------------------------------
+# --- Sensitive data
 
 _counts = ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS {n}" for n, p in (S.PII | S.PHI).items())
 
@@ -281,7 +281,7 @@ def sensitive_spans(spark, d):
     return rows.select("doc_id", F.size("spans").alias("n_spans"), F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
-# --- Verification and evaluation -------------------------------------------------------------------------------------
+# --- Verification and evaluation
 
 
 def _with_terms(spark, d):
@@ -391,7 +391,7 @@ def prompts(spark, d):
     return answers.prompts(evidence(spark, d).join(documents(spark, d).select("doc_id", "title", "text"), "doc_id"), asked(spark, d))
 
 
-# --- Graph: parts as methods, brands as families ---------------------------------------------------------------------
+# --- Graph: parts as methods, brands as families
 
 _methods = "SELECT CAST(p_partkey AS VARCHAR) AS method_id, p_name AS problem, p_type AS solution, '' AS notes, split_part(p_name, ' ', 1) AS language, p_brand AS source FROM part"
 _graph_tokens = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9_]+'), lambda t: len(t) >= 4 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.GRAPH_STOPWORDS) + "], t)))"
@@ -433,7 +433,7 @@ def graph_expanded(spark, d):
     return found.select("query_id", "key", "method_id", "score", "source", F.array_join("reasons", ";").alias("reasons"), "rank")
 
 
-# --- Levels: every third vector is a document, the next two its paragraph and sentence --------------------------------
+# --- Levels: every third vector is a document, the next two its paragraph and sentence
 
 _entries = "SELECT vec_id AS entry_id, CASE vec_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS level, vec_id // 3 * 3 AS doc_id, embedding::DOUBLE[] AS vec FROM embeddings"
 _kinds = "['synthesis', 'summary', 'logic', 'specification'][1 + label % 4]"
@@ -505,7 +505,7 @@ def diversified(spark, d):
     return multiscale.diversify(rows, 5, 0.4)
 
 
-# --- Corpus statistics and tuning ------------------------------------------------------------------------------------
+# --- Corpus statistics and tuning
 
 
 @query(
@@ -538,7 +538,7 @@ def pseudo_queries(spark, d):
     return pseudo(spark, d)
 
 
-_grid = "(SELECT CAST((w - 1) * 9 + (e - 1) * 3 + k - 1 AS INT) AS point, [0.3, 0.4, 0.5, 0.6, 0.7, 0.8][w]::DOUBLE AS dense_weight, CAST([50, 100, 150][e] AS INT) AS depth, [30.0, 60.0, 90.0][k]::DOUBLE AS rrf_k FROM range(1, 7) a(w), range(1, 4) b(e), range(1, 4) c(k))"
+_grid = "(SELECT CAST((w - 1) * 9 + (e - 1) * 3 + k - 1 AS INT) AS point, (w + 2) / 10 AS dense_weight, CAST([50, 100, 150][e] AS INT) AS depth, [30.0, 60.0, 90.0][k]::DOUBLE AS rrf_k FROM range(1, 7) a(w), range(1, 4) b(e), range(1, 4) c(k))"
 
 
 @query(

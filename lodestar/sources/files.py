@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 TEXT, JSON, PARSED = ("md", "markdown", "txt"), ("json", "jsonl"), ("pdf", "docx")
-TEXT_KEYS = ("page_content", "content", "text", "body", "document")
+TEXT_KEYS = tuple("page_content content text body document".split())
 SCHEMA = "doc_id string, text string, source string, title string, format string, metadata map<string,string>"
 
 
@@ -21,12 +21,10 @@ class MissingParser(ImportError):
 
 
 def _root(path: str) -> Path:
-    root = Path(path)
-    if not root.exists():
-        raise ValueError(f"no such folder: {path}")
-    if not root.is_dir():
-        raise NotADirectoryError(f"not a folder: {path}")
-    return root.resolve()
+    found = Path(path)
+    if found.is_dir():
+        return found.resolve()
+    raise NotADirectoryError(f"not a folder: {path}") if found.exists() else ValueError(f"no such folder: {path}")
 
 
 def _inside(root: Path, extensions) -> list[str]:
@@ -148,8 +146,8 @@ def read_corpus(rows: DataFrame) -> DataFrame:
     return rows.select(key.alias("doc_id"), F.concat_ws("\n", title, "text").alias("text"))
 
 
-CODE = ("c", "cpp", "go", "h", "java", "js", "py", "rb", "rs", "scala", "sh", "sql", "ts", "tsx")
-SKIPPED = (".git", ".venv", "__pycache__", "build", "dist", "node_modules", "venv")
+CODE = tuple("c cpp go h java js py rb rs scala sh sql ts tsx".split())
+SKIPPED = tuple(".git .venv __pycache__ build dist node_modules venv".split())
 
 
 def read_code(spark: SparkSession, path: str, most: int = 80, chars: int = 1_400) -> DataFrame:

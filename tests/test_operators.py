@@ -49,7 +49,7 @@ def test_packed_as_python(spark):
 
     def plain(text, most):
         out, now, size = [], [], 0
-        for s in re.split(r"(?<=[.!?])\s+", text):
+        for s in re.split(r"(?<=[!?.])\s+", text):
             if now and size + len(s) + 1 > most:
                 out.append(" ".join(now))
                 now, size = [s], len(s)
@@ -95,7 +95,7 @@ def test_rrf_order_and_weights(spark):
     make = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "query_id int, doc_id string, score double, rank int")
     a, b = make([("a", 9.0, 1), ("b", 8.0, 2)]), make([("c", 7.0, 0), ("a", 6.0, 0)])
     fused = fusion.rrf({"one": a, "two": b}).orderBy("rank").collect()
-    assert [f["doc_id"] for f in fused] == ["a", "c", "b"]
+    assert "".join(f["doc_id"] for f in fused) == "acb"
     assert fused[0]["source_ranks"] == {"one": 1, "two": 2}
     assert fusion.rrf({"one": a, "two": b}, weights={"one": 0.0}).orderBy("rank").first()["doc_id"] == "c"
     with pytest.raises(ValueError):
@@ -109,7 +109,7 @@ def test_normalise_bounds_and_ties(spark):
 
 
 def test_vectors(spark):
-    rows = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    rows = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0] * 2, [1.0] * 2)], "a array<double>, b array<double>")
     got = rows.select(V.cosine(F.col("a"), F.col("b")).alias("c"), V.normalised(F.col("a")).alias("n"), V.distance(F.col("a"), F.col("b")).alias("d")).collect()
     assert abs(got[0]["c"] - 0.96) < 1e-12 and got[1]["c"] == 0 and got[0]["n"] == [0.6, 0.8] and got[1]["n"] == [0.0, 0.0]
 
@@ -206,7 +206,7 @@ def test_derivatives_as_numpy(spark):
 
 def test_diversify(spark):
     rows = spark.createDataFrame([(1, "a", 1.0, "x"), (1, "b", 0.9, "x"), (1, "c", 0.5, "y"), (1, "d", 0.1, None)], "query_id int, doc_id string, score double, domain string")
-    assert [r["doc_id"] for r in multiscale.diversify(rows, 3, 0.5).orderBy("rank").collect()] == ["a", "c", "b"]
+    assert [r["doc_id"] for r in multiscale.diversify(rows, 3, 0.5).orderBy("rank").collect()] == list("acb")
 
 
 def test_evaluation(spark):
@@ -231,7 +231,7 @@ def test_prompts_and_judged_scores(spark):
     asked = spark.createDataFrame([(1, "q"), (2, "r")], "query_id int, query string")
     got = {r["query_id"]: r["prompt"] for r in answers.prompts(ev, asked, chars=40).collect()}
     assert "y" * 10 + "..." in got[1] and "(none)" in got[2]
-    assert one(spark, answers.judged_scores(F.col("t")), t='```json\n{"1": 7, "2": 25}\n```') == {"1": 0.7, "2": 1.0}
+    assert one(spark, answers.judged_scores(F.col("t")), t='Scores:\n{"1": 7, "2": 25} done') == {"1": 0.7, "2": 1.0}
 
 
 def test_registry_and_router():
@@ -239,7 +239,7 @@ def test_registry_and_router():
     r.register(planner.Technique("a"))
     r.register(planner.Technique("b", ("a",), ("logic",)))
     r.register(planner.Technique("c", ("b",), (), 100))
-    assert r.compose("logic", 200) == ["a", "b", "c"] and r.compose("summary", 200) == ["a"] and r.compose("logic", 5) == ["a", "b"]
+    assert "".join(r.compose("logic", 200)) == "abc" and r.compose("summary", 200) == ["a"] and r.compose("logic", 5) == ["a", "b"]
     with pytest.raises(ValueError):
         r.register(planner.Technique("a"))
     with pytest.raises(ValueError):
@@ -302,7 +302,7 @@ def test_golden_rules_baselines(spark, tmp_path):
     (tmp_path / "g.jsonl").write_text('{"question": "a", "must_include": ["x"]}\n{"id": "k", "question": "b", "should_answer": false}\n')
     got = tables.read_golden(spark, str(tmp_path / "g.jsonl")).collect()
     assert [(r["id"], r["expected_terms"], r["no_evidence"]) for r in got] == [("q1", ["x"], False), ("k", [], True)]
-    (tmp_path / "r.json").write_text(json.dumps({"aliases": {"bug": ["type:bug"]}, "routing": [{"domain": "d", "keywords": ["k"], "boost": 2}]}))
+    (tmp_path / "r.json").write_text(json.dumps({"aliases": dict(bug=["type:bug"]), "routing": [{"domain": "d", "keywords": ["k"], "boost": 2}]}))
     aliases, rules = tables.read_rules(spark, str(tmp_path / "r.json"))
     assert aliases.first()["target"] == "type:bug" and rules.first()["boost"] == 2.0
     base = spark.createDataFrame([("t", "c", "m", 0.5, "")], tables.BASELINES)
