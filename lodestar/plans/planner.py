@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import questions as Q
 from ..functions import text as T
 from ..operators import answers, fusion, lexical, verify
+from ..sources.stage import staged
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,8 @@ _FULL = tuple(
     f"""sparse_bm25 bm25_antiflood hyde_expansion dense_vector adaptive_fusion_weights rrf_fusion intersection_boost title_boost {_SCORING}
     query_expansion query_decompose cross_encoder_rerank reciprocal_neighbor_rerank multi_hop_retrieval score_normalize""".split()
 )
+#: Steps after which the evidence, a few rows a question, is written: later steps read it several times each.
+_STAGED = {"rrf_fusion", "dense_to_evidence", "complexity_routing", "query_expansion", "query_decompose", "multi_hop_retrieval"}
 #: Steps that need no evidence yet.
 _SEARCH = tuple("sparse_bm25 bm25_antiflood hyde_expansion dense_vector adaptive_fusion_weights rrf_fusion dense_to_evidence".split())
 STRATEGIES: dict[str, Strategy] = {
@@ -104,7 +107,7 @@ def choose(tier: str, wanted: str = "auto", corpus_size: int | None = None) -> S
 
 @dataclass(frozen=True)
 class Context:
-    """What steps read and make, as lazy tables: nothing runs before the result is used, and no step changes another's."""
+    """What steps read and make, as tables; no step changes what another has made."""
 
     docs: DataFrame
     queries: DataFrame
@@ -318,6 +321,8 @@ def run(context: Context, steps: list[str] | tuple[str, ...] | None = None) -> C
         if context.evidence is None and name not in _SEARCH:
             continue
         context = STEPS[name](context)
+        if name in _STAGED and context.evidence is not None:
+            context = replace(context, evidence=staged(context.evidence))
     return context
 
 
