@@ -115,7 +115,7 @@ def near_copies(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col:
     Each text has PRINTS independent SimHash fingerprints of its set of words, covered at PRINT_RADIUS. A text is
     compared with the first of each of its buckets and the NEIGHBOURS before it there, so a bucket of any size costs a
     fixed number of comparisons a member, and groups of copies hang together through its first. Whatever is linked has
-    been verified on its full set of shingles. Two edits of a word in a hundred leave a pair 98 % likely to share a
+    been verified on its full set of shingles. Two edits of a word in a hundred leave a pair 97 % likely to share a
     bucket (radius 4 of 64 bits, 4 tries). Texts are told apart by 64-bit hashes. Exact copies, and texts without a
     word, are copies of one another; of equal rows one stays; null ids come after all others.
     """
