@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash_worker
-from .common import ship, stored, stored_bytes, table
+from .common import ship, small, stored, stored_bytes, table
 from .graph import components
 
 ship(simhash_worker)
@@ -105,19 +105,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return cool.select("doc_id", "fp", "component_id").unionByName(marked.where("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")))
 
 
-#: Of the pipeline's stage: independent fingerprints, their radius, and neighbours that a bucket's member is compared with.
+#: Of the pipeline's stage: independent fingerprints, their radius, and neighbours that a bucket's member first meets.
 PRINTS, PRINT_RADIUS, NEIGHBOURS = 4, 4, 6
+#: About so many documents tell which shingles are frequent, and so many of those are put last in the order of shingles.
+ORDER_DOCS, ORDER_SHINGLES = 16_384, 1 << 18
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, words: int, likeness: float) -> DataFrame:
+    """Those of the stored pairs ``a, b`` of nodes whose sets of shingles have the likeness."""
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    texts = rows.join(small(wanted, BROADCAST_BYTES), "node", "left_semi").dropDuplicates(["node"])
+    sets = stored(texts.mapInArrow(simhash_worker.shingle_batches(words), "node long, shingles binary"), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    found = both.select("a", "b", "sa", "sb").mapInArrow(simhash_worker.jaccard_batches, "a long, b long, likeness double")
+    return found.where(F.col("likeness") >= likeness).select("a", "b")
+
+
+def _order(rows: DataFrame, words: int) -> tuple[bytes, bytes]:
+    """Hashes of frequent shingles, sorted, and their places by rising count, as packed arrays.
+
+    A sample is enough: the places decide how many pairs are compared, and never which are found.
+    """
+    share = min(1.0, ORDER_DOCS / max(1, rows.count()))
+    some = rows.where(F.pmod("node", F.lit(1 << 20)) <= int(share * (1 << 20)))
+    counted = some.mapInArrow(simhash_worker.shingle_rows(words), "shingle long").groupBy("shingle").count().where("count > 2")
+    return simhash_worker.places(counted.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toArrow())
+
+
+def unmet_pairs(rows: DataFrame, roots: DataFrame, words: int, likeness: float) -> DataFrame:
+    """Pairs ``a, b`` of ``rows(node, text)`` in different components of ``roots`` that may have the likeness; none that has it is left out.
+
+    Prefix filtering: of two sets with a Jaccard likeness of t, in one order of all shingles, the first |x| - ceil(t|x|)
+    + 1 of each share one, and behind their first common shingle there is room for the overlap wanted. Pairs in one
+    component are linked already; buckets that hold a single component are dropped before any pair is made.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(_order(rows, words))
+    prefixes = rows.mapInArrow(simhash_worker.prefix_batches(words, likeness, sent), "key long, node long, size int, at int")
+    once = prefixes.repartition("key").dropDuplicates(["key", "node"])
+    met = stored(once.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "prefixes")
+    placed = met.join(small(roots, BROADCAST_BYTES), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    placed = stored(placed.join(mixed, "key"), "mixed")
+    x = placed.select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("m"), F.col("at").alias("i"))
+    y = placed.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("n"), F.col("at").alias("j"))
+    room = 1 + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
+    fits = (F.col("m") >= likeness * F.col("n") - 1e-6) & (room * (1 + likeness) >= likeness * (F.col("m") + F.col("n")) - 1e-6)
+    found = x.join(y, "key").where("rx <> ry and (m < n or (m = n and x < y))").where(fits)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group linked by shingle sets of the given Jaccard likeness, the smallest id stays.
 
-    Each text has PRINTS independent SimHash fingerprints of its set of words, covered at PRINT_RADIUS. A text is
-    compared with the first of each of its buckets and the NEIGHBOURS before it there, so a bucket of any size costs a
-    fixed number of comparisons a member, and groups of copies hang together through its first. Whatever is linked has
-    been verified on its full set of shingles. Two edits of a word in a hundred leave a pair 97 % likely to share a
-    bucket (radius 4 of 64 bits, 4 tries). Texts are told apart by 64-bit hashes. Exact copies, and texts without a
-    word, are copies of one another; of equal rows one stays; null ids come after all others.
+    Each text has PRINTS independent SimHash fingerprints of its set of words, covered at PRINT_RADIUS. A text is first
+    compared with the first of each of its buckets and the NEIGHBOURS before it there, which links most copies at a fixed
+    cost a member. What may be alike and is in different groups after that is then found by an exact join (`unmet_pairs`),
+    so the groups are those of all pairs. Whatever is linked has been verified on its full set of shingles. Texts are told
+    apart by 64-bit hashes. Exact copies, and texts without a word, are copies of one another; of equal rows one stays;
+    null ids come after all others.
     """
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(node.alias("node"), F.col(text_col).alias("text"))
@@ -130,13 +175,10 @@ def near_copies(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col:
     # The first row of a bucket has no neighbours, and most buckets have no other row.
     met = buckets.withColumn("before", F.lag("node").over(order)).withColumn("near", near).where("before is not null")
     pairs = stored(met.select(F.col("node").alias("b"), F.explode("near").alias("a")).where("a < b").distinct(), "pairs")
-    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    chosen = F.broadcast(wanted) if stored_bytes(wanted) <= BROADCAST_BYTES else wanted
-    texts = rows.join(chosen, "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(texts.mapInArrow(simhash_worker.shingle_batches(words), "node long, shingles binary"), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    edges = both.select("a", "b", "sa", "sb").mapInArrow(simhash_worker.jaccard_batches, "a long, b long, likeness double").where(F.col("likeness") >= likeness)
-    roots = components(edges.select("a", "b"))
+    roots = stored(components(_alike(pairs, rows, words, likeness)), "roots")
+    unmet = stored(unmet_pairs(rows, roots, words, likeness), "unmet")
+    if unmet.limit(1).count():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_alike(unmet, rows, words, likeness)))
     ids = docs.select(F.col(id_col).alias("id"), node.alias("node")).groupBy("id", "node").agg(F.count("*").alias("n"))
     grouped = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "node")

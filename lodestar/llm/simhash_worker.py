@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -106,6 +108,67 @@ def shingle_batches(words: int):
     return run
 
 
+def _sets(batches, words: int):
+    """Of each piece of the batches (node, text): (node, its set of shingles' hashes), each node once a task."""
+    seen = set()
+    for batch in pieces(batches):
+        found = []
+        for node, value in zip(batch.column("node").to_pylist(), batch.column("text")):
+            if node not in seen:
+                seen.add(node)
+                found.append((node, np.unique(np.asarray(shingle_hashes(value.as_py(), words), dtype=np.uint64))))
+        yield found
+
+
+def shingle_rows(words: int):
+    """Columns in: node, text. Out: a row a shingle of each text's set."""
+
+    def run(batches):
+        for found in _sets(batches, words):
+            flat = np.concatenate([np.empty(0, np.uint64), *(s for _, s in found)])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], ["shingle"])
+
+    return run
+
+
+def places(counted: pa.Table) -> tuple[bytes, bytes]:
+    """Of rows shingle, count, the most frequent first: the hashes, sorted, and each one's place from the rarest, from 1."""
+    hashes = counted.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+    by_hash = np.argsort(hashes)
+    return hashes[by_hash].tobytes(), (len(hashes) - by_hash).astype(np.int32).tobytes()
+
+
+def prefix_batches(words: int, likeness: float, sent):
+    """Columns in: node, text. Out: the first shingles of each text's set, rare ones first: key, node, size of the set, place from 1.
+
+    There are enough of them for two sets of the likeness to share one. A set without shingles has the key 0.
+    """
+
+    def run(batches):
+        hashes, ranks = (np.frombuffer(x, kind) for x, kind in zip(sent.value, (np.uint64, np.int32)))
+        for found in _sets(batches, words):
+            keys, sizes = [np.empty(0, np.uint64)], []
+            for _, own in found:
+                n = len(own)
+                take = n - math.ceil(likeness * n - 1e-6) + 1
+                if len(hashes):
+                    spot = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    rank = np.where(hashes[spot] == own, ranks[spot], 0)
+                    own = own[np.lexsort((own, rank))]
+                first = own[:take] if n else np.zeros(1, np.uint64)
+                keys.append(first)
+                sizes.append(n)
+            counts = np.array([len(k) for k in keys[1:]], np.int64)
+            nodes = np.repeat(np.array([node for node, _ in found], np.int64), counts)
+            at = [np.arange(1, c + 1, dtype=np.int32) for c in counts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate([np.empty(0, np.int32), *at]))],
+                ["key", "node", "size", "at"],
+            )
+
+    return run
+
+
 def jaccard_batches(batches):
     """Likeness of two sets of shingles, as sorted packed hashes; 1 for two empty sets."""
     for batch in pieces(batches):

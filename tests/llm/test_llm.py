@@ -316,6 +316,44 @@ def test_near_copies(spark, odd, none):
     assert got.columns == odd.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3, 5] and simhash.near_copies(none).count() == 0
 
 
+def _groups(every, t=0.8, k=5):
+    """The least index of each text's group by brute force."""
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in map(str.split, every)]
+    root = list(range(len(every)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(every)), 2):
+        both = len(sets[a] & sets[b])
+        if both / (len(sets[a]) + len(sets[b]) - both) >= t:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(every))]
+
+
+def _edited(rng, text, edits):
+    changed = text.split()
+    for j in rng.choice(len(changed), edits, replace=False):
+        changed[j] = f"edit{rng.integers(1 << 40)}"
+    return " ".join(changed)
+
+
+def _kept(spark, every):
+    data = [(i, t, None, "s", 1) for i, t in enumerate(every)]
+    return sorted(r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(data, SCHEMA)).collect())
+
+
+def test_near_copies_of_a_large_group(spark):
+    """Copies that are linked mostly to the original only, so that few neighbours in a bucket are links."""
+    rng = np.random.default_rng(11)
+    text = " ".join(f"w{j}" for j in rng.integers(0, 10_000, 200))
+    every = [text, *[_edited(rng, text, 3) for _ in range(300)]]
+    assert _kept(spark, every) == sorted(set(_groups(every)))
+
+
 # --- 8
 
 
