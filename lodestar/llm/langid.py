@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from . import langid_worker
 from .bpe import vocabulary
-from .common import ship, table
+from .common import ship, small, stored, table
 
 ship(langid_worker)
 
-#: Bounds of the sample that the model is fitted on: about so many documents, of at most so many characters each,
-#: and so many distinct words of each language.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 3_000, 20_000, 40_000
+#: Bounds of the sample that the model is fitted on: about so many documents of all, so many of each language at least
+#: (all of them where it has fewer), and so many distinct words of each language.
+SAMPLE_DOCS, LANG_DOCS, SAMPLE_WORDS = 3_000, 200, 40_000
+#: Compressed bytes up to which the languages' bounds are broadcast; beyond it, Spark shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def pieces(path: str, longest: int = 8) -> list[str]:
@@ -32,15 +34,22 @@ def fit(labelled: DataFrame, path: str) -> langid_worker.Model | None:
     """A model from the rows ``doc_id, text, lang`` given, or None without any.
 
     Rows with a null text or lang are left out. Only the sample of bounded size that is named above is read for fitting:
-    rows whose hash of doc_id falls under the share wanted.
+    rows whose hash of doc_id falls under the share wanted, and the LANG_DOCS of each language with the least hashes, so
+    that a rare language is learned too. Of a long text the first DOC_WORDS words are counted.
     """
     rows = labelled.where("text is not null and lang is not null")
     n = rows.select("lang").count()
     if not n:
         return None
     share = min(1.0, SAMPLE_DOCS / n)
-    picked = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    picked = picked.where(F.length("text") <= SAMPLE_CHARS).select("lang", "text")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # The text counts too: ids may be null or repeat, and a language's rows must not share one hash.
+    hashed = rows.select("lang", "text", F.xxhash64(name).alias("id_hash"), F.xxhash64(name, "text").alias("hash"))
+    least = Window.partitionBy("lang").orderBy("hash")
+    first = hashed.select("lang", "hash").withColumn("at", F.row_number().over(least)).where(F.col("at") <= LANG_DOCS)
+    edges = small(stored(first.groupBy("lang").agg(F.max("hash").alias("edge")), "edges"), BROADCAST_BYTES)
+    under = F.pmod("id_hash", F.lit(1 << 20)) <= int(share * (1 << 20))
+    picked = hashed.join(edges, "lang").where(under | (F.col("hash") <= F.col("edge"))).select("lang", "text")
     counted = picked.mapInArrow(langid_worker.count_batches, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
     counts: dict[str, Counter] = {}

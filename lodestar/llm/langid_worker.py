@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ MARK = "▁"
 #: Positions between rescalings, and words scored at once.
 RESCALE, WORDS = 24, 1 << 15
 BITS = 22
+#: Words that fitting counts of one text: all of any text of up to 20,000 characters.
+DOC_WORDS = 10_000
 
 
 def words_of(text: str) -> list[str]:
@@ -216,7 +219,8 @@ def count_batches(batches):
     for batch in pieces(batches):
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            counts.setdefault(lang, Counter()).update(filter(None, map(letters_only, words_of(text))))
+            found = (m.group() for m in islice(LETTERS.finditer(text.lower()), DOC_WORDS))
+            counts.setdefault(lang, Counter()).update(filter(None, map(letters_only, found)))
         flat = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([f[0] for f in flat], pa.string()), pa.array([f[1] for f in flat], pa.string()), pa.array([f[2] for f in flat], pa.int64())],

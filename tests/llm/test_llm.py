@@ -157,6 +157,20 @@ def test_languages(spark, odd, none):
     assert langid.keep_known(odd, model).columns == odd.columns
 
 
+def test_rare_and_long_languages(spark, monkeypatch):
+    """A language of few labelled rows is learned, with or without ids, and so is one of long texts only."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    words = {"en": "the house of water and light", "fr": "la maison des eaux et lumières", "de": "das haus über wasser und licht"}
+    rng = np.random.default_rng(12)
+    say = lambda lang, n: " ".join(rng.choice(words[lang].split(), n))
+    data = [(i, say("en", 30), "en") for i in range(2_000)] + [(None, say("fr", 30), "fr") for _ in range(3)] + [(5_000 + i, say("de", 6_000), "de") for i in range(3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(df, bpe.vocabulary("piece_bpe_32k.model"))
+    assert model.langs == ["de", "en", "fr"]
+    asked = spark.createDataFrame([(i, say(lang, 20)) for i, lang in enumerate(sorted(words))], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.predict(asked, model).orderBy("doc_id").collect()] == sorted(words)
+
+
 def test_forward_sums_all_segmentations():
     model = langid.langid_worker.Model(sorted(["▁", "▁a", "a", "b", "ab", "▁ab"]), ["x"])
     model.prob[:-2, 0] = np.arange(1, len(model.pieces) + 1) / 40
