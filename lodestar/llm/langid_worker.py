@@ -16,6 +16,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Positions between rescalings, and words scored at once.
 RESCALE, WORDS = 24, 1 << 15
+#: Letters from which the E step sums logarithms.
+NARROW = 40
 BITS = 22
 #: Words that fitting counts of one text: all of any text of up to 20,000 characters.
 DOC_WORDS = 10_000
@@ -117,12 +119,53 @@ class Model:
 
     def expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language: one E step, weights[word, language]."""
+        fits = np.array([len(w) < NARROW for w in words], bool)
+        short, long = np.flatnonzero(fits), np.flatnonzero(~fits)
+        total = self._expected([words[i] for i in short], weights[short])
+        return total + self._expected_scaled([words[i] for i in long], weights[long]) if len(long) else total
+
+    def _expected_scaled(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """As `_expected`, for words whose probabilities are too small for a float: sums of logarithms."""
+        logs = np.log(np.maximum(self.tables(), 1e-300))
+        total = np.zeros_like(logs)
+        for block, sizes, ids in self.lattice(words):
+            n, width, _ = ids.shape
+            # The forward and backward sums are exp(up) and exp(down); where there is none, "is" is 0.
+            up, down = (np.zeros((width + 1, n, len(self.langs))) for _ in "ab")
+            is_up, is_down = (np.zeros((width + 1, n), bool) for _ in "ab")
+            is_up[0] = True
+            is_down[sizes, np.arange(n)] = True
+
+            def spans():
+                for start in range(width):
+                    for size in range(1, min(self.longest, width - start) + 1):
+                        own = ids[:, start, size - 1]
+                        rows = np.flatnonzero(own != len(self.pieces))
+                        if len(rows):
+                            yield start, start + size, rows, own[rows]
+
+            every = list(spans())
+            for sums, there, order, at, to in ((up, is_up, every, 0, 1), (down, is_down, every[::-1], 1, 0)):
+                for span in order:
+                    old, new = span[at], span[to]
+                    ok = there[old][span[2]]
+                    rows, own = span[2][ok], span[3][ok]
+                    more = sums[old][rows] + logs[own]
+                    sums[new][rows] = np.where(there[new][rows][:, None], np.logaddexp(sums[new][rows], more), more)
+                    there[new][rows] = True
+            for start, end, rows, own in every:
+                ok = is_up[start][rows] & is_down[end][rows]
+                rows, own = rows[ok], own[ok]
+                uses = np.exp(up[start][rows] + logs[own] + down[end][rows] - down[0][rows]) * weights[block[rows]]
+                for lang in range(total.shape[1]):
+                    total[:, lang] += np.bincount(own, uses[:, lang], len(total))
+        return total
+
+    def _expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         table = self.tables()
         total = np.zeros_like(table)
         for block, sizes, ids in self.lattice(words):
             n, width, _ = ids.shape
-            if width > 40:  # fitting leaves out words that would need rescaling
-                continue
             alpha, beta = (np.zeros((width + 1, n, len(self.langs))) for _ in "ab")
             alpha[0] = 1
             beta[sizes, np.arange(n)] = 1

@@ -186,6 +186,21 @@ def test_forward_sums_all_segmentations():
         assert model.forward([word])[0, 0] == pytest.approx(np.log(total("▁" + word)), rel=1e-9)
 
 
+def test_long_words_leave_the_others_in():
+    """A run of many letters costs no other word its place in the fit, and is itself counted."""
+    pieces = sorted(["▁", "▁the", "the", "▁la", "la", "a", "e", "h", "l", "t", "▁maison", "▁house", *"日本語"])
+    counts = {"en": collections.Counter(the=5, house=3), "fr": collections.Counter(la=5, maison=3)}
+    plain = langid.langid_worker.Model(pieces, ["en", "fr"]).fit(counts)
+    model = langid.langid_worker.Model(pieces, ["en", "fr"]).fit({"en": counts["en"] | {"q" * 60: 1}, "fr": counts["fr"]})
+    assert np.allclose(plain.prob[:-2, 1], model.prob[:-2, 1])
+    for word, lang in (("the", 0), ("house", 0), ("la", 1), ("maison", 1)):
+        assert model.forward([word])[0].argmax() == lang
+    far = langid.langid_worker.Model(pieces, ["en", "ja"]).fit({"en": counts["en"], "ja": collections.Counter({"日本語" * 100: 1})})
+    assert far.forward(["日本"])[0].argmax() == 1
+    words, weights = ["the", "thelala" * 5], np.array([[1.0, 2.0], [3.0, 1.0]])
+    assert np.allclose(plain._expected(words, weights), plain._expected_scaled(words, weights))
+
+
 # --- 5
 
 
