@@ -16,8 +16,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; n_chars follows the text."""
-    found = line_dedup.drop_boilerplate(docs)
+    """Texts without the boilerplate lines of their source, exact copies counted once; n_chars follows the text."""
+    found = line_dedup.drop_boilerplate(docs, distinct=True)
     columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
     return found.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 

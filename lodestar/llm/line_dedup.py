@@ -21,32 +21,38 @@ def _blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Rows ``site, pages, keys``: per site its pages, and the MD5 keys of its boilerplate lines (trimmed, not blank).
+def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, site_col: str = "source", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """Rows ``site, pages, keys``: per site its rows, and the MD5 keys of its boilerplate lines (trimmed, not blank).
 
     A line counts once a page. The keys are counted, partly before the shuffle, and never the lines; a site of p pages
     with l lines each on average has l / ratio boilerplate lines at most, whatever p is, so one array holds them.
-    Pages without a site are one site; a null text is a page without lines.
+    Pages without a site are one site; a null text is a page without lines. If ``distinct``, pages of equal text count
+    once a site, so that copies of a page do not make all its lines boilerplate.
     """
     lines = F.array_distinct(F.transform(F.filter(F.split(text_col, "\n"), lambda x: ~_blank(x)), _key))
     # A null key stands for the page itself, so that one shuffle gives both counts.
     keys = F.concat(F.array(F.lit(None).cast("binary")), F.coalesce(lines, F.array().cast("array<binary>")))
-    counts = docs.select(F.col(site_col).alias("site"), F.explode(keys).alias("key")).groupBy("site", "key").agg(F.count("*").alias("n"))
+    pages = docs.select(F.col(site_col).alias("site"), keys.alias("keys"), F.xxhash64(text_col).alias("text_hash"))
+    if distinct:  # the keys move once for this, and the texts never
+        pages = pages.groupBy("site", "text_hash").agg(F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    else:
+        pages = pages.withColumn("copies", F.lit(1).cast("long"))
+    counts = pages.select("site", "copies", F.explode("keys").alias("key")).groupBy("site", "key").agg(F.count("*").alias("n"), F.sum("copies").alias("pages"))
     counts = stored(counts.where((F.col("n") >= least) | F.col("key").isNull()), "lines")
-    totals = counts.where("key is null").select("site", F.col("n").alias("pages"))
-    found = counts.where("key is not null").withColumnRenamed("site", "s").join(totals, F.col("s").eqNullSafe(F.col("site")))
-    found = found.where(F.col("n") > F.col("pages") * ratio).groupBy("site", "pages").agg(F.collect_set("key").alias("keys"))
+    totals = counts.where("key is null").select("site", "pages", F.col("n").alias("counted"))
+    found = counts.where("key is not null").select(F.col("site").alias("s"), "key", "n").join(totals, F.col("s").eqNullSafe(F.col("site")))
+    found = found.where(F.col("n") > F.col("counted") * ratio).groupBy("site", "pages").agg(F.collect_set("key").alias("keys"))
     return stored(found, "boilerplate")
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, site_col: str = "source", text_col: str = "text") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, site_col: str = "source", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``kept`` (the text without boilerplate lines), ``n_lines`` and ``n_dropped`` besides.
 
     Lines end at line feeds; those left keep their order and are joined by line feeds. Blank lines always stay. A null
     text stays null and has no lines. Sites of many pages meet their lines by broadcast (fewer than HOT_SITES of them),
     all others by a shuffle, in which no site has more than a small share of the rows.
     """
-    found = boilerplate(docs, ratio, least, site_col, text_col)
+    found = boilerplate(docs, ratio, least, site_col, text_col, distinct)
     total = docs.count()
     names = {"_site", "_keys", "_hot", "_lines", "_left"}
     hot = found.where(F.col("pages") * HOT_SITES > total).select(F.col("site").alias("_hot"), F.col("keys").alias("_hot_keys"))

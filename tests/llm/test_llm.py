@@ -138,6 +138,14 @@ def test_lines_of_many_sites(spark):
     assert got["d"] == 4_000 and got["t"]
 
 
+def test_copies_keep_their_lines(spark):
+    """Copies that hold a third of a site's pages are one page in the pipeline; a line that distinct pages share goes."""
+    data = [(i, f"menu\nown {i}\nmore {i}", "en", "s", 1) for i in range(60)] + [(100 + i, "one text\nof two lines", "en", "s", 1) for i in range(30)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, df, SF).collect()}
+    assert got == {i: f"own {i}\nmore {i}" if i < 60 else "one text\nof two lines" for i in [*range(60), *range(100, 130)]}
+
+
 # --- 4
 
 
