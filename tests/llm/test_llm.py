@@ -391,6 +391,24 @@ def test_near_copies_of_a_large_group(spark):
     assert _kept(spark, every) == sorted(set(_groups(every)))
 
 
+def test_near_copies_that_meet_in_no_bucket(spark):
+    """Lone pairs at the likeness that share none of the SimHash buckets are found all the same."""
+    rng = np.random.default_rng(13)
+    masks = np.array(simhash.covering_masks(simhash.PRINT_RADIUS), np.uint64)
+    run = simhash.simhash_worker.word_set_batches(simhash.PRINTS)
+    every = []
+    for i in range(4_000):
+        text = " ".join(f"p{i}w{j}" for j in rng.integers(0, 10_000, 200))
+        pair = [text, _edited(rng, text, 4)]
+        batch = simhash.simhash_worker.pa.RecordBatch.from_pydict({"node": [0, 1], "text": pair})
+        x, y = (np.array(f, np.int64).view(np.uint64) for f in next(iter(run([batch]))).column("fps").to_pylist())
+        if _groups(pair) == [0, 0] and not ((x ^ y)[:, None] & masks == 0).any():
+            every += pair
+        if len(every) == 6:
+            break
+    assert len(every) == 6 and _kept(spark, every) == [0, 2, 4]
+
+
 # --- 8
 
 
