@@ -99,21 +99,29 @@ LISTED = r"(?:\n|^)\s*(?:[*+-]|[0-9]+[).]\s)"
 COMPLEXITY_WEIGHTS = dict(n_sentences=0.10, sentence_length=0.15, diversity=0.15, technical=0.20, citations=0.10, lists=0.10, numbers=0.20)
 
 
+#: Classes of a word's characters: any but white space, and those that are no punctuation either.
+_CHAR, _INNER = r"[^\s]", "[^\\s" + "".join("\\" + c for c in PUNCTUATION) + "]"
+
+
 def complexity_parts(text: Column) -> dict[str, Column]:
-    """The seven heuristics, each from 0 to 1."""
-    pieces = sentences(text)
-    words = F.filter(F.transform(found(text, r"[^\s]+"), lambda w: F.btrim(w, F.lit(PUNCTUATION))), lambda w: w != "")
-    n, m = F.size(words), F.size(pieces)
-    spaces = F.aggregate(F.transform(pieces, lambda s: F.size(F.split(s, r"\s+"))), F.lit(0), lambda a, x: a + x)
-    share = lambda count: F.when(n > 0, count / n).otherwise(0.0)
+    """The seven heuristics, each from 0 to 1.
+
+    Words are runs between white space without the punctuation round them. All counts are those of one expression over
+    the whole text each, so that no array of words is built but for the distinct ones, and nothing leaves generated code.
+    """
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    tokens, n = count(f"{_CHAR}+"), count(f"{_INNER}{_CHAR}*")
+    m = F.when(tokens > 0, 1 + count(r"(?<=[!?.])\s+(?=[^\s])")).otherwise(0)
+    distinct = F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({_INNER}(?:{_CHAR}*{_INNER})?)"), F.lit(1))))
+    share = lambda some: F.when(n > 0, some / n).otherwise(0.0)
     return {
         "n_sentences": _ramp(m.cast("double"), 1.0, 9.0),
-        "sentence_length": F.when(m > 0, _ramp(spaces / m, 8.0, 22.0)).otherwise(0.0),
-        "diversity": F.when(n > 0, _ramp(F.size(F.array_distinct(F.transform(words, F.lower))) / n, 0.3, 0.6)).otherwise(0.0),
-        "technical": _ramp(share(F.size(found(text, TECHNICAL)) + F.size(F.filter(words, lambda w: F.length(w) > 12))), 0.0, 0.08),
-        "citations": _ramp(share(F.size(found(text, CITED))), 0.0, 0.03),
-        "lists": _ramp(share(F.size(found(text, LISTED))), 0.0, 0.05),
-        "numbers": _ramp(share(F.size(F.filter(words, lambda w: w.rlike(r"\p{Nd}")))), 0.0, 0.20),
+        "sentence_length": F.when(m > 0, _ramp(tokens / m, 8.0, 22.0)).otherwise(0.0),
+        "diversity": F.when(n > 0, _ramp(distinct / n, 0.3, 0.6)).otherwise(0.0),
+        "technical": _ramp(share(count(TECHNICAL) + count(f"{_INNER}{_CHAR}{{11,}}{_INNER}")), 0.0, 0.08),
+        "citations": _ramp(share(count(CITED)), 0.0, 0.03),
+        "lists": _ramp(share(count(LISTED)), 0.0, 0.05),
+        "numbers": _ramp(share(count(rf"\p{{Nd}}{_CHAR}*")), 0.0, 0.20),
     }
 
 
@@ -140,10 +148,15 @@ PANEL = {
 
 
 def panel_votes(text: Column) -> dict[str, Column]:
-    """One vote from 0 to 1 for each expert: word hits over 5."""
-    tokens = plain_tokens(text)
-    hits = lambda words: F.size(F.filter(tokens, lambda t: t.isin(*words.split())))
-    return {name: F.least(hits(words) / F.lit(5.0), F.lit(1.0)) for name, (_, _, words) in PANEL.items()}
+    """One vote from 0 to 1 for each expert: word hits over 5.
+
+    The words of all experts are found in one pass; what is counted is the short array of hits.
+    """
+    words = sorted({w for _, _, own in PANEL.values() for w in own.split() if w.isalnum()})
+    hits = F.transform(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9])((?i:{'|'.join(words)}))(?![A-Za-z0-9])"), F.lit(1)), F.lower)
+    vote = lambda found, own: F.least(F.size(F.filter(found, lambda t: t.isin(*own.split()))) / F.lit(5.0), F.lit(1.0))
+    votes = F.transform(F.array(hits), lambda found: F.struct(*[vote(found, own).alias(name) for name, (_, _, own) in PANEL.items()]))[0]
+    return {name: votes[name] for name in PANEL}
 
 
 def panel_mean(votes: dict[str, Column]) -> Column:

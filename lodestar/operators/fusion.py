@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lexical import frequencies, postings, query_terms, top_k
+from .lexical import Docs, corpus_size, frequencies, postings, query_terms, top_k
 
 
 def rrf(lists: dict[str, DataFrame], rrf_k: float = 60.0, weights: dict[str, float] | None = None, k: int | None = None) -> DataFrame:
@@ -35,10 +35,10 @@ def rrf(lists: dict[str, DataFrame], rrf_k: float = 60.0, weights: dict[str, flo
     return top_k(fused, k or 2**31 - 1)
 
 
-def idf_weights(docs: DataFrame, queries: DataFrame, base_sparse: float = 0.4, steepness: float = 1.5, midpoint: float = 3.0) -> DataFrame:
+def idf_weights(docs: Docs, queries: DataFrame, base_sparse: float = 0.4, steepness: float = 1.5, midpoint: float = 3.0) -> DataFrame:
     """``query_id, dense_weight, sparse_weight``: rare terms, with repeats, move weight to the sparse list."""
     asked = query_terms(queries)
-    n = F.broadcast(docs.agg(F.count("*").alias("n")))
+    n = F.broadcast(corpus_size(docs))
     rows = asked.join(frequencies(postings(docs, terms=asked)), "term", "left").crossJoin(n)
     mean = F.sum(F.col("qf") * F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))) / F.sum("qf")
     found = queries.select("query_id").join(rows.groupBy("query_id").agg(mean.alias("m")), "query_id", "left")

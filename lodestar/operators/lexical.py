@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.stage import staged
 
 Tokens = Callable[[Column], Column]
 EXPANSION_STOPWORDS = "with which where when what was to this these there then their the that or on of it is into in how from for by be at as are and an a".split()
@@ -29,19 +30,85 @@ def query_terms(queries: DataFrame, tokens: Tokens = T.compound_tokens) -> DataF
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def postings(docs: DataFrame, tokens: Tokens = T.compound_tokens, terms: DataFrame | None = None) -> DataFrame:
-    """``doc_id, term, tf, dl``; of the given ``term`` table's terms only, if there is one."""
-    rows = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+def _cut(docs: DataFrame, kinds: dict[int, Tokens], terms: DataFrame | None = None) -> DataFrame:
+    """``kind, doc_id, dl, term, tf`` of documents, from one pass that cuts each text once a kind; null terms stand for the documents themselves."""
+    cut = F.array(*[F.struct(F.lit(i).alias("kind"), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t")) for i, tokens in kinds.items()])
+    marked = F.concat(F.array(F.lit(None).cast("string")), F.col("k.t"))
+    rows = docs.select("doc_id", F.explode(cut).alias("k")).select("k.kind", "doc_id", F.size("k.t").alias("dl"), F.explode(marked).alias("term"))
     if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term")
-    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+        asked = terms.select(F.col("term").alias("asked")).distinct()
+        rows = rows.join(asked, F.col("term") == F.col("asked"), "left").where(F.col("term").isNull() | F.col("asked").isNotNull()).drop("asked")
+    return rows.groupBy("kind", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+class Index:
+    """Documents and their stored postings, by tokenizer: built once on first use, and read by every search after.
+
+    Postings are a table partitioned by tokenizer, with a row for each document besides, so that lengths and counts come
+    from it too. Functions of this module take an index wherever they take documents.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+        self._tables: dict[Tokens, DataFrame] = {}
+        self._norms: dict[Tokens, DataFrame] = {}
+
+    def build(self, *kinds: Tokens) -> Index:
+        """Adds the postings of tokenizers that it lacks, all in one pass over the documents."""
+        new = dict(enumerate(k for k in dict.fromkeys(kinds) if k not in self._tables))
+        if new:
+            stored = staged(_cut(self.docs, new), "kind")
+            self._tables |= {tokens: stored.where(F.col("kind") == i).drop("kind") for i, tokens in new.items()}
+        return self
+
+    def rows(self, tokens: Tokens) -> DataFrame:
+        return self.build(tokens)._tables[tokens]
+
+    def norms(self, tokens: Tokens) -> DataFrame:
+        """``doc_id, dn``: lengths of the documents' TF-IDF vectors, stored; they depend on no question."""
+        if tokens not in self._norms:
+            posted = postings(self, tokens)
+            weighed = posted.join(_idf(self, tokens, posted), "term").select("doc_id", (F.col("tf") / F.col("dl") * F.col("idf")).alias("dw"))
+            self._norms[tokens] = staged(weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn")))
+        return self._norms[tokens]
+
+
+Docs = DataFrame | Index
+
+
+def texts(docs: Docs) -> DataFrame:
+    return docs.docs if isinstance(docs, Index) else docs
+
+
+def _posted(docs: Docs, tokens: Tokens, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of the terms of a table, and the documents' `lengths`, both from one pass."""
+    rows = docs.rows(tokens) if isinstance(docs, Index) else staged(_cut(docs, {0: tokens}, terms).drop("kind"))
+    return rows.where("term is not null").join(terms.select("term").distinct(), "term", "left_semi"), _lengths(rows)
 
 
-def lengths(docs: DataFrame, tokens: Tokens = T.compound_tokens) -> DataFrame:
+def _lengths(rows: DataFrame) -> DataFrame:
+    return rows.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avg_dl"))
+
+
+def postings(docs: Docs, tokens: Tokens = T.compound_tokens, terms: DataFrame | None = None) -> DataFrame:
+    """``doc_id, term, tf, dl``; of the given ``term`` table's terms only, if there is one."""
+    rows = docs.rows(tokens) if isinstance(docs, Index) else _cut(docs, {0: tokens}, terms).drop("kind")
+    rows = rows.where("term is not null")
+    return rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def lengths(docs: Docs, tokens: Tokens = T.compound_tokens) -> DataFrame:
     """One row: ``n`` documents and their average length in tokens."""
+    if isinstance(docs, Index):
+        return _lengths(docs.rows(tokens))
     return docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(tokens(F.col("text"))), F.lit(0))).alias("avg_dl"))
 
 
+def corpus_size(docs: Docs) -> DataFrame:
+    """One row: ``n`` documents."""
+    return texts(docs).agg(F.count("*").alias("n"))
+
+
 def frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -50,76 +117,93 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 0.5))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, b: float = 0.75, k1: float = 1.5, tokens: Tokens = T.compound_tokens) -> DataFrame:
+def _idf(docs: Docs, tokens: Tokens, posted: DataFrame) -> DataFrame:
+    return frequencies(posted).crossJoin(F.broadcast(corpus_size(docs))).select("term", idf(F.col("n"), F.col("df")).alias("idf"))
+
+
+def bm25_scores(docs: Docs, queries: DataFrame, b: float = 0.75, k1: float = 1.5, tokens: Tokens = T.compound_tokens) -> DataFrame:
     """All positive scores as ``query_id, doc_id, score``."""
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b between 0 and 1")
     asked = query_terms(queries, tokens)
-    posted = postings(docs, tokens, asked)
-    weighed = posted.join(frequencies(posted), "term").crossJoin(F.broadcast(lengths(docs, tokens)))
+    posted, sizes = _posted(docs, tokens, asked)
+    weighed = posted.join(frequencies(posted), "term").crossJoin(F.broadcast(sizes))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avg_dl"))
     weighed = weighed.select("doc_id", "term", (idf(F.col("n"), F.col("df")) * F.col("tf") * F.lit(k1 + 1) / norm).alias("w"))
     scored = asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score"))
     return scored.where("score > 0")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, b: float = 0.75, k1: float = 1.5, tokens: Tokens = T.compound_tokens) -> DataFrame:
+def bm25(docs: Docs, queries: DataFrame, k: int = 20, b: float = 0.75, k1: float = 1.5, tokens: Tokens = T.compound_tokens) -> DataFrame:
     return top_k(bm25_scores(docs, queries, b, k1, tokens), k)
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, k: int = 5, aliases: DataFrame | None = None, rules: DataFrame | None = None, tokens: Tokens = T.long_tokens) -> DataFrame:
+def tfidf(docs: Docs, queries: DataFrame, k: int = 5, aliases: DataFrame | None = None, rules: DataFrame | None = None, tokens: Tokens = T.long_tokens) -> DataFrame:
     """TF-IDF cosine, plus the share of a query's aliases that a document's metadata meets, times the first rule's boost.
 
     ``aliases`` is ``term, target`` (a metadata key, or ``key:value``), against a ``metadata`` map of ``docs``;
     ``rules`` is ``ordinal, domain, keyword, boost, reason``, against a ``domain`` column. Terms that no document has
     weigh nothing.
     """
+    index = docs if isinstance(docs, Index) else Index(docs)
     asked = query_terms(queries, tokens)
-    posted = postings(docs, tokens)
-    weights = frequencies(posted).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", idf(F.col("n"), F.col("df")).alias("idf"))
+    posted = postings(index, tokens, asked)
+    weights = _idf(index, tokens, posted)
     whole = Window.partitionBy("query_id")
     q = asked.withColumn("ql", F.sum("qf").over(whole)).join(weights, "term").select("query_id", "term", (F.col("qf") / F.col("ql") * F.col("idf")).alias("qw"))
     q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     d = posted.join(weights, "term").select("doc_id", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("dw"))
-    d_norm = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
     dots = q.join(d, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
-    scored = dots.join(d_norm, "doc_id").join(q_norm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score"))
+    scored = dots.join(index.norms(tokens), "doc_id").join(q_norm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score"))
     if aliases is not None:
-        scored = scored.unionByName(alias_scores(docs, asked, aliases)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+        scored = with_aliases(index.docs, asked, scored, aliases, k)
     scored = scored.withColumn("reason", F.lit(None).cast("string"))
     if rules is not None:
-        scored = scored.drop("reason").join(first_rules(docs, queries, rules), ["query_id", "doc_id"], "left")
+        scored = scored.drop("reason").join(index.docs.select("doc_id", "domain"), "doc_id").join(first_rules(queries, rules), ["query_id", "domain"], "left")
         scored = scored.select("query_id", "doc_id", (F.col("score") * F.coalesce("boost", F.lit(1.0))).alias("score"), "reason")
     return top_k(scored.withColumn("score", F.round("score", 6)).where("score > 0"), k)
 
 
-def alias_scores(docs: DataFrame, asked: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Share of a query's distinct alias terms of which the document's metadata holds a target."""
-    used = asked.select("query_id", "term").distinct().join(aliases, "term")
-    total = used.groupBy("query_id").agg(F.count_distinct("term").alias("of"))
-    held = docs.select("doc_id", F.explode("metadata").alias("key", "value"))
-    held = held.select("doc_id", F.explode(F.array("key", F.concat_ws(":", "key", "value"))).alias("target")).distinct()
-    met = used.join(held, "target").groupBy("query_id", "doc_id").agg(F.count_distinct("term").alias("met"))
-    return met.join(total, "query_id").select("query_id", "doc_id", (F.col("met") / F.col("of")).alias("score"))
+def with_aliases(docs: DataFrame, asked: DataFrame, scored: DataFrame, aliases: DataFrame, k: int) -> DataFrame:
+    """Scores ``query_id, doc_id, score``, each plus the share of a query's distinct alias terms of which the document's metadata holds a target.
 
-
-def first_rules(docs: DataFrame, queries: DataFrame, rules: DataFrame) -> DataFrame:
-    """``query_id, doc_id, boost, reason`` of the first rule with a keyword in the query and the document's domain."""
+    Documents without a score come in too, but not all of them: those that hold the same targets, in the same domain,
+    have the same share, so the first k of each such profile stand for the rest of it in any top k.
+    """
+    used = asked.select("query_id", "term").distinct().join(F.broadcast(aliases), "term")
+    total = used.groupBy("query_id").agg(F.count_distinct("term").alias("of"))
+    targets = F.broadcast(aliases.select("target").distinct())
+    kept = ["doc_id", "domain"] if "domain" in docs.columns else ["doc_id"]
+    held = docs.select(*kept, F.explode("metadata").alias("key", "value"))
+    held = held.select(*kept, F.explode(F.array("key", F.concat_ws(":", "key", "value"))).alias("target")).join(targets, "target")
+    profiled = held.groupBy(*kept).agg(F.array_sort(F.collect_set("target")).alias("profile"))
+    profiles = profiled.select("profile").distinct()
+    share = used.join(profiles.withColumn("target", F.explode("profile")), "target").groupBy("query_id", "profile").agg(F.count_distinct("term").alias("met"))
+    share = share.join(total, "query_id").select("query_id", "profile", (F.col("met") / F.col("of")).alias("share"))
+    first = Window.partitionBy("profile", *kept[1:]).orderBy("doc_id")
+    stand = profiled.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k).join(share, "profile").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    every = scored.unionByName(stand).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    every = every.join(profiled.select("doc_id", "profile"), "doc_id", "left").join(share, ["query_id", "profile"], "left")
+    return every.select("query_id", "doc_id", (F.col("score") + F.coalesce("share", F.lit(0.0))).alias("score"))
+
+
+def first_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
+    """``query_id, domain, boost, reason`` of the first rule with a keyword in the query; documents meet it by their domain."""
     # Rules are a table of configuration; whether one applies depends on query and domain alone.
     hit = queries.join(F.broadcast(rules), F.contains(F.lower("query"), F.lower("keyword")))
     first = hit.groupBy("query_id", "domain").agg(F.min_by(F.struct("boost", "reason"), "ordinal").alias("r"))
-    return first.join(docs.select("doc_id", "domain"), "domain").select("query_id", "doc_id", "r.boost", "r.reason")
+    return first.select("query_id", "domain", "r.boost", "r.reason")
 
 
-def matched_terms(docs: DataFrame, queries: DataFrame, hits: DataFrame, tokens: Tokens = T.plain_tokens) -> DataFrame:
+def matched_terms(docs: Docs, queries: DataFrame, hits: DataFrame, tokens: Tokens = T.plain_tokens) -> DataFrame:
     """Hits with the sorted terms that query and document share."""
-    rows = hits.join(queries, "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    rows = hits.join(queries, "query_id").join(texts(docs).select("doc_id", "text"), "doc_id")
     return rows.withColumn("matched_terms", F.array_sort(F.array_intersect(tokens(F.col("query")), tokens(F.col("text"))))).drop("text", "query")
 
 
-def expansion_terms(docs: DataFrame, queries: DataFrame, hits: DataFrame, top: int = 3, most: int = 8, tokens: Tokens = T.compound_tokens, stopwords: list[str] = EXPANSION_STOPWORDS) -> DataFrame:
+def expansion_terms(docs: Docs, queries: DataFrame, hits: DataFrame, top: int = 3, most: int = 8, tokens: Tokens = T.compound_tokens, stopwords: list[str] = EXPANSION_STOPWORDS) -> DataFrame:
     """``query_id, terms``: frequent terms of the first ``top`` hits that neither the query nor the stopwords have."""
-    rows = hits.where(F.col("rank") <= top).join(docs.select("doc_id", "text"), "doc_id")
+    rows = hits.where(F.col("rank") <= top).join(texts(docs).select("doc_id", "text"), "doc_id")
     rows = rows.select("query_id", "rank", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
     counted = rows.groupBy("query_id", "term").agg(F.count("*").alias("n"), F.min(F.struct("rank", "pos")).alias("first"))
     counted = counted.where((F.length("term") >= 3) & F.col("term").rlike("[A-Za-z]") & ~F.col("term").isin(*stopwords))
@@ -133,14 +217,14 @@ def expanded_queries(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return queries.join(terms, "query_id", "left").select("query_id", F.concat_ws(" ", F.trim("query"), F.array_join(F.coalesce("terms", F.array().cast("array<string>")), " ")).alias("query"))
 
 
-def antiflood(docs: DataFrame, queries: DataFrame, hits: DataFrame, share: float = 0.1, tokens: Tokens = T.plain_tokens) -> DataFrame:
+def antiflood(docs: Docs, queries: DataFrame, hits: DataFrame, share: float = 0.1, tokens: Tokens = T.plain_tokens) -> DataFrame:
     """Hits without those whose matched terms are all in more than a ``share`` of documents; ranks stay as they were.
 
     Queries of common terms only, or of none, keep everything.
     """
     asked = query_terms(queries, tokens).select("query_id", "term")
     posted = postings(docs, tokens, asked)
-    n = F.broadcast(docs.agg(F.count("*").alias("n")))
+    n = F.broadcast(corpus_size(docs))
     common = asked.join(frequencies(posted), "term", "left").crossJoin(n).select("query_id", "term", (F.coalesce("df", F.lit(0)) > F.lit(share) * F.col("n")).alias("common"))
     mixed = common.groupBy("query_id").agg((F.bool_or("common") & ~F.bool_and("common")).alias("mixed"))
     matched = hits.select("query_id", "doc_id").join(common, "query_id").join(posted.select("doc_id", "term"), ["doc_id", "term"])
@@ -158,7 +242,7 @@ def sub_queries(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", F.posexplode("parts").alias("part", "query")).where(F.length("query") >= 5)
 
 
-def decompose_merge(docs: DataFrame, queries: DataFrame, evidence: DataFrame, k: int = 20, discount: float = 0.8) -> DataFrame:
+def decompose_merge(docs: Docs, queries: DataFrame, evidence: DataFrame, k: int = 20, discount: float = 0.8) -> DataFrame:
     """Evidence with each aspect's own hits that it lacks, discounted; the first aspect that finds a document has it; 0-based ranks."""
     parts = sub_queries(queries)
     asked = parts.select(F.struct("query_id", "part").alias("key"), "query").withColumnRenamed("key", "query_id")
@@ -169,7 +253,7 @@ def decompose_merge(docs: DataFrame, queries: DataFrame, evidence: DataFrame, k:
     return both.select("query_id", "doc_id", F.round("score", 6).alias("score"), "part", (F.row_number().over(order) - 1).alias("rank"))
 
 
-def multi_hop(docs: DataFrame, queries: DataFrame, evidence: DataFrame, hops: int = 2, limit: int = 10, k: int = 20, most: int = 8, tokens: Tokens = T.plain_tokens) -> DataFrame:
+def multi_hop(docs: Docs, queries: DataFrame, evidence: DataFrame, hops: int = 2, limit: int = 10, k: int = 20, most: int = 8, tokens: Tokens = T.plain_tokens) -> DataFrame:
     """Evidence grown by ``hops`` - 1 follow-up searches: the query with frequent new terms of its first five documents.
 
     Scores of new documents are plain BM25, so they come before fused ones; the best ``limit`` stay, with 0-based ranks.

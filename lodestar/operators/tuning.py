@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import cosine
 from .fusion import rrf
-from .lexical import Tokens, bm25, frequencies, postings
+from .lexical import Docs, Index, Tokens, bm25, corpus_size, frequencies, postings, texts
 
 
-def corpus_signals(docs: DataFrame, tokens: Tokens = T.plain_tokens) -> DataFrame:
+def corpus_signals(docs: Docs, tokens: Tokens = T.plain_tokens) -> DataFrame:
     """One row: mean and sample deviation of lengths, size, share of common terms, vocabulary per token, share of short texts."""
-    sizes = docs.select(F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("n"))
+    index = docs if isinstance(docs, Index) else Index(docs)
+    sizes = index.rows(tokens).where("term is null").select(F.col("dl").alias("n"), F.explode(F.sequence(F.lit(1), F.col("tf").cast("int"))))
     whole = sizes.agg(F.count("*").alias("corpus_size"), F.avg("n").alias("m"), F.stddev_samp("n").alias("sd"), F.sum("n").alias("total"), F.avg((F.col("n") < 200).cast("double")).alias("short"))
-    seen = frequencies(postings(docs, tokens)).crossJoin(F.broadcast(docs.agg(F.count("*").alias("size"))))
+    seen = frequencies(postings(index, tokens)).crossJoin(F.broadcast(corpus_size(index).withColumnRenamed("n", "size")))
     terms = seen.agg(F.count("*").alias("vocabulary"), F.avg((F.col("df") > F.col("size") * 0.1).cast("double")).alias("common"))
     both = whole.crossJoin(terms)
     lone = F.col("corpus_size") == 1
@@ -67,11 +68,14 @@ def gap_advice(gap: Column) -> Column:
     return F.when(gap < 0.3, "none").when(gap < 0.6, "optional").otherwise("recommended")
 
 
-def pseudo_queries(docs: DataFrame, held_out: Column, tokens: Tokens = T.plain_tokens, most: int = 20, terms: int = 5) -> DataFrame:
-    """``query_id, query, doc_id``: the ``terms`` best TF-IDF terms of up to ``most`` held-out documents (a report's limit)."""
-    train, rest = docs.where(~held_out), docs.where(held_out)
-    n = F.broadcast(train.agg(F.count("*").alias("n")))
-    posted = postings(rest, tokens).join(frequencies(postings(train, tokens)), "term", "left").crossJoin(n)
+def pseudo_queries(docs: Docs, held_out: Column, tokens: Tokens = T.plain_tokens, most: int = 20, terms: int = 5) -> DataFrame:
+    """``query_id, query, doc_id``: the ``terms`` best TF-IDF terms of up to ``most`` held-out documents (a report's limit).
+
+    ``held_out`` is a condition on ``doc_id``.
+    """
+    every = postings(docs if isinstance(docs, Index) else Index(docs), tokens)
+    n = F.broadcast(texts(docs).where(~held_out).agg(F.count("*").alias("n")))
+    posted = every.where(held_out).join(frequencies(every.where(~held_out)), "term", "left").crossJoin(n)
     scored = posted.withColumn("s", F.round(F.col("tf") / F.col("dl") * F.log(F.col("n") / (1 + F.coalesce("df", F.lit(0)))), 6))
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("s").desc(), "term"))
     best = scored.withColumn("at", at).where(F.col("at") <= terms).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("t"))

@@ -121,6 +121,12 @@ class Context:
     lists: Mapping[str, DataFrame] = field(default_factory=dict)
     weights: DataFrame | None = None
     evidence: DataFrame | None = None
+    index: lexical.Index | None = None
+
+    @property
+    def corpus(self) -> lexical.Docs:
+        """The documents' stored index, which a run makes; outside of one, the documents."""
+        return self.docs if self.index is None else self.index
 
     @property
     def asked(self) -> DataFrame:
@@ -156,12 +162,12 @@ def _votes() -> dict:
 
 @step("sparse_bm25")
 def _sparse(c):
-    return replace(c, lists={**c.lists, "sparse": lexical.bm25(c.docs, c.asked, max(c.limit, c.strategy.depth), tokens=T.plain_tokens)})
+    return replace(c, lists={**c.lists, "sparse": lexical.bm25(c.corpus, c.asked, max(c.limit, c.strategy.depth), tokens=T.plain_tokens)})
 
 
 @step("bm25_antiflood")
 def _antiflood(c):
-    return replace(c, lists={**c.lists, "sparse": lexical.antiflood(c.docs, c.asked, c.lists["sparse"])}) if "sparse" in c.lists else c
+    return replace(c, lists={**c.lists, "sparse": lexical.antiflood(c.corpus, c.asked, c.lists["sparse"])}) if "sparse" in c.lists else c
 
 
 @step("hyde_expansion")
@@ -177,7 +183,7 @@ def _dense(c):
 
 @step("adaptive_fusion_weights")
 def _weights(c):
-    return replace(c, weights=fusion.idf_weights(c.docs, c.asked, c.strategy.sparse_weight))
+    return replace(c, weights=fusion.idf_weights(c.corpus, c.asked, c.strategy.sparse_weight))
 
 
 @step("rrf_fusion")
@@ -194,7 +200,7 @@ def _fuse(c):
         else:
             lists[name] = hits.withColumn("weight", F.lit(getattr(c.strategy, side) / share))
     fused = fusion.rrf(lists, k=c.limit)
-    return replace(c, evidence=lexical.matched_terms(c.docs, c.asked, fused))
+    return replace(c, evidence=lexical.matched_terms(c.corpus, c.asked, fused))
 
 
 @step("dense_to_evidence")
@@ -205,7 +211,7 @@ def _direct(c):
     hits = c.lists[names[0]].where(F.col("rank") <= c.limit)
     of = lambda column: F.create_map(F.lit(names[0]), column)
     rows = hits.withColumn("source_ranks", of("rank")).withColumn("source_scores", of("score")).withColumn("rank", F.col("rank") - 1)
-    return replace(c, evidence=lexical.matched_terms(c.docs, c.asked, rows))
+    return replace(c, evidence=lexical.matched_terms(c.corpus, c.asked, rows))
 
 
 @step("intersection_boost")
@@ -243,7 +249,7 @@ def _route(c):
 @step("query_expansion")
 def _expand(c):
     """Searches again with frequent terms of the first hits; earlier boosts and plug-in lists start anew."""
-    terms = lexical.expansion_terms(c.docs, c.asked, c.evidence.withColumn("rank", F.col("rank") + 1), tokens=T.plain_tokens)
+    terms = lexical.expansion_terms(c.corpus, c.asked, c.evidence.withColumn("rank", F.col("rank") + 1), tokens=T.plain_tokens)
     again = replace(c, expanded=lexical.expanded_queries(c.asked, terms), lists={})
     for name in "sparse_bm25 dense_vector rrf_fusion".split():
         again = STEPS[name](again)
@@ -255,7 +261,7 @@ def _expand(c):
 
 @step("query_decompose")
 def _decompose(c):
-    found = lexical.decompose_merge(c.docs, c.queries, c.evidence).drop("part")
+    found = lexical.decompose_merge(c.corpus, c.queries, c.evidence).drop("part")
     return replace(c, evidence=found.join(c.evidence.drop("score", "rank"), ["query_id", "doc_id"], "left"))
 
 
@@ -278,7 +284,7 @@ def _coherent(c):
 
 @step("multi_hop_retrieval")
 def _hops(c):
-    found = lexical.multi_hop(c.docs, c.queries, c.evidence, limit=c.limit)
+    found = lexical.multi_hop(c.corpus, c.queries, c.evidence, limit=c.limit)
     return replace(c, evidence=found.drop("hop").join(c.evidence.drop("score", "rank"), ["query_id", "doc_id"], "left"))
 
 
@@ -315,6 +321,7 @@ def _tension(c):
 
 def run(context: Context, steps: list[str] | tuple[str, ...] | None = None) -> Context:
     """The context after its strategy's steps, or those given; an unknown name is a KeyError."""
+    context = replace(context, index=context.index or lexical.Index(context.docs))
     for name in steps or context.strategy.steps:
         if name not in STEPS:
             raise KeyError(f"no step {name!r}")

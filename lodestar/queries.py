@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import vectors as V
 from .operators import dense, fusion, lexical, multiscale
+from .sources import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +42,16 @@ def asked(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_INDEXES: dict[tuple, lexical.Index] = {}
+
+
+def indexed(spark, d, *kinds) -> lexical.Index:
+    """The documents' stored index, built once in a session for the same files, with the tokenizers named."""
+    docs = documents(spark, d)
+    key = (spark.sparkContext.applicationId, stage.fingerprint(docs))
+    return _INDEXES.setdefault(key, lexical.Index(docs)).build(*kinds)
+
+
 # --- SQL that several oracles share
 
 PLAIN = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda t: lower(t))"
@@ -85,7 +96,7 @@ EVIDENCE_SQL = f"WITH {bm25_sql('bm', 20)},\n{tfidf_sql('tf', 20)},\n{rrf_sql(10
 
 def evidence(spark, d) -> DataFrame:
     """The ten best documents of each question by fused BM25 and TF-IDF."""
-    docs, qs = documents(spark, d), asked(spark, d)
+    docs, qs = indexed(spark, d, T.compound_tokens, T.long_tokens), asked(spark, d)
     lists = {"dense": lexical.tfidf(docs, qs, 20), "sparse": lexical.bm25(docs, qs, 20)}
     return fusion.rrf(lists, weights={"dense": 0.6, "sparse": 0.4}, k=10)
 
@@ -105,12 +116,12 @@ def ranked(df: DataFrame, *more: str) -> DataFrame:
 
 @query(f"WITH {bm25_sql('bm', 20)} SELECT * FROM bm")
 def bm25_topk(spark, d):
-    return ranked(lexical.bm25(documents(spark, d), asked(spark, d), 20))
+    return ranked(lexical.bm25(indexed(spark, d), asked(spark, d), 20))
 
 
 @query(f"WITH {tfidf_sql('tf', 5)} SELECT * FROM tf")
 def tfidf_topk(spark, d):
-    return ranked(lexical.tfidf(documents(spark, d), asked(spark, d), 5))
+    return ranked(lexical.tfidf(indexed(spark, d), asked(spark, d), 5))
 
 
 RULES = [(0, "src1", "the", 1.5, "first"), (1, "src1", "of", 2.0, "second"), (2, "src3", "and", 0.5, "third")]
@@ -192,7 +203,7 @@ SELECT query_id, round(d / (d + s), 6) AS dense_weight, round(s / (d + s), 6) AS
 
 @query(IDF_SQL)
 def idf_fusion_weights(spark, d):
-    return fusion.idf_weights(documents(spark, d), asked(spark, d))
+    return fusion.idf_weights(indexed(spark, d), asked(spark, d))
 
 
 @query(reranked_sql(f"ev.score * (1 + 0.5 * len(list_intersect({PLAIN.format('b.text')}, {PLAIN.format('substr(o.text, 1, 60)')})) / len(list_distinct({PLAIN.format('b.text')})))", "JOIN benchmark b ON b.item_id = ev.query_id JOIN documents o USING (doc_id)"))
@@ -236,7 +247,7 @@ flood AS (SELECT bm.query_id, bm.doc_id FROM bm JOIN c USING (query_id) JOIN p O
 SELECT bm.* FROM bm ANTI JOIN flood USING (query_id, doc_id)"""
 )
 def antiflood(spark, d):
-    docs, qs = documents(spark, d), asked(spark, d)
+    docs, qs = indexed(spark, d, T.compound_tokens, T.plain_tokens), asked(spark, d)
     return ranked(lexical.antiflood(docs, qs, lexical.bm25(docs, qs, 20)))
 
 
@@ -248,7 +259,7 @@ SELECT query_id, string_agg(term, ' ' ORDER BY nth) AS terms FROM k GROUP BY que
 
 @query(EXPANSION_SQL)
 def expansion_terms(spark, d):
-    found = lexical.expansion_terms(documents(spark, d), asked(spark, d), evidence(spark, d))
+    found = lexical.expansion_terms(indexed(spark, d), asked(spark, d), evidence(spark, d))
     return found.select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
@@ -269,7 +280,7 @@ x AS (SELECT query_id, doc_id, score, -1 AS part FROM ev UNION ALL SELECT * FROM
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(part AS INT) AS part, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, part, doc_id) - 1 AS INT) AS rank FROM x"""
 )
 def decompose_merge(spark, d):
-    found = lexical.decompose_merge(documents(spark, d), asked(spark, d), evidence(spark, d))
+    found = lexical.decompose_merge(indexed(spark, d), asked(spark, d), evidence(spark, d))
     return found.select("query_id", "doc_id", "score", F.col("part").cast("int").alias("part"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -283,5 +294,5 @@ x AS (SELECT query_id, doc_id, score, 1 AS hop, rank AS prev FROM ev UNION ALL S
 SELECT query_id, doc_id, score, CAST(hop AS INT) AS hop, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prev, doc_id) - 1 AS INT) AS rank FROM x QUALIFY rank < 10"""
 )
 def multi_hop(spark, d):
-    found = lexical.multi_hop(documents(spark, d), asked(spark, d), evidence(spark, d))
+    found = lexical.multi_hop(indexed(spark, d), asked(spark, d), evidence(spark, d))
     return ranked(found, "hop")

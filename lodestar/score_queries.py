@@ -8,7 +8,8 @@ from .functions import questions as Q
 from .functions import sensitive as S
 from .functions import text as T
 from .operators import answers, chunking, fusion, graph, lexical, multiscale, training, tuning, verify
-from .queries import EVIDENCE_SQL, PLAIN, asked, bm25_sql, documents, evidence, query, ranked, reranked_sql, table
+from .queries import EVIDENCE_SQL, PLAIN, asked, bm25_sql, documents, evidence, indexed, query, ranked, reranked_sql, table
+from .sources import stage
 
 # --- Text scores
 
@@ -373,7 +374,7 @@ def ndcg_mrr(spark, d):
     grams = docs.select("doc_id", "text", F.split("text", r"\s+").alias("w")).select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 4)))).alias("h"))
     firsts = qs.select("query_id", "query", F.xxhash64(F.slice(F.split("query", r"\s+"), 2, 4)).alias("h"))
     relevant = grams.join(firsts, "h").where(F.contains("text", "query")).select("query_id", "doc_id").distinct()
-    return verify.ranking_metrics(lexical.bm25(docs, qs, 10), relevant, qs, 10)
+    return verify.ranking_metrics(lexical.bm25(indexed(spark, d), qs, 10), relevant, qs, 10)
 
 
 @query(f"{EVIDENCE_SQL}, l AS (SELECT query_id, count(*) AS n, string_agg(CASE WHEN rank <= 3 THEN '- ' || substr(text, 1, 60) || ': ' || substr(text, 1, 180) END, chr(10) ORDER BY rank) AS lines FROM ev JOIN documents USING (doc_id) GROUP BY query_id), s AS (SELECT item_id, CASE WHEN len(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS shown FROM benchmark) SELECT item_id AS query_id, CASE WHEN n IS NULL THEN 'No cited evidence found for: ' || shown ELSE 'Retrieved ' || n || ' cited evidence item(s) for: ' || shown || chr(10) || lines END AS answer FROM s LEFT JOIN l ON item_id = query_id")
@@ -514,7 +515,7 @@ SELECT round(avg(len(t)), 6) AS avg_length, round(stddev_samp(len(t)), 6) AS len
 round((SELECT count(*) FROM f) / sum(len(t)), 6) AS richness, round(avg(CAST(len(t) < 200 AS INT)), 6) AS short_share FROM s"""
 )
 def corpus_signals(spark, d):
-    return tuning.corpus_signals(documents(spark, d))
+    return tuning.corpus_signals(indexed(spark, d))
 
 
 @query()
@@ -523,7 +524,7 @@ def embedding_quality(spark, d):
 
 
 def pseudo(spark, d):
-    return tuning.pseudo_queries(documents(spark, d).select("doc_id", "text"), F.col("doc_id") % 5 == 0)
+    return tuning.pseudo_queries(indexed(spark, d), F.col("doc_id") % 5 == 0)
 
 
 PSEUDO_SQL = f"""p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(t) AS term FROM (SELECT doc_id, {PLAIN.format('text')} AS t, len({PLAIN.format('text')}) AS dl FROM documents)) GROUP BY ALL),
@@ -538,6 +539,11 @@ def pseudo_queries(spark, d):
     return pseudo(spark, d)
 
 
+def thirds(text):
+    """Runs of three letters, which stand for a dense search here."""
+    return T.found(F.lower(text), "[a-z]{3}")
+
+
 _grid = "(SELECT CAST((w - 1) * 9 + (e - 1) * 3 + k - 1 AS INT) AS point, (w + 2) / 10 AS dense_weight, CAST([50, 100, 150][e] AS INT) AS depth, [30.0, 60.0, 90.0][k]::DOUBLE AS rrf_k FROM range(1, 7) a(w), range(1, 4) b(e), range(1, 4) c(k))"
 
 
@@ -549,8 +555,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY point, query_id ORDER BY score
 SELECT g.point, g.dense_weight, g.depth, g.rrf_k, round(coalesce(sum(1 / r) / (SELECT count(*) FROM pq), 0), 6) AS mrr FROM {_grid} g LEFT JOIN rk ON g.point = rk.point AND rk.query_id = rk.doc_id GROUP BY ALL"""
 )
 def calibration_grid(spark, d):
-    docs, asked_ = documents(spark, d), pseudo(spark, d)
-    thirds = lambda c: T.found(F.lower(c), "[a-z]{3}")
+    docs, asked_ = indexed(spark, d, T.plain_tokens, thirds), stage.staged(pseudo(spark, d))
     lists = {"sparse": lexical.bm25(docs, asked_, 150, tokens=T.plain_tokens), "dense": lexical.bm25(docs, asked_, 150, tokens=thirds)}
     return tuning.calibration_grid(lists, asked_)
 
