@@ -8,62 +8,103 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..functions.vectors import cosine
 from .lexical import Tokens, top_k
 
-#: Queries that are held at once: 2,048 x 1,024 doubles are 16 MB.
-BLOCK = 2_048
+#: Bytes of the queries that go out together, and cells of a product that a task holds at once (32 MB).
+BLOCK_BYTES, CELLS = 64 << 20, 1 << 22
+
+
+def blocks(queries: DataFrame, *more: str) -> Iterator[Broadcast]:
+    """The queries ``query_id, vec`` and further columns in broadcasts of BLOCK_BYTES: (ids, matrix, {name: values}).
+
+    The driver reads one block at a time; null vectors are left out. ValueError for vectors of different lengths.
+    """
+    context = queries.sparkSession.sparkContext
+    now: list = []
+
+    def send() -> Broadcast:
+        if len({len(r["vec"]) for r in now}) > 1:
+            raise ValueError("vectors differ in length")
+        return context.broadcast(([r["query_id"] for r in now], np.array([r["vec"] for r in now], float), {c: [r[c] for r in now] for c in more}))
+
+    for r in queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"), *more).where("vec is not null").toLocalIterator():
+        now.append(r)
+        if len(now) * 8 * max(1, len(r["vec"])) >= BLOCK_BYTES:
+            yield send()
+            now = []
+    if now:
+        yield send()
+
+
+def matrix(column, dim: int) -> np.ndarray:
+    """An Arrow column of lists without nulls as rows of a matrix."""
+    x = np.array(column.flatten().to_numpy(zero_copy_only=False), float)
+    if len(x) != len(column) * dim:
+        raise ValueError("vectors differ in length")
+    return x.reshape(len(column), dim)
+
+
+def over_blocks(rows: DataFrame, queries: DataFrame, run: Callable[[Broadcast], Callable], schema: str, *more: str) -> DataFrame:
+    """What ``run(block)`` makes of the rows' Arrow batches, for all blocks of the queries: one pass over the rows a block."""
+    out = rows.sparkSession.createDataFrame([], schema)
+    for block in blocks(queries, *more):
+        out = out.unionByName(rows.mapInArrow(run(block), schema))
+    return out
 
 
 def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``query_id, doc_id, score, rank``: the k largest positive cosines of each query, over all vectors.
 
-    Tables are ``doc_id, vec`` and ``query_id, vec``. Queries come to the driver and go out in blocks of BLOCK; for each,
-    one pass over the vectors multiplies matrices and keeps k hits a query and Arrow batch, so what is shuffled grows
-    with batches and queries, not with pairs. Zero and null vectors find nothing and are not found.
+    Tables are ``doc_id, vec`` and ``query_id, vec``. Queries go out in blocks; for each, one pass over the vectors
+    multiplies matrices and keeps k hits a query and Arrow batch, so what is shuffled grows with batches and queries, not
+    with pairs. Zero and null vectors find nothing and are not found.
     """
-    asked = [(r["query_id"], r["vec"]) for r in queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).where("vec is not null").toLocalIterator()]
-    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()
     rows = vectors.where("vec is not null").select("doc_id", F.col("vec").cast("array<double>").alias("vec"))
-    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
-    parts = [rows.mapInArrow(_block_search(asked[at : at + BLOCK], k), schema) for at in range(0, len(asked), BLOCK)]
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return top_k(found, k)
-
-
-def _block_search(block: list, k: int):
-    def run(batches):
-        ids = [b[0] for b in block]
-        q = np.array([b[1] for b in block], float)
-        q_norm = np.sqrt((q * q).sum(1))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column("vec").flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
-            if x.shape[1] != q.shape[1]:
-                raise ValueError("vectors differ in length")
-            scale = q_norm[:, None] * np.sqrt((x * x).sum(1))[None, :]
-            score = np.round(np.divide(q @ x.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
-            docs = batch.column("doc_id")
-            place = np.argsort(np.array(docs.to_pylist(), dtype=object), kind="stable").argsort()
-            out = ([], [], [])
-            for i, own in enumerate(score):
-                some = np.flatnonzero(own > 0)
-                best = some[np.lexsort((place[some], -own[some]))[:k]]
-                out[0].extend([ids[i]] * len(best))
-                out[1].extend(best.tolist())
-                out[2].extend(own[best].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), docs.take(pa.array(out[1], pa.int64())), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "score"])
-
-    return run
+    kinds = queries.schema["query_id"].dataType, vectors.schema["doc_id"].dataType
+    schema = f"query_id {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score double"
+    return top_k(over_blocks(rows, queries, _search(k, to_arrow_type(kinds[0])), schema), k)
+
+
+def _search(k: int, id_type: pa.DataType):
+    def of(block: Broadcast):
+        def run(batches):
+            ids, queries, _ = block.value
+            asked = pa.array(ids, id_type)
+            q_norm = np.sqrt((queries * queries).sum(1))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, docs = matrix(batch.column("vec"), queries.shape[1]), batch.column("doc_id")
+                x_norm = np.sqrt((x * x).sum(1))
+                place = np.argsort(np.array(docs.to_pylist(), dtype=object), kind="stable").argsort()
+                step = max(1, CELLS // len(x))
+                for at in range(0, len(queries), step):
+                    scale = q_norm[at : at + step, None] * x_norm[None, :]
+                    score = np.round(np.divide(queries[at : at + step] @ x.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
+                    row, best = first_of_rows(score, place, k, score > 0)
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(row + at)), docs.take(pa.array(best)), pa.array(score[row, best])], ["query_id", "doc_id", "score"])
+
+        return run
+
+    return of
+
+
+def first_of_rows(score: np.ndarray, place: np.ndarray, k: int, fits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest scores of each row, ties by place; where ``fits``, if it is given."""
+    least = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
+    row, column = np.nonzero((score >= least) if fits is None else (score >= least) & fits)
+    order = np.lexsort((place[column], -score[row, column], row))
+    row, column = row[order], column[order]
+    starts = np.searchsorted(row, np.arange(len(score)))
+    keep = np.arange(len(row)) - starts[row] < k
+    return row[keep], column[keep]
 
 
 def hash_embeddings(docs: DataFrame, dim: int = 256, tokens: Tokens = T.compound_tokens) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.stage import staged
 from .lexical import top_k
 
 
@@ -36,14 +37,17 @@ def search_families(methods: DataFrame, families: DataFrame, memberships: DataFr
     found = joined.groupBy("query_id", "key").agg(best.alias("b"), F.max("score").alias("score"))
     found = found.select("query_id", "key", "b.family_id", "b.method_id", "score", F.lit("direct").alias("source"), F.array().cast("array<string>").alias("reasons"))
     if expand:
+        found = staged(found)
         found = _with_neighbours(methods, families, memberships, found, k, approved_only)
     return top_k(found, k, "key")
 
 
-def family_edges(methods: DataFrame, families: DataFrame, memberships: DataFrame) -> DataFrame:
-    """``a, b, weight, reasons, only_category`` both ways, for pairs of weight 0.30 or more.
+def family_edges(methods: DataFrame, families: DataFrame, memberships: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """``a, b, weight, reasons, only_category`` both ways, for pairs of weight 0.30 or more; ``a`` of the ``seeds`` (a table of family_id) alone, if given.
 
-    Pairs are never enumerated: each comes from a key that both have (an origin, source, category, language or token).
+    A pair comes from an origin, source, category or token that both have; a language, which all families may share,
+    weighs too little to make an edge, and is looked up for these pairs afterwards. For a stated set of seeds that is
+    at most a row for each seed and family, however common a key is.
     """
     own = memberships.join(methods, "method_id")
     tagged = own.select("family_id", F.explode("tags").alias("tag"))
@@ -64,10 +68,17 @@ def family_edges(methods: DataFrame, families: DataFrame, memberships: DataFrame
     tokens = families.select("family_id", F.explode(T.graph_tokens(named)).alias("v")).unionByName(own.select("family_id", F.explode(T.graph_tokens(member)).alias("v"))).distinct()
     sizes = tokens.groupBy("family_id").agg(F.count("*").alias("n"))
     keys = keys.unionByName(tokens.select("family_id", F.lit("token").alias("kind"), "v"))
-    pairs = keys.select(F.col("family_id").alias("a"), "kind", "v").join(keys.select(F.col("family_id").alias("b"), "kind", "v"), ["kind", "v"]).where("a <> b")
+    keys = staged(keys)
+    drawn = keys.where("kind <> 'language'")
+    left = drawn if seeds is None else drawn.join(seeds.select("family_id").distinct(), "family_id", "left_semi")
+    pairs = left.select(F.col("family_id").alias("a"), "kind", "v").join(drawn.select(F.col("family_id").alias("b"), "kind", "v"), ["kind", "v"]).where("a <> b")
     has = lambda kind: F.max((F.col("kind") == kind).cast("int"))
     words = F.array_sort(F.collect_set(F.when(F.col("kind") == "token", F.col("v"))))
-    edges = pairs.groupBy("a", "b").agg(*[has(kind).alias(kind) for kind in kinds], words.alias("words"))
+    edges = pairs.groupBy("a", "b").agg(*[has(kind).alias(kind) for kind in kinds if kind != "language"], words.alias("words"))
+    spoken = keys.where("kind = 'language'").groupBy("family_id").agg(F.collect_set("v").alias("spoken"))
+    for side in "ab":
+        edges = edges.join(spoken.select(F.col("family_id").alias(side), F.col("spoken").alias(f"l{side}")), side, "left")
+    edges = edges.withColumn("language", F.coalesce(F.arrays_overlap("la", "lb"), F.lit(False)).cast("int")).drop("la", "lb")
     edges = edges.join(sizes.select(F.col("family_id").alias("a"), F.col("n").alias("na")), "a", "left").join(sizes.select(F.col("family_id").alias("b"), F.col("n").alias("nb")), "b", "left")
     shared = F.size("words")
     lexical = F.when(shared > 0, F.least(F.lit(0.65), F.lit(0.22) + shared / F.greatest(F.least("na", "nb"), F.lit(1)) * F.lit(1.4))).otherwise(0.0)
@@ -79,10 +90,11 @@ def family_edges(methods: DataFrame, families: DataFrame, memberships: DataFrame
 
 
 def _with_neighbours(methods, families, memberships, found: DataFrame, k: int, approved_only: bool) -> DataFrame:
-    edges = family_edges(methods, families, memberships)
+    seeds = found.where("family_id is not null")
+    edges = family_edges(methods, families, memberships, seeds)
     if approved_only:
         edges = edges.join(families.where("status = 'approved'").select(F.col("family_id").alias("b")), "b", "left_semi")
-    seeds = found.where("family_id is not null").select("query_id", F.col("family_id").alias("a"), F.col("score").alias("seed"))
+    seeds = seeds.select("query_id", F.col("family_id").alias("a"), F.col("score").alias("seed"))
     reach = seeds.join(edges, "a")
     # One edge by category alone counts for each seed: the first by family.
     nth = F.row_number().over(Window.partitionBy("query_id", "a", "only_category").orderBy("b"))

@@ -10,11 +10,14 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import questions as Q
 from ..functions.vectors import dot
+from .dense import CELLS, first_of_rows, matrix, over_blocks
 from .lexical import top_k
 
 DERIVATIVE = 0.12
@@ -53,30 +56,101 @@ def derivatives(entries: DataFrame) -> DataFrame:
     return rows.select("entry_id", "d1", normalised(less("d1", less("sv", "dv"))).alias("d2"))
 
 
+def _entries(entries: DataFrame, derived: DataFrame | None) -> DataFrame:
+    rows = entries.where("vec is not null").select("entry_id", F.col("level").cast("int").alias("level"), F.coalesce("parent", "entry_id").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
+    return rows if derived is None else rows.join(derived.select("entry_id", "d1", "d2"), "entry_id", "left")
+
+
+def _products(batch, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity and derivative bonus, [query, entry], of an Arrow batch of `_entries`."""
+    sim = queries @ matrix(batch.column("vec"), queries.shape[1]).T
+    bonus = np.zeros_like(sim)
+    for name, weight in (("d1", DERIVATIVE), ("d2", DERIVATIVE * 0.6)) if "d1" in batch.schema.names else ():
+        column = batch.column(name)
+        some = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        if len(some):
+            bonus[:, some] += weight * (queries @ matrix(column.drop_null(), queries.shape[1]).T)
+    return sim, bonus
+
+
+def _slices(batches, width: int):
+    """Pieces of the batches whose products with so many queries take CELLS cells at most."""
+    for batch in batches:
+        rows = max(1, CELLS // max(1, width))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def similarities(entries: DataFrame, queries: DataFrame, derived: DataFrame | None = None) -> DataFrame:
-    """``query_id, entry_id, level, doc_id, sim, bonus`` of all entries for a stated set of queries.
+    """``query_id, doc_id, level, sim, bonus, both`` for a stated set of queries: of each document's entries of a level the largest similarity, bonus, and sum of them.
 
-    The queries ride along as one array, in a broadcast of a table that is stated and small; each entry is read once.
+    Blocks of queries multiply Arrow batches of entries, and each batch is reduced to its documents before any row
+    leaves it, so that vectors are never carried along with pairs.
     """
-    asked = queries.agg(F.collect_list(F.struct("query_id", F.col("vec").cast("array<double>").alias("q"))).alias("asked"))
-    rows = entries.select("entry_id", "level", F.coalesce("parent", "entry_id").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
-    if derived is not None:
-        rows = rows.join(derived, "entry_id", "left")
-    rows = rows.crossJoin(F.broadcast(asked)).withColumn("a", F.explode("asked")).select("*", F.col("a.query_id").alias("query_id"), F.col("a.q").alias("q"))
-    bonus: Column = F.lit(0.0)
-    if derived is not None:
-        bonus = F.coalesce(dot(F.col("q"), F.col("d1")) * F.lit(DERIVATIVE) + dot(F.col("q"), F.col("d2")) * F.lit(DERIVATIVE * 0.6), F.lit(0.0))
-    return rows.select("query_id", "entry_id", "level", "doc_id", dot(F.col("q"), F.col("vec")).alias("sim"), bonus.alias("bonus"))
+    rows = _entries(entries, derived)
+    kinds = queries.schema["query_id"].dataType, rows.schema["doc_id"].dataType
+    id_type = to_arrow_type(kinds[0])
+
+    def of(block):
+        def run(batches):
+            ids, q, _ = block.value
+            asked = pa.array(ids, id_type)
+            for batch in _slices(batches, len(q)):
+                sim, bonus = _products(batch, q)
+                groups = batch.select(["doc_id", "level"]).to_pandas().groupby(["doc_id", "level"], sort=False)
+                order = np.argsort(groups.ngroup().to_numpy(), kind="stable")
+                sizes = np.bincount(groups.ngroup().to_numpy())
+                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                first = pa.array(order[starts])
+                best = [np.maximum.reduceat(x[:, order], starts, axis=1).ravel() for x in (sim, bonus, sim + bonus)]
+                of_query = pa.array(np.repeat(np.arange(len(q)), len(starts)))
+                of_group = pa.array(np.tile(np.arange(len(starts)), len(q)))
+                docs, levels = (batch.column(c).take(first).take(of_group) for c in ("doc_id", "level"))
+                yield pa.RecordBatch.from_arrays([asked.take(of_query), docs, levels, *map(pa.array, best)], ["query_id", "doc_id", "level", "sim", "bonus", "both"])
+
+        return run
+
+    found = over_blocks(rows, queries, of, f"query_id {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, level int, sim double, bonus double, both double")
+    return found.groupBy("query_id", "doc_id", "level").agg(*[F.max(c).alias(c) for c in ("sim", "bonus", "both")])
 
 
 def by_level(entries: DataFrame, queries: DataFrame, derived: DataFrame | None = None, levels: list[int] | None = None) -> DataFrame:
-    """``query_id, level, entry_id, score, rank``: the best entries of each level, weighed and counted by the query's kind."""
-    rows = similarities(entries.where(F.col("level").isin(levels)) if levels else entries, queries, derived).join(queries.select("query_id", Q.level_weights(F.col("kind")).alias("w")), "query_id")
-    weight = F.when(F.col("level") == 2, F.col("w.w2")).when(F.col("level") == 1, F.col("w.w1")).otherwise(F.col("w.w0"))
-    rows = rows.withColumn("score", F.round(F.col("sim") * weight + F.col("bonus") * F.col("w.deriv"), 6))
+    """``query_id, level, entry_id, score, rank``: the best entries of each level, weighed and counted by the query's kind.
+
+    Each Arrow batch gives the best of a query and level alone, which the last sort then merges.
+    """
+    rows = _entries(entries.where(F.col("level").isin(levels)) if levels else entries, derived)
+    w = Q.level_weights(F.col("kind"))
+    asked = queries.select("query_id", "vec", *[w[c].alias(c) for c in ("w0", "w1", "w2", "deriv", "k")])
+    kinds = queries.schema["query_id"].dataType, rows.schema["entry_id"].dataType
+    id_type = to_arrow_type(kinds[0])
+
+    def of(block):
+        def run(batches):
+            ids, q, more = block.value
+            asked = pa.array(ids, id_type)
+            weights = np.array([more["w0"], more["w1"], more["w2"]], float)
+            most = np.array(more["k"], int)
+            for batch in _slices(batches, len(q)):
+                sim, bonus = _products(batch, q)
+                level = batch.column("level").to_numpy(zero_copy_only=False)
+                names = batch.column("entry_id")
+                place = np.argsort(np.array(names.to_pylist(), dtype=object), kind="stable").argsort()
+                score = np.round(sim * weights[level].T + bonus * np.array(more["deriv"], float)[:, None], 6)
+                for n in np.unique(level):
+                    own = np.flatnonzero(level == n)
+                    row, column = first_of_rows(score[:, own], place[own], int(most.max()))
+                    column = own[column]
+                    yield pa.RecordBatch.from_arrays(
+                        [asked.take(pa.array(row)), pa.array(np.full(len(row), n, np.int32)), names.take(pa.array(column)), pa.array(score[row, column]), pa.array(most[row].astype(np.int32))],
+                        ["query_id", "level", "entry_id", "score", "k"],
+                    )
+
+        return run
+
+    found = over_blocks(rows, asked, of, f"query_id {kinds[0].simpleString()}, level int, entry_id {kinds[1].simpleString()}, score double, k int", "w0", "w1", "w2", "deriv", "k")
     order = Window.partitionBy("query_id", "level").orderBy(F.col("score").desc(), "entry_id")
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("w.k"))
-    return rows.select("query_id", "level", "entry_id", "score", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where("rank <= k").drop("k")
 
 
 def reranked(entries: DataFrame, queries: DataFrame, derived: DataFrame | None = None, k: int = 10, para: float = 0.3, sent: float = 0.2, deriv: float = 0.1, boosts: DataFrame | None = None) -> DataFrame:
@@ -88,11 +162,11 @@ def reranked(entries: DataFrame, queries: DataFrame, derived: DataFrame | None =
     rows = similarities(entries, queries, derived)
     at = lambda n, value: F.max(F.when(F.col("level") == n, F.col(value)))
     docs = rows.groupBy("query_id", "doc_id").agg(at(2, "sim").alias("own"), at(1, "sim").alias("para"), at(0, "sim").alias("sent"), at(0, "bonus").alias("bonus"))
-    whole = Window.partitionBy("query_id")
-    docs = docs.withColumn("bar", F.avg("own").over(whole) + F.lit(0.5) * F.stddev_pop("own").over(whole))
+    bars = docs.groupBy("query_id").agg((F.avg("own") + F.lit(0.5) * F.stddev_pop("own")).alias("bar"))
     part = F.greatest(F.coalesce("para", F.lit(0.0)), F.coalesce("sent", F.lit(0.0)))
     base = F.coalesce("own", F.when(part > F.col("bar"), part * F.lit(0.7)).otherwise(part * F.lit(0.4)))
     score = base + F.coalesce("para", F.lit(0.0)) * F.lit(para) + F.coalesce("sent", F.lit(0.0)) * F.lit(sent) + F.coalesce("bonus", F.lit(0.0)) * F.lit(deriv)
+    docs = docs.join(bars, "query_id")
     if boosts is not None:
         docs = docs.join(boosts, "doc_id", "left")
         score = score + F.coalesce("boost", F.lit(0.0))
@@ -101,7 +175,7 @@ def reranked(entries: DataFrame, queries: DataFrame, derived: DataFrame | None =
 
 def fused_levels(entries: DataFrame, queries: DataFrame, derived: DataFrame | None = None, k: int = 10, rrf_k: float = 60.0, boosts: DataFrame | None = None) -> DataFrame:
     """Documents by reciprocal ranks over the levels, each ranked by a document's best entry."""
-    best = similarities(entries, queries, derived).groupBy("query_id", "level", "doc_id").agg(F.round(F.max(F.col("sim") + F.col("bonus")), 6).alias("sim"))
+    best = similarities(entries, queries, derived).select("query_id", "level", "doc_id", F.round("both", 6).alias("sim"))
     place = F.row_number().over(Window.partitionBy("query_id", "level").orderBy(F.col("sim").desc(), "doc_id"))
     fused = best.withColumn("r", place).groupBy("query_id", "doc_id").agg(F.sum(1 / (F.lit(rrf_k) + F.col("r"))).alias("score"))
     if boosts is not None:

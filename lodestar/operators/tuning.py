@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import cosine
+from ..sources.stage import chunked, staged
 from .fusion import rrf
 from .lexical import Docs, Index, Tokens, bm25, corpus_size, frequencies, postings, texts
 
@@ -180,17 +181,27 @@ def fitness(scores: dict[str, Column]) -> Column:
     return F.round(sum((scores[k] * F.lit(w) for k, w in FITNESS.items()), F.lit(0.0)), 6)
 
 
-def ema(observations: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """``technique, fitness, observations``: exponential mean in the order of ``seq``, seeded by the first value.
+def _parts(observations: DataFrame, alpha: float) -> tuple[DataFrame, DataFrame]:
+    """Observations cut into ranges of each technique's order, and of each range ``technique, chunk, n, sum, first``.
 
-    It has a closed form, a sum of values with weights that depend on their place from the end, so that it needs no
-    array of a technique's history: a rank and an aggregate.
+    An exponential mean after a range is the one before it times (1 - alpha)^n, plus the range's ``sum``; so a technique
+    of a long history is no single task's work.
     """
-    back = F.row_number().over(Window.partitionBy("technique").orderBy(F.col("seq").desc())) - 1
-    n = F.count("*").over(Window.partitionBy("technique"))
-    rows = observations.withColumn("back", back).withColumn("n", n)
-    weight = F.when(F.col("back") == F.col("n") - 1, F.pow(F.lit(1 - alpha), F.col("back"))).otherwise(F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("back")))
-    return rows.groupBy("technique").agg(F.round(F.sum(F.col("value") * weight), 6).alias("fitness"), F.count("*").alias("observations"))
+    rows = chunked(observations.select("technique", "seq", "value"), "technique", "seq")
+    back = F.row_number().over(Window.partitionBy("technique", "chunk").orderBy(F.col("seq").desc())) - 1
+    part = F.lit(alpha) * F.col("value") * F.pow(F.lit(1 - alpha), back)
+    found = rows.withColumn("part", part).groupBy("technique", "chunk").agg(F.count("*").alias("n"), F.sum("part").alias("sum"), F.min_by("value", "seq").alias("first"))
+    return rows, staged(found)
+
+
+def ema(observations: DataFrame, alpha: float = 0.3) -> DataFrame:
+    """``technique, fitness, observations``: exponential mean in the order of ``seq``, seeded by the first value."""
+    _, parts = _parts(observations, alpha)
+    # One row a technique and range from here on. The first value weighs 1 where others weigh alpha.
+    after = F.coalesce(F.sum("n").over(Window.partitionBy("technique").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    decay = lambda n: F.pow(F.lit(1 - alpha), n)
+    whole = parts.withColumn("part", F.col("sum") * decay(after)).groupBy("technique").agg(F.sum("part").alias("sum"), F.sum("n").alias("n"), F.min_by("first", "chunk").alias("first"))
+    return whole.select("technique", F.round(F.col("sum") + F.col("first") * decay(F.col("n")), 6).alias("fitness"), F.col("n").alias("observations"))
 
 
 def lifecycle_step(state: Column, value: Column, alpha: float = 0.3, trial: int = 10, preferred: float = 0.7, declining: float = 0.4, disabled: float = 0.2, streak: int = 5) -> Column:
@@ -208,16 +219,53 @@ def lifecycle_step(state: Column, value: Column, alpha: float = 0.3, trial: int
     return F.struct(new.alias("state"), fit.alias("fitness"), n.alias("n"), low.alias("low"))
 
 
-def lifecycle(observations: DataFrame, **rules) -> DataFrame:
-    """``technique, state, fitness, observations`` after all observations in the order of ``seq``: one fold a technique.
+def lifecycle(observations: DataFrame, alpha: float = 0.3, trial: int = 10, preferred: float = 0.7, declining: float = 0.4, disabled: float = 0.2, streak: int = 5) -> DataFrame:
+    """``technique, state, fitness, observations`` after all observations in the order of ``seq``.
 
-    The state depends on the order, so a technique's values meet in one array; for histories without bound, the
-    streaming form keeps the state alone.
+    There are few states, so each range of a technique's order, whose first fitness is known from the ranges before it,
+    becomes a table of where every state would end up; the tables are then followed from range to range. No task holds
+    more than a range; `lifecycle_step` gives the same rules one observation at a time.
     """
-    start = F.struct(F.lit("embryonic").alias("state"), F.lit(0.0).alias("fitness"), F.lit(0).alias("n"), F.lit(0).alias("low"))
-    listed = observations.groupBy("technique").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("v"))
-    end = F.aggregate("v", start, lambda s, x: lifecycle_step(s, x["value"], **rules))
-    return listed.select("technique", end.alias("e")).select("technique", "e.state", F.round("e.fitness", 6).alias("fitness"), F.col("e.n").cast("long").alias("observations"))
+    rows, parts = _parts(observations, alpha)
+    listed = parts.groupBy("technique").agg(F.array_sort(F.collect_list(F.struct("chunk", "n", "sum", "first"))).alias("parts"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("fitness"), F.array().cast("array<struct<chunk:int,n:long,fitness:double>>").alias("done"))
+
+    def follow(s, x):
+        first = F.when(s["n"] == 0, x["first"] * F.pow(F.lit(1 - alpha), x["n"])).otherwise(s["fitness"] * F.pow(F.lit(1 - alpha), x["n"]))
+        here = F.struct(x["chunk"].alias("chunk"), s["n"].alias("n"), s["fitness"].alias("fitness"))
+        return F.struct((s["n"] + x["n"]).alias("n"), (first + x["sum"]).alias("fitness"), F.array_append(s["done"], here).alias("done"))
+
+    # Ranges are as many as shuffle partitions at most, whatever a technique's history is.
+    ends = staged(listed.select("technique", F.aggregate("parts", start, follow).alias("e")))
+    starts = ends.select("technique", F.explode("e.done").alias("c")).select("technique", "c.chunk", F.col("c.n").alias("before"), F.col("c.fitness").alias("start"))
+    names = ["embryonic", "active", "preferred", *["declining"] * streak, "disabled"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", kind="stable")
+        n, fit = int(pdf["before"].iloc[0]), float(pdf["start"].iloc[0])
+        at = list(range(len(names)))
+        for value in pdf["value"]:
+            fit = float(value) if n == 0 else alpha * value + (1 - alpha) * fit
+            n += 1
+            moved = {}
+            for s in set(at):
+                if s == 0 and n >= trial:
+                    moved[s] = 1
+                elif s == 1 and fit > preferred:
+                    moved[s] = 2
+                elif s == 2 and fit < declining:
+                    moved[s] = 3
+                elif 3 <= s < 3 + streak:
+                    moved[s] = s + 1 if fit < disabled else 3
+            at = [moved.get(s, s) for s in at]
+        return pd.DataFrame({"technique": [pdf["technique"].iloc[0]], "chunk": [int(pdf["chunk"].iloc[0])], "table": [at]})
+
+    kind = observations.schema["technique"].dataType.simpleString()
+    tables = rows.join(starts, ["technique", "chunk"]).groupBy("technique", "chunk").applyInPandas(run, f"technique {kind}, chunk int, table array<int>")
+    steps = tables.groupBy("technique").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "table"))), lambda x: x["table"]).alias("tables"))
+    last = steps.select("technique", F.aggregate("tables", F.lit(0), lambda s, t: t[s]).alias("at"))
+    state = F.array(*map(F.lit, names))[F.col("at")]
+    return ends.join(last, "technique").select("technique", state.alias("state"), F.round("e.fitness", 6).alias("fitness"), F.col("e.n").alias("observations"))
 
 
 def fused_weights(lists: dict[str, DataFrame], weights: dict[str, float], rrf_k: float) -> DataFrame:

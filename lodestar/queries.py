@@ -151,12 +151,12 @@ def tfidf_rules(spark, d):
 
 @query(
     """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM p WHERE score > 0 QUALIFY rank <= 10"""
 )
 def dense_topk(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    return ranked(dense.exact_search(vectors, vectors.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), 10))
+    return ranked(dense.exact_search(vectors, vectors.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 10))
 
 
 @query(
@@ -166,9 +166,7 @@ def dense_topk(spark, d):
 )
 def vector_functions(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    # Ids are dense, so the next vector is an equi-join away; a window over all rows would be one task.
-    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
-    rows = rows.join(after, "vec_id", "left").withColumn("after", F.coalesce("after", "embedding"))
+    rows = V.with_following(rows, "vec_id", "embedding").withColumnRenamed("following", "after")
     v, w = F.col("embedding"), F.col("after")
     return rows.select("vec_id", F.round(V.norm(v), 6).alias("norm"), F.round(V.cosine(v, w), 6).alias("cosine_next"), F.round(V.distance(v, w), 6).alias("distance_next"))
 

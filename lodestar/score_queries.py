@@ -438,7 +438,7 @@ def graph_expanded(spark, d):
 
 _entries = "SELECT vec_id AS entry_id, CASE vec_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS level, vec_id // 3 * 3 AS doc_id, embedding::DOUBLE[] AS vec FROM embeddings"
 _kinds = "['synthesis', 'summary', 'logic', 'specification'][1 + label % 4]"
-LEVELS_SQL = f"WITH e AS ({_entries}), q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, {_kinds} AS kind FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, kind, entry_id, level, doc_id, list_inner_product(q, vec) AS sim FROM q, e)"
+LEVELS_SQL = f"WITH e AS ({_entries}), q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, {_kinds} AS kind FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, kind, entry_id, level, doc_id, list_inner_product(q, vec) AS sim FROM q, e)"
 
 
 def entries(spark, d):
@@ -449,7 +449,7 @@ def entries(spark, d):
 
 def level_queries(spark, d):
     kinds = F.array(*map(F.lit, Q.KINDS))
-    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), F.element_at(kinds, (F.col("label") % 4 + 1).cast("int")).alias("kind"))
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), F.element_at(kinds, (F.col("label") % 4 + 1).cast("int")).alias("kind"))
 
 
 _lv = "(VALUES " + ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]}, {v[4]})" for k, v in Q.LEVELS.items()) + ") l(kind, w2, w1, w0, k)"
