@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash_worker
-from .common import ship, small, stored, stored_bytes, table
+from .common import ship, small, stored, table
 from .graph import components
 
 ship(simhash_worker)
@@ -105,8 +105,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return cool.select("doc_id", "fp", "component_id").unionByName(marked.where("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")))
 
 
-#: Of the pipeline's stage: independent fingerprints, their radius, and neighbours that a bucket's member first meets.
-PRINTS, PRINT_RADIUS, NEIGHBOURS = 4, 4, 6
+#: Of the pipeline's stage: independent fingerprints of the set of words, and their radius.
+PRINTS, PRINT_RADIUS = 2, 4
 #: About so many documents tell which shingles are frequent, and so many of those are put last in the order of shingles.
 ORDER_DOCS, ORDER_SHINGLES = 16_384, 1 << 18
 
@@ -114,13 +114,38 @@ ORDER_DOCS, ORDER_SHINGLES = 16_384, 1 << 18
 def _alike(pairs: DataFrame, rows: DataFrame, words: int, likeness: float) -> DataFrame:
     """Those of the stored pairs ``a, b`` of nodes whose sets of shingles have the likeness."""
     wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    texts = rows.join(small(wanted, BROADCAST_BYTES), "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(texts.mapInArrow(simhash_worker.shingle_batches(words), "node long, shingles binary"), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    found = both.select("a", "b", "sa", "sb").mapInArrow(simhash_worker.jaccard_batches, "a long, b long, likeness double")
+    # Texts move, and not their shingles, which take more bytes.
+    texts = stored(rows.join(small(wanted, BROADCAST_BYTES), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    found = both.select("a", "b", "ta", "tb").mapInArrow(simhash_worker.jaccard_batches(words), "a long, b long, likeness double")
     return found.where(F.col("likeness") >= likeness).select("a", "b")
 
 
+def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored components of those given (``node, root``) and the links ``a, b``."""
+    return stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "roots")
+
+
+def met_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ``rows(node, text)`` that covering tables bring together: of the first of each of its buckets and the one before it there, a node goes with the nearest.
+
+    That is a pair a node at most, whatever the buckets' sizes; what it leaves apart is for `prefixes` to find.
+    """
+    prints = stored(rows.mapInArrow(simhash_worker.word_set_batches(PRINTS), "node long, fps array<long>").dropDuplicates(["node"]), "prints")
+    masks = covering_masks(PRINT_RADIUS)
+    # A bucket is a table and its key, hashed together: a chance meeting costs one more pair at most.
+    keys = F.array(*[F.xxhash64(F.lit(c * len(masks) + t), F.col("fps")[c].bitwiseAND(_literal(m))) for c in range(PRINTS) for t, m in enumerate(masks)])
+    buckets = prints.select("node", F.explode(keys).alias("bucket"))
+    order = Window.partitionBy("bucket").orderBy("node")
+    # The first row of a bucket has none before it, and most buckets have no other row.
+    near = buckets.withColumn("before", F.lag("node").over(order)).withColumn("first", F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = stored(near.where("before is not null").select(F.col("node").alias("b"), F.explode(F.array("before", "first")).alias("a")).where("a < b").distinct(), "pairs")
+    for side in "ab":
+        pairs = pairs.join(small(prints, BROADCAST_BYTES).select(F.col("node").alias(side), F.col("fps").alias(f"f{side}")), side)
+    bits = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return stored(pairs.select("b", F.struct(bits.alias("bits"), "a").alias("near")).groupBy("b").agg(F.min("near").alias("near")).select("near.a", "b"), "close")
+
+
 def _order(rows: DataFrame, words: int) -> tuple[bytes, bytes]:
     """Hashes of frequent shingles, sorted, and their places by rising count, as packed arrays.
 
@@ -132,66 +157,98 @@ def _order(rows: DataFrame, words: int) -> tuple[bytes, bytes]:
     return simhash_worker.places(counted.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toArrow())
 
 
-def unmet_pairs(rows: DataFrame, roots: DataFrame, words: int, likeness: float) -> DataFrame:
-    """Pairs ``a, b`` of ``rows(node, text)`` in different components of ``roots`` that may have the likeness; none that has it is left out.
+def prefixes(rows: DataFrame, words: int, likeness: float) -> DataFrame:
+    """Rows ``key, node, size``: the prefix of each text's set of shingles, of ``size`` shingles, where another text has the key too.
 
-    Prefix filtering: of two sets with a Jaccard likeness of t, in one order of all shingles, the first |x| - ceil(t|x|)
-    + 1 of each share one, and behind their first common shingle there is room for the overlap wanted. Pairs in one
-    component are linked already; buckets that hold a single component are dropped before any pair is made.
+    Of two sets with a Jaccard likeness of t, in one order of all shingles, the first |x| - ceil(t|x|) + 1 of each share
+    one; rare shingles come first, so that few texts share a key.
     """
     sent = rows.sparkSession.sparkContext.broadcast(_order(rows, words))
-    prefixes = rows.mapInArrow(simhash_worker.prefix_batches(words, likeness, sent), "key long, node long, size int, at int")
-    once = prefixes.repartition("key").dropDuplicates(["key", "node"])
-    met = stored(once.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "prefixes")
-    placed = met.join(small(roots, BROADCAST_BYTES), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    placed = stored(placed.join(mixed, "key"), "mixed")
-    x = placed.select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("m"), F.col("at").alias("i"))
-    y = placed.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("n"), F.col("at").alias("j"))
-    room = 1 + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
-    fits = (F.col("m") >= likeness * F.col("n") - 1e-6) & (room * (1 + likeness) >= likeness * (F.col("m") + F.col("n")) - 1e-6)
-    found = x.join(y, "key").where("rx <> ry and (m < n or (m = n and x < y))").where(fits)
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = rows.mapInArrow(simhash_worker.prefix_batches(words, likeness, sent), "key long, node long, size int")
+    once = found.repartition("key").dropDuplicates(["key", "node"])
+    return stored(once.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"), "prefixes")
+
+
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Stored rows of `prefixes` with their ``root``, of keys that nodes of different components share."""
+    placed = shared.select("key", "node", "size").join(small(roots, BROADCAST_BYTES), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return stored(placed.join(keys, "key"), "mixed")
+
+
+def _reach(common: str, m: str, n: str, likeness: float) -> Column:
+    """Whether sets of m and n shingles may have the likeness if their prefixes share so many."""
+    rest = F.greatest(*[F.ceil(likeness * F.col(size) - 1e-6) - 1 for size in (m, n)])
+    fits = F.least(m, n) >= likeness * F.greatest(m, n) - 1e-6
+    return fits & ((F.col(common) + rest) * (1 + likeness) >= likeness * (F.col(m) + F.col(n)) - 1e-6)
+
+
+def hub_pairs(mixed: DataFrame, likeness: float) -> DataFrame:
+    """Pairs ``a, b``: each node with the hub that it meets under most keys, in another component.
+
+    The hub of a key is the node with the most shared keys in all: of a text and many edited copies it is the text, as
+    a copy's edits are its own. So such groups are linked at one pair a member.
+    """
+    popular = mixed.groupBy("node").agg(F.count("*").alias("met"))
+    rows = mixed.join(popular, "node")
+    hubs = rows.groupBy("key").agg(F.max_by(F.struct("node", "root", "size"), F.struct("met", "node")).alias("hub"))
+    met = rows.join(hubs, "key").where(F.col("root") != F.col("hub.root")).groupBy("node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")).agg(F.count("*").alias("keys"))
+    best = met.where(_reach("keys", "size", "hub_size", likeness)).groupBy("node").agg(F.max_by("hub", F.struct("keys", "hub")).alias("hub"))
+    return stored(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hubs")
+
+
+def unmet_pairs(mixed: DataFrame, likeness: float) -> DataFrame:
+    """Pairs ``a, b`` in different components that may have the likeness; none that has it is left out.
+
+    A pair has as much in common as its prefixes have, and at most all that comes after one of them. Keys of a single
+    component, whose pairs are linked already, are not in ``mixed``.
+    """
+    x = mixed.select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("m"))
+    y = mixed.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("n"))
+    fits = F.least("m", "n") >= likeness * F.greatest("m", "n") - 1e-6
+    found = x.join(y, "key").where("x < y and rx <> ry").where(fits).groupBy("x", "y", "m", "n").agg(F.count("*").alias("common"))
+    return stored(found.where(_reach("common", "m", "n", likeness)).select(F.col("x").alias("a"), F.col("y").alias("b")), "unmet")
+
+
+def copy_groups(rows: DataFrame, words: int = 5, likeness: float = 0.8) -> DataFrame:
+    """Components ``node, root`` of ``rows(node, text)`` linked by shingle sets of the given Jaccard likeness, where a node has a link.
+
+    Fingerprints link what they can at a fixed cost a text (`met_pairs`); then hubs (`hub_pairs`); and an exact join over
+    what is still in different groups (`unmet_pairs`) finds the rest, so the groups are those of all pairs.
+    """
+    roots = stored(components(_alike(met_pairs(rows), rows, words, likeness)), "roots")
+    shared = prefixes(rows, words, likeness)
+    for candidates in (hub_pairs, unmet_pairs):
+        shared = _mixed(shared, roots)
+        pairs = candidates(shared, likeness)
+        if pairs.limit(1).count():
+            roots = _grown(roots, _alike(pairs, rows, words, likeness))
+    return roots
 
 
 def near_copies(docs: DataFrame, words: int = 5, likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group linked by shingle sets of the given Jaccard likeness, the smallest id stays.
 
-    Each text has PRINTS independent SimHash fingerprints of its set of words, covered at PRINT_RADIUS. A text is first
-    compared with the first of each of its buckets and the NEIGHBOURS before it there, which links most copies at a fixed
-    cost a member. What may be alike and is in different groups after that is then found by an exact join (`unmet_pairs`),
-    so the groups are those of all pairs. Whatever is linked has been verified on its full set of shingles. Texts are told
+    Groups are those of `copy_groups`; whatever is linked has been verified on its full set of shingles. Texts are told
     apart by 64-bit hashes. Exact copies, and texts without a word, are copies of one another; of equal rows one stays;
-    null ids come after all others.
+    null ids come after all others. Columns may have any names. An empty table gives no rows.
     """
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(node.alias("node"), F.col(text_col).alias("text"))
-    prints = stored(rows.mapInArrow(simhash_worker.word_set_batches(PRINTS), "node long, fps array<long>").dropDuplicates(["node"]), "prints")
-    masks = covering_masks(PRINT_RADIUS)
-    keys = F.flatten(F.array(*[F.array(*[F.struct(F.lit(c * len(masks) + t).alias("t"), F.col("fps")[c].bitwiseAND(_literal(m)).alias("key")) for t, m in enumerate(masks)]) for c in range(PRINTS)]))
-    buckets = prints.select("node", F.explode(keys).alias("k")).select("node", "k.t", "k.key")
-    order = Window.partitionBy("t", "key").orderBy("node")
-    near = F.array(F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag("node", i).over(order) for i in range(1, NEIGHBOURS + 1)])
-    # The first row of a bucket has no neighbours, and most buckets have no other row.
-    met = buckets.withColumn("before", F.lag("node").over(order)).withColumn("near", near).where("before is not null")
-    pairs = stored(met.select(F.col("node").alias("b"), F.explode("near").alias("a")).where("a < b").distinct(), "pairs")
-    roots = stored(components(_alike(pairs, rows, words, likeness)), "roots")
-    unmet = stored(unmet_pairs(rows, roots, words, likeness), "unmet")
-    if unmet.limit(1).count():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_alike(unmet, rows, words, likeness)))
+    roots = copy_groups(rows, words, likeness)
     ids = docs.select(F.col(id_col).alias("id"), node.alias("node")).groupBy("id", "node").agg(F.count("*").alias("n"))
     grouped = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "node")
     stays = grouped.groupBy("root").agg(F.min(first).alias("first"), F.sum("n").alias("size")).where("size > 1")
     stays = stays.select("root", F.col("first.id").alias("first_id"), F.col("first.node").alias("first_node"))
     goes = grouped.join(stays, "root").withColumn("is_first", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("first_node")))
-    goes = stored(goes.where("not is_first or n > 1").select(F.col("id").alias("_id"), F.col("node").alias("_node"), "is_first"), "goes")
-    marked = F.broadcast(goes) if stored_bytes(goes) <= BROADCAST_BYTES else goes
-    joined = docs.withColumn("_of", node).join(marked, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_node")), "left")
-    alone = joined.where("is_first is null").select(*docs.columns)
-    again = goes.where("is_first")
-    if again.limit(1).count():  # equal rows, of which one stays
-        alone = alone.unionByName(joined.where("is_first").dropDuplicates([id_col, "_of"]).select(*docs.columns))
+    goes = stored(goes.where("not is_first or n > 1").select(F.col("id").alias("gone_id"), F.col("node").alias("gone_node"), "is_first"), "goes")
+    # Rows travel as one struct, so that no column of theirs can clash with those made here.
+    boxed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), node.alias("node"))
+    joined = boxed.join(small(goes, BROADCAST_BYTES), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("node") == F.col("gone_node")), "left")
+    alone = joined.where("is_first is null").select("row.*")
+    if goes.where("is_first").limit(1).count():  # equal rows, of which one stays
+        alone = alone.unionByName(joined.where("is_first").dropDuplicates(["id", "node"]).select("row.*"))
     return alone
 
 

@@ -97,17 +97,6 @@ def word_set_batches(copies: int):
     return run
 
 
-def shingle_batches(words: int):
-    """Columns in: node, text. Out: node and the sorted, packed set of its shingles' hashes."""
-
-    def run(batches):
-        for batch in pieces(batches):
-            packed = [np.unique(np.asarray(shingle_hashes(v.as_py(), words), dtype=np.uint64)).tobytes() for v in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "shingles"])
-
-    return run
-
-
 def _sets(batches, words: int):
     """Of each piece of the batches (node, text): (node, its set of shingles' hashes), each node once a task."""
     seen = set()
@@ -139,7 +128,7 @@ def places(counted: pa.Table) -> tuple[bytes, bytes]:
 
 
 def prefix_batches(words: int, likeness: float, sent):
-    """Columns in: node, text. Out: the first shingles of each text's set, rare ones first: key, node, size of the set, place from 1.
+    """Columns in: node, text. Out: the first shingles of each text's set, rare ones first: key, node, size of the set.
 
     There are enough of them for two sets of the likeness to share one. A set without shingles has the key 0.
     """
@@ -160,21 +149,21 @@ def prefix_batches(words: int, likeness: float, sent):
                 sizes.append(n)
             counts = np.array([len(k) for k in keys[1:]], np.int64)
             nodes = np.repeat(np.array([node for node, _ in found], np.int64), counts)
-            at = [np.arange(1, c + 1, dtype=np.int32) for c in counts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.concatenate([np.empty(0, np.int32), *at]))],
-                ["key", "node", "size", "at"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes), pa.array(np.repeat(np.array(sizes, np.int32), counts))], ["key", "node", "size"])
 
     return run
 
 
-def jaccard_batches(batches):
-    """Likeness of two sets of shingles, as sorted packed hashes; 1 for two empty sets."""
-    for batch in pieces(batches):
-        out = []
-        for a, b in zip(batch.column("sa"), batch.column("sb")):
-            x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "likeness"])
+def jaccard_batches(words: int):
+    """Columns in: a, b, ta, tb. Out: a, b and the likeness of the two texts' sets of shingles; 1 for two empty sets."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            out = []
+            for a, b in zip(batch.column("ta"), batch.column("tb")):
+                x, y = (set(shingle_hashes(t.as_py(), words)) for t in (a, b))
+                both = len(x & y)
+                out.append(both / (len(x) + len(y) - both) if x or y else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "likeness"])
+
+    return run

@@ -391,6 +391,24 @@ def test_near_copies_of_a_large_group(spark):
     assert _kept(spark, every) == sorted(set(_groups(every)))
 
 
+def test_near_copies_in_crowded_buckets(spark):
+    """Permutations of one set of words share all buckets of the fingerprints, and hide near copies among them; so do templates."""
+    rng = np.random.default_rng(14)
+    words = [f"w{j}" for j in range(120)]
+    every = [" ".join(rng.permutation(words)) for _ in range(150)]
+    every += [_edited(rng, every[i], 1) for i in range(60)]
+    template = " ".join(f"t{j}" for j in range(150))
+    every += [_edited(rng, template, 5) for _ in range(60)]
+    assert _kept(spark, every) == sorted(set(_groups(every)))
+
+
+def test_near_copies_of_clashing_columns(spark):
+    names = ["doc_id", "text", "_id", "_of", "_node", "is_first", "row", "id", "node", "gone_id", "gone_node", "n", "root"]
+    df = spark.createDataFrame([(i, "one two" if i < 2 else "three", *[None] * 11) for i in (0, 1, 2, 2)], ", ".join(f"{n} long" if n != "text" else "text string" for n in names))
+    got = simhash.near_copies(df)
+    assert got.columns == names and sorted(r["doc_id"] for r in got.collect()) == [0, 2]
+
+
 def test_near_copies_that_meet_in_no_bucket(spark):
     """Lone pairs at the likeness that share none of the SimHash buckets are found all the same."""
     rng = np.random.default_rng(13)
