@@ -219,3 +219,18 @@ def slug(value: Column) -> Column:
 def squeezed(value: Column) -> Column:
     """Lower case, white space runs as one blank."""
     return F.lower(F.regexp_replace(F.trim(value), r"\s+", " "))
+
+
+def _filled(*columns: Column) -> Column:
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
+
+
+def item_text(text: Column, chunk_text: Column) -> Column:
+    """Text of an item: its own, if it has one, else its chunk's, else empty."""
+    return F.coalesce(text, chunk_text, F.lit(""))
+
+
+def item_source(source: Column, chunk_source: Column, metadata: Column, document_id: Column, doc_id: Column, key: Column) -> Column:
+    """Source of an item: the first that is not empty of its own, its chunk's, its metadata's (source, document_id, doc_id), and its ids."""
+    kept = [F.try_element_at(metadata, F.lit(k)) for k in ("source", "document_id", "doc_id")]
+    return _filled(source, chunk_source, *kept, *(c.cast("string") for c in (document_id, doc_id, key)))

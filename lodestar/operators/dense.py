@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..functions.vectors import cosine
+from ..sources import store
+from ..sources.stage import staged
 from .lexical import Tokens, top_k
 
 #: Bytes of the queries that go out together, and cells of a product that a task holds at once (32 MB).
@@ -163,6 +165,21 @@ def embedded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]], d
     return rows.join(distinct, F.col("text").eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
+def embedded_once(rows: DataFrame, load: Callable[[], Callable[[list[str]], list]], dim: int, path: str, name: str, prefix: str = "") -> DataFrame:
+    """As `embedded`, with vectors kept in a table at ``path`` by the model's ``name``, prefix and text: only new texts are embedded."""
+    spark = rows.sparkSession
+    key = F.sha2(F.encode(F.concat_ws("\0", F.lit(name), F.lit(prefix), F.coalesce("text", F.lit(""))), "UTF-8"), 256)
+    schema = "key string, vec array<float>"
+    known = spark.read.schema(schema).parquet(path) if store.exists(spark, path) else spark.createDataFrame([], schema)
+    wanted = rows.where("text is not null").select(key.alias("key"), "text").dropDuplicates(["key"])
+    new = staged(embedded(wanted.join(known, "key", "left_anti"), load, dim, prefix).select("key", "vec"))
+    new.write.mode("append").parquet(path)
+    kept = spark.read.schema(schema).parquet(path).dropDuplicates(["key"])
+    none = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    boxed = rows.select(F.struct("*").alias("row"), F.when(F.col("text").isNotNull(), key).alias("key"))
+    return boxed.join(kept, "key", "left").select("row.*", F.coalesce("vec", none).alias("vec"))
+
+
 def _one(model, text: str, dim: int) -> list[float]:
     try:
         return list(map(float, model([text])[0]))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
 from .lexical import bm25
 
 
@@ -50,3 +54,26 @@ def triplets(pairs: DataFrame, chunks: DataFrame, k: int = 10, seed: int = 42) -
     other = F.when(F.col("a.doc_id") != F.col("doc_id"), F.col("a.text")).when(F.col("b.doc_id") != F.col("doc_id"), F.col("b.text"))
     rows = rows.withColumn("negative", F.coalesce("negative", other)).where("negative is not null")
     return rows.select("anchor", "positive", "negative").orderBy(F.xxhash64(F.lit(seed), "anchor", "positive"))
+
+
+@dataclass(frozen=True)
+class TrainingConfig:
+    """What a trainer of embedding models is told; training itself is for a library of that kind."""
+
+    epochs: int = 3
+    batch: int = 16
+    learning_rate: float = 2e-5
+    warmup: float = 0.1
+    max_tokens: int = 256
+    seed: int = 42
+
+
+def export(rows: DataFrame, path: str, config: TrainingConfig = TrainingConfig()) -> None:
+    """Triplets or pairs as one version of a stored data set, with the settings they are meant for."""
+    store.write_tables(rows.sparkSession, path, {"examples": rows}, config=asdict(config), columns=rows.columns)
+
+
+def train(path: str, spark: SparkSession, trainer: Callable[[DataFrame, TrainingConfig], dict]) -> dict:
+    """What a plug-in trainer returns for an exported data set."""
+    tables, facts = store.read_tables(spark, path)
+    return trainer(tables["examples"], TrainingConfig(**facts["config"]))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, normalised
+from ..sources import store
 from ..sources.stage import chunked, staged
 from .fusion import rrf
 from .lexical import Docs, Index, Tokens, bm25, corpus_size, frequencies, postings, texts
@@ -125,6 +128,31 @@ def calibrate(docs: DataFrame, dense: DataFrame | None = None, held_out: Column
     return best_point(calibration_grid(lists, asked))
 
 
+def calibrated(docs: DataFrame, path: str, **options) -> DataFrame:
+    """As `calibrate`, kept in a table at ``path`` by the number of documents and the first ten ids."""
+    spark = docs.sparkSession
+    first = [str(r["doc_id"]) for r in docs.select("doc_id").orderBy("doc_id").limit(10).collect()]
+    at = f"{path}/{docs.count()}-{hashlib.sha256('_'.join(first).encode()).hexdigest()[:16]}"
+    if not store.exists(spark, f"{at}/_SUCCESS"):
+        calibrate(docs, **options).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+def search_weights(dense: float | None = None, sparse: float | None = None, calibration: float | None = None, strategy: tuple[float, float] = (0.6, 0.4)) -> tuple[float, float]:
+    """Dense and sparse weights: what the caller sets comes first, then a calibrated dense weight, then the strategy's."""
+    d = dense if dense is not None else calibration if calibration is not None else strategy[0]
+    s = sparse if sparse is not None else 1 - calibration if calibration is not None else strategy[1]
+    return d, s
+
+
+def mean_cosine(vectors: DataFrame, sample: int = 50, seed: int = 42) -> DataFrame:
+    """One row ``mean_cosine``: over all pairs of a stated sample (a profile's bound), from the sum of its unit vectors; no pair is formed."""
+    rows = vectors.where("vec is not null").orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(sample).select(normalised(F.col("vec")).alias("u"))
+    sums = rows.select(F.posexplode("u").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count("*").alias("n"))
+    pairs = F.max("n") * (F.max("n") - 1)
+    return sums.agg(F.round(F.coalesce((F.sum(F.col("s") * F.col("s")) - F.sum("own")) / F.nullif(pairs, F.lit(0)), F.lit(0.0)), 6).alias("mean_cosine"))
+
+
 def regression_check(baselines: DataFrame, current: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """``task, config, metric, baseline, value, delta, status`` of what both tables have."""
     rows = baselines.select("task", "config", "metric", F.col("value").alias("baseline")).join(current, ["task", "config", "metric"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import questions as Q
@@ -116,6 +116,8 @@ class Context:
     searches: Mapping[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = field(default_factory=dict)
     reranker: Callable[[DataFrame], DataFrame] | None = None
     rewriter: Callable[[DataFrame], DataFrame] | None = None
+    generator: Callable[[DataFrame], DataFrame] | None = None
+    ensemble: Mapping[str, float] = field(default_factory=dict)
     vectors: DataFrame | None = None
     expanded: DataFrame | None = None
     lists: Mapping[str, DataFrame] = field(default_factory=dict)
@@ -195,6 +197,8 @@ def _fuse(c):
         share = 1 if name == "sparse" else max(1, len(dense_names))
         if name.startswith("plugin_"):
             lists[name] = hits.withColumn("weight", F.lit(0.1))
+        elif name in c.ensemble:
+            lists[name] = hits.withColumn("weight", F.lit(float(c.ensemble[name])))
         elif c.weights is not None:
             lists[name] = hits.join(c.weights.select("query_id", (F.col(side) / share).alias("weight")), "query_id")
         else:
@@ -308,8 +312,13 @@ def _grounding(c):
 
 @step("generation")
 def _generate(c):
-    """Template answers; a generator of one's own replaces the step."""
+    """Answers by ``generator``, which takes query_id, prompt and adds ``answer``; template answers where it has none, or isn't given."""
     rows = c.evidence.join(c.docs.select("doc_id", "title", "text"), "doc_id")
+    if c.generator is not None:
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+        said = c.generator(answers.prompts(rows, c.queries.select("query_id", "query"), contracts="contract" in rows.columns)).select("query_id", F.col("answer").alias("said"))
+        plain = answers.template_answers(rows, c.queries.select("query_id", "query")).join(said, "query_id", "left")
+        return replace(c, queries=c.queries.drop("answer").join(plain.select("query_id", F.coalesce("said", "answer").alias("answer")), "query_id"))
     return replace(c, queries=c.queries.drop("answer").join(answers.template_answers(rows, c.queries.select("query_id", "query")), "query_id"))
 
 
@@ -343,3 +352,18 @@ def answer(docs: DataFrame, queries: DataFrame, limit: int = 5, strategy: str =
     cited = answers.citations(c.evidence.join(docs.select("doc_id", "source", "text"), "doc_id"))
     listed = cited.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("score", "doc_id", "source", "excerpt")), False).alias("citations"))
     return c.queries.join(listed, "query_id", "left").select("query_id", "answer", "confidence", "grounded", Q.simple_type(F.col("query")).alias("kind"), "citations")
+
+
+def evaluate_folder(spark: SparkSession, folder: str, golden: str, limit: int = 5, k: int = 5, **parts) -> tuple[DataFrame, DataFrame]:
+    """Metrics of each golden question of a JSON-lines file over a folder's documents, and their summary."""
+    from ..sources.files import read_folder
+    from ..sources.tables import read_golden
+
+    docs = staged(read_folder(spark, folder).select("doc_id", "text", "source", "title"))
+    asked = read_golden(spark, golden)
+    found = answer(docs, asked.select(F.col("id").alias("query_id"), F.col("question").alias("query")), limit, **parts)
+    sources = F.transform("citations", lambda c: c["source"])
+    said = F.concat_ws(" ", "answer", F.array_join(F.transform("citations", lambda c: c["excerpt"]), " "))
+    results = staged(found.select(F.col("query_id").alias("id"), said.alias("answer"), sources.alias("retrieved"), sources.alias("cited")))
+    each = verify.evaluate(asked, results, k)
+    return each, verify.summary(each)

@@ -20,23 +20,37 @@ class MissingParser(ImportError):
     """A parsed format needs a library that is not installed."""
 
 
-def _root(path: str) -> Path:
-    found = Path(path)
-    if found.is_dir():
-        return found.resolve()
-    raise NotADirectoryError(f"not a folder: {path}") if found.exists() else ValueError(f"no such folder: {path}")
+def _root(spark: SparkSession, path: str) -> str:
+    """The folder's full address; ValueError where there is none, NotADirectoryError for a file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(str(path) or ".")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not str(path) or not fs.exists(where):
+        raise ValueError(f"no such folder: {path}")
+    if not fs.getFileStatus(where).isDirectory():
+        raise NotADirectoryError(f"not a folder: {path}")
+    # Links in the path itself are followed, so that what lies below has the address that scans give.
+    return "file:" + str(Path(path.removeprefix("file:")).resolve()) if fs.getUri().getScheme() == "file" else fs.makeQualified(where).toString().rstrip("/")
 
 
-def _inside(root: Path, extensions) -> list[str]:
-    """Regular files of the folder, by path; links, and what they lead out to, are left out."""
-    return sorted(
-        str(p) for p in root.rglob("*") if p.is_file() and not p.is_symlink() and p.suffix.lower().lstrip(".") in extensions and p.resolve().is_relative_to(root)
-    )
+def _links(root: str) -> list[str]:
+    """Links below a folder of the driver's own disk; other file systems have none."""
+    return [f"file:{p}" for p in Path(root.removeprefix("file:")).rglob("*") if p.is_symlink()] if root.startswith("file:") else []
 
 
-def _relative(root: Path) -> Column:
-    path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    return F.substring(path, len(str(root)) + 2, 10_000)
+def _inside(spark: SparkSession, root: str, extensions) -> DataFrame:
+    """``path, content`` of the folder's files of the extensions, at any depth; links, and what they lead out to, are left out.
+
+    Spark lists the folder, on any file system, and in parallel where it is large.
+    """
+    either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(map(either, sorted(extensions))) + "}").load(root)
+    for link in _links(root):
+        rows = rows.where((F.col("path") != link) & ~F.startswith("path", F.lit(link + "/")))
+    return rows.select("path", "content")
+
+
+def _relative(root: str) -> Column:
+    return F.substring(F.regexp_replace(F.col("path"), "^file:/*", "file:/"), len(root) + 2, 10_000)
 
 
 def _stem(source: Column) -> Column:
@@ -53,29 +67,26 @@ def read_folder(spark: SparkSession, path: str, extensions=TEXT + JSON, parsers:
     ValueError for a missing folder, NotADirectoryError for a file. ``parsers`` adds or replaces functions from bytes to
     text by extension.
     """
-    root = _root(path)
+    root = _root(spark, path)
     wanted = {e.lower().lstrip(".") for e in extensions}
-    empty = spark.createDataFrame([], SCHEMA)
-    parts = [empty]
-    if files := _inside(root, wanted & set(TEXT)):
-        rows = spark.read.format("binaryFile").load(files).select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text is not null")
+    out = spark.createDataFrame([], SCHEMA)
+    if kinds := wanted & set(TEXT):
+        rows = _inside(spark, root, kinds).select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text is not null")
         source = _relative(root)
         rows = rows.select("text", source.alias("source"), T.markdown_title(F.col("text"), _stem(source)).alias("title"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("format"), F.create_map(F.lit("path"), source).alias("metadata"))
-        parts.append(_shaped(rows))
-    if files := _inside(root, wanted & set(JSON)):
-        parts.append(read_json(spark, files, root))
+        out = out.unionByName(_shaped(rows))
+    if kinds := wanted & set(JSON):
+        out = out.unionByName(read_json(_inside(spark, root, kinds), root))
     for extension in sorted(wanted & set(PARSED)):
-        if files := _inside(root, {extension}):
-            parts.append(read_parsed(spark, files, root, extension, (parsers or {}).get(extension)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        rows = _inside(spark, root, {extension})
+        if rows.select("path").limit(1).count():
+            out = out.unionByName(read_parsed(rows, root, extension, (parsers or {}).get(extension)))
     return out
 
 
-def read_json(spark: SparkSession, files: list[str], root: Path) -> DataFrame:
-    """Records of JSON files (an object or an array) and of JSON lines; the source is path#index, counting parsed records."""
-    rows = spark.read.format("binaryFile").load(files).select("path", F.col("content").cast("string").alias("raw"))
+def read_json(rows: DataFrame, root: str) -> DataFrame:
+    """Records of JSON files (an object or an array) and of JSON lines, from ``path, content``; the source is path#index, counting parsed records."""
+    rows = rows.select("path", F.col("content").cast("string").alias("raw"))
     lines = F.filter(F.split("raw", "\r?\n"), lambda s: F.trim(s) != "")
     whole = F.array("raw")
     items = rows.select("path", F.when(F.lower("path").endswith(".jsonl"), lines).otherwise(whole).alias("items"))
@@ -104,17 +115,26 @@ def _docx_text(content: bytes) -> str:
     return "\n\n".join(filter(None, lines))
 
 
-def _pdf_text(content: bytes) -> str:
+def _pdf_text(content: bytes) -> tuple[str, int]:
+    """Text and page count, as Markdown where the library for it is installed."""
     try:
         import pymupdf
     except ImportError as e:
         raise MissingParser("reading PDF needs pymupdf, or a parser of your own") from e
     with pymupdf.open(stream=content, filetype="pdf") as pages:
-        return "\n\n".join(p.get_text() for p in pages)
+        try:
+            import pymupdf4llm
+
+            return pymupdf4llm.to_markdown(pages), len(pages)
+        except ImportError:
+            return "\n\n".join(p.get_text() for p in pages), len(pages)
 
 
-def read_parsed(spark: SparkSession, files: list[str], root: Path, extension: str, parser: Callable[[bytes], str] | None = None) -> DataFrame:
-    """Files of a format that a Python function turns into text; files that fail are left out, a missing library raises."""
+def read_parsed(rows: DataFrame, root: str, extension: str, parser: Callable[[bytes], str] | None = None) -> DataFrame:
+    """``path, content`` of files of a format that a Python function turns into text, or text and page count; files that fail are left out, a missing library raises.
+
+    The metadata name the parser and, where it tells, the number of pages.
+    """
     parse = parser or {"docx": _docx_text, "pdf": _pdf_text}[extension]
     if parser is None and extension == "pdf":
         try:
@@ -122,21 +142,26 @@ def read_parsed(spark: SparkSession, files: list[str], root: Path, extension: st
         except ImportError as e:
             raise MissingParser("reading PDF needs pymupdf, or a parser of your own") from e
 
-    @F.pandas_udf("string")
-    def text_of(contents: pd.Series) -> pd.Series:
+    name = getattr(parse, "__name__", "parser").strip("_")
+
+    @F.pandas_udf("text string, pages string")
+    def parsed(contents: pd.Series) -> pd.DataFrame:
         def one(content):
             try:
-                return parse(bytes(content))
+                found = parse(bytes(content))
+                text, pages = found if isinstance(found, tuple) else (found, None)
+                return text, None if pages is None else str(pages)
             except MissingParser:
                 raise
             except Exception:
-                return None
+                return None, None
 
-        return contents.map(one)
+        return pd.DataFrame([one(c) for c in contents], columns=["text", "pages"], dtype=object)
 
     source = _relative(root)
-    rows = spark.read.format("binaryFile").load(files).select("path", text_of("content").alias("text")).where("text is not null")
-    return _shaped(rows.select("text", source.alias("source"), T.parsed_title(F.col("text"), _stem(source)).alias("title"), F.lit(extension).alias("format"), F.create_map(F.lit("path"), source).alias("metadata")))
+    rows = rows.select("path", parsed("content").alias("p")).select("path", "p.text", "p.pages").where("text is not null")
+    metadata = F.map_filter(F.create_map(F.lit("path"), source, F.lit("parser"), F.lit(name), F.lit("page_count"), F.col("pages")), lambda _, v: v.isNotNull())
+    return _shaped(rows.select("text", source.alias("source"), T.parsed_title(F.col("text"), _stem(source)).alias("title"), F.lit(extension).alias("format"), metadata.alias("metadata")))
 
 
 def read_corpus(rows: DataFrame) -> DataFrame:
@@ -154,11 +179,9 @@ def read_code(spark: SparkSession, path: str, most: int = 80, chars: int = 1_400
     """``path, language, category, slug, snippet`` of the first ``most`` code files by path (a miner's limit)."""
     from ..operators.graph import path_category
 
-    root = _root(path)
-    files = [f for f in _inside(root, CODE) if not set(Path(f).relative_to(root).parts) & set(SKIPPED)][:most]
-    if not files:
-        return spark.createDataFrame([], "path string, language string, category string, slug string, snippet string")
-    lines = F.filter(F.transform(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x)), lambda s: s != "")
+    root = _root(spark, path)
     source = _relative(root)
-    rows = spark.read.format("binaryFile").load(files)
+    skipped = F.arrays_overlap(F.split(source, "/"), F.array(*map(F.lit, SKIPPED)))
+    rows = _inside(spark, root, CODE).where(~skipped).orderBy("path").limit(most)
+    lines = F.filter(F.transform(F.split(F.col("content").cast("string"), "\n"), lambda x: F.trim(x)), lambda s: s != "")
     return rows.select(source.alias("path"), F.regexp_extract("path", r"\.([^.]+)$", 1).alias("language"), path_category(source).alias("category"), T.slug(_stem(source)).alias("slug"), F.substring(F.array_join(lines, "\n"), 1, chars).alias("snippet"))
