@@ -30,6 +30,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove, spark, path)
+
+
 def staged(df: DataFrame, *by: str) -> DataFrame:
     """The rows, written once (partitioned by the columns named) and read from there on; the files go when the interpreter ends."""
     spark = df.sparkSession

@@ -28,11 +28,15 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replaces the file in one step: readers see the old text or the new one."""
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Replaces the file in one step: readers see the old content or the new one."""
     fs, where = _at(spark, path)
     draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     stream = fs.create(draft, False)
-    stream.write(bytearray(text.encode()))
+    stream.write(bytearray(content))
     stream.close()
     jvm = spark._jvm
     options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)

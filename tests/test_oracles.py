@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestar import queries, score_queries  # noqa: F401
+from lodestar import queries, score_queries, store_queries  # noqa: F401
 from tests.compare import oracle, rows
 
 
