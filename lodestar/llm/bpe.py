@@ -15,9 +15,16 @@ ship(bpe_worker)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    """A public vocabulary's place, without importing its package."""
+    """A public vocabulary's place on the driver, without importing its package."""
     found = importlib.util.find_spec("public_tokenizers")
-    return os.path.join(os.path.dirname(found.origin) if found and found.origin else "/opt/tokenizers", name)
+    if found is None or not found.origin:
+        raise FileNotFoundError("the package public_tokenizers is not installed: give the path of a vocabulary")
+    return os.path.join(os.path.dirname(found.origin), name)
+
+
+def _sent(docs: DataFrame, path: str):
+    """The vocabulary, broadcast (a few MB): workers need no file of their own."""
+    return docs.sparkSession.sparkContext.broadcast(bpe_worker.compact(path))
 
 
 def _rows(docs: DataFrame, id_col: str, value: str, name: str) -> tuple[DataFrame, str]:
@@ -31,26 +38,26 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null texts count as empty; ids of documents may be null or repeat; other columns are left behind.
     """
     rows, kind = _rows(docs, id_col, text_col, "text")
-    return rows.mapInArrow(bpe_worker.encode_batches(path), f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(bpe_worker.encode_batches(_sent(rows, path)), f"doc_id {kind}, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Rows ``doc_id, text``: the tokens' texts, joined by spaces as the vocabulary names no decoder; unknown ids are skipped."""
     rows, kind = _rows(rows, id_col, ids_col, "ids")
-    return rows.mapInArrow(bpe_worker.decode_batches(path), f"doc_id {kind}, text string")
+    return rows.mapInArrow(bpe_worker.decode_batches(_sent(rows, path)), f"doc_id {kind}, text string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``doc_id, n_tokens, ids_sha256, decoded_sha256`` in one pass over each whole text."""
     rows, kind = _rows(docs, id_col, text_col, "text")
-    return rows.mapInArrow(bpe_worker.digest_batches(path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(bpe_worker.digest_batches(_sent(rows, path)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
     """Rows ``doc_id, lang, source, n_tokens, ids, decoded_sha256``, one a row of ``docs``; the digest is of the decoded ids."""
     rows = docs.select("doc_id", "lang", "source", "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
-    return rows.mapInArrow(bpe_worker.token_batches(path), f"{kinds}, n_tokens long, ids array<int>, decoded_sha256 string")
+    return rows.mapInArrow(bpe_worker.token_batches(_sent(rows, path)), f"{kinds}, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

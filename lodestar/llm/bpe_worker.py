@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import pickle
 import struct
+import sys
 import unicodedata
+from array import array
 
 import pyarrow as pa
 import regex
@@ -18,11 +21,14 @@ WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+")
 CHUNKS = regex.compile(f"[^{WS}]+")
 ODD = regex.compile("[\x1c-\x1f]")
-#: Distinct words whose ids a worker remembers, and the length beyond which a word is not remembered.
-MEMORY, LONG = 200_000, 64
+#: Runs and words that a worker remembers in each of two generations (some 70 MB in all), and the length beyond which it remembers none.
+RUNS, WORDS, LONG = 1 << 17, 1 << 17, 64
 #: Parts beyond which a word's boundaries are kept in a heap; scanning takes the square of the parts.
 SCAN = 96
 NEVER = 1 << 60
+#: Bytes of texts that are encoded before a batch of results goes out.
+PIECE = 1 << 20
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_chars() -> list[str]:
@@ -35,28 +41,52 @@ def byte_chars() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class Memory:
+    """A dict of bounded size: once the newer half is full it becomes the older, from which what is met again comes back."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= LONG:
+            if len(self.new) >= self.size:
+                self.new, self.old = {}, self.new
+            self.new[key] = value
+
+
+def compact(source: str | bytes) -> bytes:
+    """What an encoder needs of a vocabulary's file (or of what it holds), pickled: strings and packed arrays."""
+    if isinstance(source, str):
+        with open(source, "rb") as f:
+            source = f.read()
+    spec = json.loads(source)
+    vocab = spec["model"]["vocab"]
+    end = spec["model"]["end_of_word_suffix"] or ""
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    texts = {i: t for t, i in vocab.items()} | {i: t for t, i in special.items()}
+    chars = byte_chars()
+    pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in spec["model"]["merges"]]
+    merges = [array("I", [f(a, b) for a, b in pairs]).tobytes() for f in (lambda a, b: vocab[a], lambda a, b: vocab[b], lambda a, b: vocab[a + b])]
+    return pickle.dumps((texts, special, [vocab[c] for c in chars], [vocab[c + end] for c in chars], merges))
+
+
 class Encoder:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocab = spec["model"]["vocab"]
-        self.end = spec["model"]["end_of_word_suffix"] or ""
-        self.tokens = {i: t for t, i in vocab.items()}
-        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens |= {i: t for t, i in special.items()}
-        self.special = special
+    """From a vocabulary's file, or from what `compact` made of one."""
+
+    def __init__(self, source: str | bytes):
+        self.tokens, self.special, self.inner, self.final, merges = pickle.loads(compact(source) if isinstance(source, str) else source)
+        special = self.special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        chars = byte_chars()
-        self.inner = [vocab[c] for c in chars]
-        self.final = [vocab[c + self.end] for c in chars]
-        self.merges: dict[tuple[int, int], int] = {}
-        self.made: list[int] = []
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = rank
-            self.made.append(vocab[a + b])
-        self.memory: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        left, right, made = (array("I", x) for x in merges)
+        self.made: list[int] = made.tolist()
+        self.merges: dict[tuple[int, int], int] = {pair: rank for rank, pair in enumerate(zip(left, right))}
+        self.runs, self.words = Memory(RUNS), Memory(WORDS)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -97,8 +127,8 @@ class Encoder:
                     heapq.heappush(heap, (m, x, parts[x], parts[y]))
         return [p for p, on in zip(parts, alive) if on]
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Packed ids and joined tokens of a run without white space."""
+    def chunk(self, chunk: str) -> bytes:
+        """Packed ids of a run without white space."""
         text = chunk
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
@@ -106,57 +136,46 @@ class Encoder:
         if text.isalpha():
             return self.word(text)
         if text[:-1].isalpha() and text[-1] in ".,":
-            a, b = self.word(text[:-1]), self.word(text[-1])
-            return a[0] + b[0], f"{a[1]} {b[1]}"
-        found = [self.word(w) for w in SPLIT.findall(text)]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+            return self.word(text[:-1]) + self.word(text[-1])
+        return b"".join([self.word(w) for w in SPLIT.findall(text)])
 
-    def word(self, word: str) -> tuple[bytes, str]:
+    def word(self, word: str) -> bytes:
         """The same for one word as the tokenizer splits them."""
         found = self.words.get(word)
         if found is None:
             ids = self.merge(word.encode())
-            found = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids])
-            if len(word) <= LONG:
-                if len(self.words) >= MEMORY:
-                    self.words.clear()
-                self.words[word] = found
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            self.words.put(word, found)
         return found
 
-    def plain(self, text: str, ids: list[bytes], tokens: list[str]) -> None:
-        memory = self.memory
+    def plain(self, text: str, ids: list[bytes]) -> None:
+        runs = self.runs
         for chunk in CHUNKS.findall(text) if ODD.search(text) else text.split():
-            found = memory.get(chunk)
-            if found is None:
+            found = runs.new.get(chunk)
+            if found is None and (found := runs.get(chunk)) is None:
                 found = self.chunk(chunk)
-                if len(chunk) <= LONG:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    memory[chunk] = found
-            if found[0]:
-                ids.append(found[0])
-                tokens.append(found[1])
+                runs.put(chunk, found)
+            ids.append(found)
 
     def encode(self, text: str) -> tuple[bytes, list[str]]:
-        """Packed little-endian ids and the tokens' texts, some joined."""
+        """Packed little-endian ids and the tokens' texts."""
         ids: list[bytes] = []
-        tokens: list[str] = []
         for i, part in enumerate(self.cut.split(text)) if self.cut and "<|" in text else ((0, text),):
             if i % 2:
                 ids.append(struct.pack("<I", self.special[part]))
-                tokens.append(part)
             else:
-                self.plain(part, ids, tokens)
-        return b"".join(ids), tokens
+                self.plain(part, ids)
+        packed = b"".join(ids)
+        return packed, list(map(self.tokens.__getitem__, array("I", packed) if LITTLE else struct.unpack(f"<{len(packed) // 4}I", packed)))
 
     def decode(self, ids) -> str:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-def digest_batches(path: str):
+def digest_batches(sent):
     def run(batches):
-        encoder = Encoder(path)
-        for batch in pieces(batches):
+        encoder = Encoder(sent.value)
+        for batch in pieces(batches, PIECE):
             sizes, ids, texts = [], [], []
             for value in batch.column("text"):
                 packed, tokens = encoder.encode(value.as_py() or "")
@@ -171,26 +190,26 @@ def digest_batches(path: str):
     return run
 
 
-def encode_batches(path: str):
+def encode_batches(sent):
     def run(batches):
         import numpy as np
 
-        encoder = Encoder(path)
-        for batch in pieces(batches):
+        encoder = Encoder(sent.value)
+        for batch in pieces(batches, PIECE):
             out = [np.frombuffer(encoder.encode(v.as_py() or "")[0], "<u4").astype(np.int32).tolist() for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run
 
 
-def token_batches(path: str):
+def token_batches(sent):
     """Columns in: doc_id, lang, source, text. Out: the same without the text, its ids, their number and the decoded text's SHA-256."""
 
     def run(batches):
         import numpy as np
 
-        encoder = Encoder(path)
-        for batch in pieces(batches):
+        encoder = Encoder(sent.value)
+        for batch in pieces(batches, PIECE):
             ids, sizes, digests = [], [], []
             for value in batch.column("text"):
                 packed, tokens = encoder.encode(value.as_py() or "")
@@ -205,10 +224,10 @@ def token_batches(path: str):
     return run
 
 
-def decode_batches(path: str):
+def decode_batches(sent):
     def run(batches):
-        encoder = Encoder(path)
-        for batch in pieces(batches):
+        encoder = Encoder(sent.value)
+        for batch in pieces(batches, PIECE):
             out = [encoder.decode(v.as_py() or ()) for v in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 

@@ -16,6 +16,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Positions between rescalings, and words scored at once.
 RESCALE, WORDS = 24, 1 << 15
+#: Words times positions of a block at most: a block's arrays take some 100 bytes each.
+CELLS = 1 << 17
 #: Letters from which the E step sums logarithms.
 NARROW = 40
 BITS = 22
@@ -23,8 +25,18 @@ BITS = 22
 DOC_WORDS = 10_000
 
 
+#: Letters of a word at most; a longer run counts as several words, so that one pass scores all of a text at once.
+LONGEST = 256
+
+
+def parts(word: str) -> list[str]:
+    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+
+
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters of the lower-cased text, those of more than LONGEST letters in parts."""
+    found = LETTERS.findall(text.lower())
+    return found if not found or max(map(len, found)) <= LONGEST else [p for w in found for p in parts(w)]
 
 
 def letters_only(word: str) -> str:
@@ -63,7 +75,7 @@ class Model:
         at = 0
         while at < len(order):
             longest = len(words[order[min(at + WORDS, len(order)) - 1]]) + 1
-            take = max(1, min(WORDS, (1 << 19) // longest))
+            take = max(1, min(WORDS, CELLS // longest))
             block = order[at : at + take]
             at += take
             width = len(words[block[-1]]) + 1
@@ -262,7 +274,7 @@ def count_batches(batches):
     for batch in pieces(batches):
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            found = (m.group() for m in islice(LETTERS.finditer(text.lower()), DOC_WORDS))
+            found = (p for m in islice(LETTERS.finditer(text.lower()), DOC_WORDS) for p in parts(m.group()))
             counts.setdefault(lang, Counter()).update(filter(None, map(letters_only, found)))
         flat = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays(
