@@ -13,8 +13,10 @@ from .arrow import pieces
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: Both rules and the battery look at such runs only: a match of theirs that is long enough lies inside one.
+#: The rules for keys and digits look at such runs only: a match of theirs that is long enough lies inside one.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: What the battery looks at; LEAST_BITS decides what is long enough.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{14,}")
 KINDS = ("assign", "access", "hex", "random")
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -22,18 +24,32 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 ENCODINGS = (
     ("hex", DIGITS + "abcdef"),
     ("HEX", DIGITS + "ABCDEF"),
+    ("lower", LOWER),
+    ("upper", UPPER),
     ("base32", UPPER + "234567"),
     ("lower36", LOWER + DIGITS),
     ("upper36", UPPER + DIGITS),
+    ("letters", UPPER + LOWER),
     ("alnum", UPPER + LOWER + DIGITS),
     ("base64url", UPPER + LOWER + DIGITS + "-_"),
     ("base64", UPPER + LOWER + DIGITS + "+/"),
+    ("any", UPPER + LOWER + DIGITS + "+/-_="),
 )
 PLACES = [(name, {c: i for i, c in enumerate(chars)}) for name, chars in ENCODINGS]
 #: Bits that a token must be able to hold: below, no test has the power to tell chance from text.
 LEAST_BITS = 80.0
-#: Share of false rejections of randomness that is allowed for.
-FDR = 0.05
+#: Share of text among what is reported as random that is allowed for, and the level at which randomness is given up.
+FDR, LEVEL = 0.05, 0.01
+
+#: Text as the null hypothesis: shares of the letters a to z in Western European prose, in thousandths, and how classes
+#: of characters (lower, upper, digit, other) follow one another in words, names, paths and numbered identifiers.
+LETTERS = dict(zip(LOWER, (82, 14, 29, 43, 141, 17, 18, 40, 76, 3, 7, 42, 26, 75, 66, 24, 4, 66, 69, 79, 33, 11, 16, 3, 13, 3)))
+FIRST = (0.60, 0.25, 0.13, 0.02)
+FOLLOWS = ((0.88, 0.05, 0.03, 0.04), (0.70, 0.22, 0.04, 0.04), (0.10, 0.08, 0.70, 0.12), (0.50, 0.25, 0.20, 0.05))
+CLASS = {c: i for i, chars in enumerate((LOWER, UPPER, DIGITS, "+/-_=")) for c in chars}
+_SUM = sum(LETTERS.values())
+SAID = {c: math.log(LETTERS[c.lower()] / _SUM) if c.isalpha() else -math.log(10 if c.isdigit() else 5) for c in CLASS}
+LOG_FIRST, LOG_FOLLOWS = [math.log(x) for x in FIRST], [[math.log(x) for x in row] for row in FOLLOWS]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -49,9 +65,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def encoding(token: str) -> dict[str, int] | None:
-    """Places of the smallest alphabet that holds a token with letters and digits; None for words and numbers."""
+    """Places of the smallest alphabet that holds a token with letters; None for numbers."""
     core = token.rstrip("=")
-    if not any(c.isdigit() for c in core) or not any(c.isalpha() for c in core):
+    if not any(c.isalpha() for c in core):
         return None
     used = set(core)
     return next((places for _, places in PLACES if used <= places.keys()), None)
@@ -93,27 +109,60 @@ def battery(places: list[int], size: int) -> float:
     return min(1.0, 3 * min(p_uniform, p_runs, p_serial))
 
 
-def random_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Tokens outside the base spans that pass for random.
+def text_odds(token: str, size: int) -> float:
+    """Likelihood of a token as text over that as an even draw from an alphabet of the size, 1 at most.
 
-    Randomness is rejected by Benjamini and Hochberg's steps over the text's tokens, each p value divided by a weight
-    in proportion to the token's length: long tokens, on which the tests have power, are held to more.
+    Of text, such a ratio is x or less with a chance of x at most (Markov's inequality), so it is a p value of the null
+    hypothesis that the token is text.
     """
-    tried = []
-    for run in RUN.finditer(text):
+    kinds = [CLASS[c] for c in token]
+    said = LOG_FIRST[kinds[0]] + sum(LOG_FOLLOWS[a][b] for a, b in zip(kinds, kinds[1:])) + sum(SAID[c] for c in token)
+    return math.exp(min(0.0, said + len(token) * math.log(size)))
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+    """(start, end, length, p value of being text) of tokens outside the base spans whose randomness the battery doesn't give up.
+
+    Spans are met in one pass along both lists, which are in order.
+    """
+    out = []
+    at = reach = 0
+    for run in TOKEN.finditer(text):
         a, b = run.span()
-        if any(s < b and e > a for s, _, e in taken):
+        while at < len(taken) and taken[at][0] < b:
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach > a:
             continue
         token = text[a:b].rstrip("=")
         places = encoding(token)
         if places and len(token) * math.log2(len(places)) >= LEAST_BITS:
-            tried.append((battery([places[c] for c in token], len(places)), len(token), a, b))
+            p = text_odds(token, len(places))
+            if p < 1 and battery([places[c] for c in token], len(places)) >= LEVEL:
+                out.append((a, b, len(token), p))
+            else:
+                out.append((a, b, len(token), 1.0))
+    return out
+
+
+def discoveries(tried: list[tuple[int, float]], rate: float = FDR) -> float:
+    """Benjamini and Hochberg's cut over all of (length, p): what has p x mean length / length at or under it is reported.
+
+    Long tokens, on which the tests have more power, weigh more; the weights come to 1 on average.
+    """
     if not tried:
-        return []
-    mean = sum(t[1] for t in tried) / len(tried)
-    ranked = sorted((p * mean / n, a, b) for p, n, a, b in tried)
-    cut = max((i for i, (p, _, _) in enumerate(ranked, 1) if p <= FDR * i / len(ranked)), default=0)
-    return [(a, 3, b) for _, a, b in ranked[cut:]]
+        return 0.0
+    mean = sum(n for n, _ in tried) / len(tried)
+    weighed = sorted(p * mean / n for n, p in tried)
+    return max((p for i, p in enumerate(weighed, 1) if p <= rate * i / len(weighed)), default=0.0)
+
+
+def random_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Tokens of one text, outside the base spans, that are found to be random among its own."""
+    tried = candidates(text, taken)
+    cut = discoveries([(n, p) for _, _, n, p in tried])
+    mean = sum(t[2] for t in tried) / max(1, len(tried))
+    return [(a, 3, b) for a, b, n, p in tried if p * mean / n <= cut]
 
 
 def joined(spans) -> str:
@@ -121,6 +170,8 @@ def joined(spans) -> str:
 
 
 def scan_batches(batches):
+    """Columns in: doc_id, text. Out: doc_id, counts and digest of the base spans, all spans and candidates by start, then kind (p is 0 for base spans)."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("n", pa.int32()), ("p", pa.float64())]))
     for batch in pieces(batches):
         counts, digests, everything = ([], [], []), [], []
         for value in batch.column("text"):
@@ -129,8 +180,9 @@ def scan_batches(batches):
             for k in range(3):
                 counts[k].append(sum(s[1] == k for s in base))
             digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-            everything.append(joined(base + random_spans(text, base)))
+            found = [(a, k, b, 0, 0.0) for a, k, b in base] + [(a, 3, b, n, p) for a, b, n, p in candidates(text, base)]
+            everything.append([dict(zip(("start", "kind", "end", "n", "p"), x)) for x in sorted(found)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(everything, pa.string())],
-            ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+            [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(everything, kind)],
+            ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
         )
