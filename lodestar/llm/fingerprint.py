@@ -111,7 +111,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Adds ``next_text``: the text of the following row by descending doc_id, of the first row after the last.
 
     Null ids come last, equal ids go by text, and a lone row follows itself. The order is cut into buckets by quantiles
-    of the id, so that no task holds more than a bucket. The first id of each bucket is a quantile itself; its row is
+    of the id, of BUCKET_ROWS rows each, or a MOST_BUCKETS-th part of all rows if that is more. A task sorts one bucket,
+    and spills what memory cannot hold. Rows of one id, and those without an id, are in one bucket: ids are meant to tell
+    rows apart, and the result is whole where they don't, but it waits for that task. The first id of each bucket is a quantile itself; its row is
     copied to the bucket before, in the same shuffle, and closes it.
     """
     n = docs.count()

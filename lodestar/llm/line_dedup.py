@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, stored_bytes, table
 
 #: A line goes if more than this share of its site's pages have it, and at least so many of them.
 RATIO, LEAST_PAGES = 0.05, 5
-#: Sites with a share of pages over 1 / HOT_SITES get their lines by broadcast; there are fewer of them than that.
-HOT_SITES = 200
+#: Compressed bytes of all sites' boilerplate up to which it is broadcast; beyond it, pages and lines meet by a shuffle
+#: on site and salt, so that a site of many pages is spread over SALTS tasks.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 def _key(line: Column) -> Column:
-    return F.unhex(F.md5(F.trim(line)))
+    return F.unhex(_digest(line))
+
+
+def _digest(line: Column) -> Column:
+    return F.md5(F.trim(line))
 
 
 def _blank(line: Column) -> Column:
@@ -22,7 +27,7 @@ def _blank(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, site_col: str = "source", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """Rows ``site, pages, keys``: per site its rows, and the MD5 keys of its boilerplate lines (trimmed, not blank).
+    """Rows ``site, pages, keys``: per site its rows, and the MD5 digests of its boilerplate lines (trimmed, not blank).
 
     A line counts once a page. The keys are counted, partly before the shuffle, and never the lines; a site of p pages
     with l lines each on average has l / ratio boilerplate lines at most, whatever p is, so one array holds them.
@@ -41,7 +46,7 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES,
     counts = stored(counts.where((F.col("n") >= least) | F.col("key").isNull()), "lines")
     totals = counts.where("key is null").select("site", "pages", F.col("n").alias("counted"))
     found = counts.where("key is not null").select(F.col("site").alias("s"), "key", "n").join(totals, F.col("s").eqNullSafe(F.col("site")))
-    found = found.where(F.col("n") > F.col("counted") * ratio).groupBy("site", "pages").agg(F.collect_set("key").alias("keys"))
+    found = found.where(F.col("n") > F.col("counted") * ratio).groupBy("site", "pages").agg(F.collect_set(F.lower(F.hex("key"))).alias("keys"))
     return stored(found, "boilerplate")
 
 
@@ -49,25 +54,26 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_P
     """The rows of ``docs`` with ``kept`` (the text without boilerplate lines), ``n_lines`` and ``n_dropped`` besides.
 
     Lines end at line feeds; those left keep their order and are joined by line feeds. Blank lines always stay. A null
-    text stays null and has no lines. Sites of many pages meet their lines by broadcast (fewer than HOT_SITES of them),
-    all others by a shuffle, in which no site has more than a small share of the rows.
+    text stays null and has no lines. Columns of ``docs`` may have any names; those of the three names give way.
     """
     found = boilerplate(docs, ratio, least, site_col, text_col, distinct)
-    total = docs.count()
-    names = {"_site", "_keys", "_hot", "_lines", "_left"}
-    hot = found.where(F.col("pages") * HOT_SITES > total).select(F.col("site").alias("_hot"), F.col("keys").alias("_hot_keys"))
-    cool = found.where(F.col("pages") * HOT_SITES <= total).select(F.col("site").alias("_site"), F.col("keys").alias("_keys"))
-    rows = docs.join(F.broadcast(hot), F.col(site_col).eqNullSafe(F.col("_hot")), "left")
-    if cool.limit(1).count():
-        rows = rows.join(cool, F.col(site_col).eqNullSafe(F.col("_site")) & F.col("_hot_keys").isNull(), "left")
-        rows = rows.withColumn("_hot_keys", F.coalesce("_hot_keys", "_keys"))
-    rows = rows.withColumn("_lines", F.split(text_col, "\n"))
-    left = F.filter("_lines", lambda x: _blank(x) | ~F.array_contains("_hot_keys", _key(x)))
-    rows = rows.withColumn("_left", F.when(F.col("_hot_keys").isNull(), F.col("_lines")).otherwise(left))
-    rows = rows.withColumn("kept", F.array_join("_left", "\n"))
-    n = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    rows = rows.withColumn("n_lines", n).withColumn("n_dropped", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("long"))
-    return rows.drop(*names, "_hot_keys")
+    # Rows travel as one struct, so that no column of theirs can clash with those made here.
+    rows = docs.select(F.struct("*").alias("row"), F.col(site_col).alias("site"), F.col(text_col).alias("text"))
+    known = found.select(F.col("site").alias("of_site"), "keys")
+    match = F.col("site").eqNullSafe(F.col("of_site"))
+    if stored_bytes(found) <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(known), match, "left")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+        known = known.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.join(known, match & (F.col("salt") == F.col("of_salt")), "left")
+    lines = F.split("text", "\n")
+    rows = rows.select("row", lines.alias("lines"), F.array_intersect(F.transform(lines, _digest), "keys").alias("gone"))
+    left = F.filter("lines", lambda x: ~F.array_contains("gone", _digest(x)))
+    rows = rows.select("row", "lines", F.when(F.coalesce(F.size("gone"), F.lit(0)) > 0, left).otherwise(F.col("lines")).alias("left"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    made = {"kept": F.array_join("left", "\n"), "n_lines": size("lines"), "n_dropped": size("lines") - size("left")}
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -76,14 +82,15 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = f"""
-WITH l AS (SELECT d.doc_id, d.source, u.line, u.n FROM documents d,
+WITH d AS (SELECT *, row_number() OVER () AS page FROM documents),
+l AS (SELECT d.page, d.source, u.line, u.n FROM d,
         LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS n) u),
-p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+p AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
 b AS (SELECT l.source, trim(l.line) AS line FROM l JOIN p ON l.source IS NOT DISTINCT FROM p.source WHERE trim(l.line) <> ''
-      GROUP BY l.source, trim(l.line) HAVING count(DISTINCT l.doc_id) > {RATIO} * any_value(p.pages) AND count(DISTINCT l.doc_id) >= {LEAST_PAGES}),
-k AS (SELECT l.doc_id, count(*) AS n_lines, count(b.line) AS n_dropped,
+      GROUP BY l.source, trim(l.line) HAVING count(DISTINCT l.page) > {RATIO} * any_value(p.pages) AND count(DISTINCT l.page) >= {LEAST_PAGES}),
+k AS (SELECT l.page, count(*) AS n_lines, count(b.line) AS n_dropped,
         coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE b.line IS NULL), '') AS kept
-      FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.line GROUP BY l.doc_id)
+      FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.line GROUP BY l.page)
 SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_dropped, 0) AS BIGINT) AS n_dropped, sha256(coalesce(k.kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+FROM d LEFT JOIN k ON d.page = k.page
 """

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, small, stored
 
 #: Buckets of the seeded order in each source; only the bucket that a target falls into is ordered row by row.
 BUCKETS_HEX = 3
+#: Compressed bytes of the buckets' table up to which it is broadcast; beyond it, Spark shuffles both.
+BROADCAST_BYTES = 16 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -76,7 +78,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2)
         .select(F.col("s").alias("s"), F.col("bucket").alias("b"), "before", "state", "source_size", "target", "whole", "extra")
     )
     # One row a source and bucket: 4,096 times the sources at most, whatever the documents are.
-    joined = rows.join(F.broadcast(cut) if _few(cut) else cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    joined = rows.join(small(stored(cut, "cut"), BROADCAST_BYTES), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     inside = Window.partitionBy("source", "bucket").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = joined.where("state = -1").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("more", (F.col("at") + F.col("size") / 2 <= F.col("extra")).cast("long")).drop("at")
@@ -84,16 +86,11 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2)
     return both.withColumn("copies", F.col("whole") + F.col("more")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *more)
 
 
-def _few(cut: DataFrame, limit: int = 200_000) -> bool:
-    """Whether the bucket table is small enough to broadcast (some 20 MB)."""
-    return cut.limit(limit + 1).count() <= limit
-
-
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` (doc_id, source, text and others), each as often as the mix takes it."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))
-    found = mix(rows, seed, carry="_row").where("copies > 0")
-    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    found = mix(rows, seed, carry="row").where("copies > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
