@@ -7,6 +7,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
+from .arrow import pieces
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are hashed at once.
@@ -30,7 +32,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def pieces(texts: list[bytes]):
+def portions(texts: list[bytes]):
     """Runs of texts of about PIECE bytes together, as (index of the first, texts); a text is never cut."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -101,9 +103,9 @@ def anchor_batches(window: int, gram: int):
 
     def run(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in pieces(batches):
                 texts = as_bytes(batch.column("text"))
-                for first, some in pieces(texts):
+                for first, some in portions(texts):
                     words, bounds = word_hashes(some)
                     at, hashes = anchors(words, bounds, window, gram)
                     owner = np.searchsorted(bounds, at, side="right") - 1
@@ -121,10 +123,10 @@ def window_batches(window: int, gram: int):
 
     def run(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in pieces(batches):
                 texts = as_bytes(batch.column("text"))
                 places = batch.column("places")
-                for first, some in pieces(texts):
+                for first, some in portions(texts):
                     words, bounds = word_hashes(some)
                     marks = np.zeros(bounds[-1] + 1, np.int64)
                     for i in range(len(some)):
@@ -147,7 +149,7 @@ def run_batches(window: int):
     """Columns in: k1, k2, starts of the text's repeated windows. Out: the words to remove as packed runs (start, end)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for value in batch.column("starts"):
                 at = np.unique(np.asarray(value.as_py(), dtype=np.int64))
@@ -163,7 +165,7 @@ def kept_batches(with_text: bool):
     """Columns in: doc_id, text, runs (or null). Out: doc_id, n_words, n_removed, kept text or its SHA-256."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, removed, kept = [], [], []
             for text, runs in zip(batch.column("text"), batch.column("runs")):
                 words = (text.as_py() or "").encode().split()
