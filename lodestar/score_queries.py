@@ -143,7 +143,18 @@ def paragraph_split(spark, d):
     return chunking.paragraphs(docs, 10**9).withColumn("position", F.col("position").cast("long"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE p AS (SELECT doc_id, nth AS para, t FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '\n\s*\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), lambda x: x <> '')) AS t,
+  generate_subscripts(list_filter(list_transform(string_split_regex(text, '\n\s*\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), lambda x: x <> ''), 1) AS nth FROM documents)),
+l AS (SELECT doc_id, para, string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)) AS s FROM p WHERE len(t) > 900),
+f AS (SELECT doc_id, para, s, 1 AS i, s[1] AS now, len(s[1]) + 1 AS size, CAST(NULL AS VARCHAR) AS done FROM l
+  UNION ALL SELECT doc_id, para, s, i + 1, CASE WHEN size = 0 OR (size > 0 AND size + len(s[i + 1]) + 1 > 900) THEN s[i + 1] ELSE now || ' ' || s[i + 1] END,
+    CASE WHEN size > 0 AND size + len(s[i + 1]) + 1 > 900 THEN len(s[i + 1]) ELSE size + len(s[i + 1]) + 1 END, CASE WHEN size > 0 AND size + len(s[i + 1]) + 1 > 900 THEN now END FROM f WHERE i < len(s)),
+c AS (SELECT doc_id, para, i, trim(done) AS t FROM f WHERE trim(done) <> '' UNION ALL SELECT doc_id, para, i + 1, trim(now) FROM f WHERE i = len(s) AND trim(now) <> '' UNION ALL SELECT doc_id, para, 1, t FROM p WHERE len(t) <= 900),
+n AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY para, i) AS nth FROM c),
+g AS (SELECT doc_id, nth, t AS text FROM n WHERE nth = 1 UNION ALL SELECT n.doc_id, n.nth, right(g.text, 40) || n.t FROM g JOIN n ON n.doc_id = g.doc_id AND n.nth = g.nth + 1)
+SELECT doc_id, CAST(nth - 1 AS INT) AS position, text FROM g"""
+)
 def packed_chunks(spark, d):
     return chunking.paragraphs(documents(spark, d), 900, 40)
 
@@ -481,9 +492,27 @@ def multiscale_rrf(spark, d):
     return ranked(multiscale.fused_levels(entries(spark, d), level_queries(spark, d)))
 
 
-@query()
+def _unit(v: str) -> str:
+    return f"(CASE WHEN list_inner_product({v}, {v}) > 0 THEN list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v}))) ELSE {v} END)"
+
+
+def _minus(a: str, b: str) -> str:
+    return f"list_transform(list_zip({a}, {b}), lambda z: z[1] - z[2])"
+
+
+#: A document has one paragraph here, which is therefore the mean that its sentence moves away from.
+DERIVED_SQL = f"""{LEVELS_SQL}, t AS (SELECT a.entry_id, a.vec AS sv, p.vec AS pv, o.vec AS dv FROM e a JOIN e p ON p.doc_id = a.doc_id AND p.level = 1 JOIN e o ON o.doc_id = a.doc_id AND o.level = 2 WHERE a.level = 0),
+d1 AS (SELECT *, {_minus('sv', 'pv')} AS u FROM t), d2 AS (SELECT *, {_unit('u')} AS v1 FROM d1), d3 AS (SELECT *, {_minus('v1', _minus('sv', 'dv'))} AS u2 FROM d2), dd AS (SELECT entry_id, v1, {_unit('u2')} AS v2 FROM d3)"""
+_deriv = "(VALUES " + ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]}, {v[3]}, {v[4]})" for k, v in Q.LEVELS.items()) + ") l(kind, w2, w1, w0, wd, k)"
+
+
+@query(
+    f"""{DERIVED_SQL}, x AS (SELECT s.query_id, s.level, s.entry_id, k, round(sim * CASE s.level WHEN 2 THEN w2 WHEN 1 THEN w1 ELSE w0 END + coalesce(list_inner_product(q.q, v1) * {multiscale.DERIVATIVE} + list_inner_product(q.q, v2) * {multiscale.DERIVATIVE * 0.6}, 0) * wd, 6) AS score
+  FROM s JOIN q USING (query_id) LEFT JOIN dd USING (entry_id) JOIN {_deriv} ON l.kind = s.kind)
+SELECT query_id, level, entry_id, score, CAST(row_number() OVER (PARTITION BY query_id, level ORDER BY score DESC, entry_id) AS INT) AS rank FROM x QUALIFY rank <= k"""
+)
 def multiscale_derivatives(spark, d):
-    return multiscale.by_level(entries(spark, d), level_queries(spark, d), multiscale.derivatives(entries(spark, d)))
+    return multiscale.by_level(entries(spark, d), level_queries(spark, d), multiscale.derivatives(entries(spark, d))).withColumn("rank", F.col("rank").cast("int"))
 
 
 def _metadata(spark, d):
@@ -500,10 +529,16 @@ def metadata_boost(spark, d):
     return _metadata(spark, d).select("doc_id", F.round(multiscale.metadata_boost(["src1", "src4"], 0.05, ["fr", "m3"], 0.02, 0.1), 6).alias("boost"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EVIDENCE_SQL.removeprefix('WITH ')}, c AS (SELECT query_id, doc_id, score, source, min(score) OVER w AS low, max(score) OVER w AS high, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM ev JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY query_id)),
+pick AS (SELECT query_id, 0 AS step, CAST([] AS BIGINT[]) AS got, CAST([] AS VARCHAR[]) AS domains, CAST(NULL AS BIGINT) AS doc_id FROM c WHERE nth = 1
+  UNION ALL SELECT p.query_id, p.step + 1, list_append(p.got, b.doc_id), list_append(p.domains, coalesce(b.source, '')), b.doc_id FROM pick p, LATERAL (SELECT c.doc_id, c.source FROM c WHERE c.query_id = p.query_id AND NOT list_contains(p.got, c.doc_id)
+    ORDER BY 0.6 * (c.score - c.low) / CASE WHEN c.high > c.low THEN c.high - c.low ELSE 1 END + 0.4 * CASE WHEN coalesce(c.source, '') <> '' AND NOT list_contains(p.domains, c.source) THEN 1 ELSE 0 END DESC, c.nth LIMIT 1) b WHERE p.step < 5)
+SELECT pick.query_id, pick.doc_id, c.score, CAST(step AS INT) AS rank FROM pick JOIN c ON c.query_id = pick.query_id AND c.doc_id = pick.doc_id WHERE step > 0"""
+)
 def diversified(spark, d):
     rows = evidence(spark, d).join(documents(spark, d).select("doc_id", F.col("source").alias("domain")), "doc_id")
-    return multiscale.diversify(rows, 5, 0.4)
+    return ranked(multiscale.diversify(rows, 5, 0.4))
 
 
 # --- Corpus statistics and tuning
