@@ -15,9 +15,9 @@ from .common import ship, small, stored, table
 
 ship(substring_worker)
 
-#: Compressed bytes up to which a side is broadcast (its arrays take some ten times that when unpacked); beyond it, Spark
-#: shuffles both.
-BROADCAST_BYTES = 8 << 20
+#: Compressed bytes up to which a side is broadcast (some 64 MB when unpacked); beyond it, Spark shuffles both, which moves
+#: the texts once more for each of two joins.
+BROADCAST_BYTES = 16 << 20
 #: Occurrences from which a key is hot: its rows meet it by broadcast, of at most a HOT-th part as many keys as rows.
 HOT = 50_000
 #: Characters of reference text in one automaton (some 0.5 GB of states for each million words).
