@@ -100,8 +100,9 @@ def _with_neighbours(methods, families, memberships, found: DataFrame, k: int, a
     nth = F.row_number().over(Window.partitionBy("query_id", "a", "only_category").orderBy("b"))
     reach = reach.withColumn("nth", nth).where("not only_category or nth = 1")
     score = F.round(F.greatest(F.col("seed") - (F.lit(0.09) - F.least("weight", F.lit(1.0)) * F.lit(0.06)), F.lit(0.0)), 6)
-    reach = reach.select("query_id", F.col("b").alias("family_id"), score.alias("graph"), F.struct(-F.col("seed"), F.col("a")).alias("by"), F.concat(F.array(F.concat(F.lit("from:"), "a")), "reasons").alias("why"))
-    best = reach.groupBy("query_id", "family_id").agg(F.max("graph").alias("graph"), F.max_by("why", F.struct("graph", -F.col("by.col1"))).alias("why"))
+    reach = reach.select("query_id", F.col("b").alias("family_id"), score.alias("graph"), "seed", "a", F.concat(F.array(F.concat(F.lit("from:"), "a")), "reasons").alias("why"))
+    # Equal scores go to the better seed, then to the first by name.
+    best = reach.groupBy("query_id", "family_id").agg(F.max("graph").alias("graph"), F.min_by("why", F.struct(-F.col("graph"), -F.col("seed"), "a")).alias("why"))
     first = memberships.groupBy("family_id").agg(F.min("method_id").alias("first_method"))
     both = found.join(best, ["query_id", "family_id"], "full").join(first, "family_id", "left")
     old, better = F.col("score").isNotNull(), F.col("graph") > F.col("score")

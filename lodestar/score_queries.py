@@ -164,12 +164,36 @@ def semantic_chunks(spark, d):
     return chunking.semantic_chunks(documents(spark, d))
 
 
-@query()
+_bare = "trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
+_pieces = lambda text, pattern, trim: rf"list_filter(list_transform(string_split(regexp_replace({text}, '([.!?])\s+({pattern})', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda x: {trim}), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT doc_id, text, {_pieces('text', '[A-Z]', _bare.format('x'))} AS raw FROM documents),
+f AS (SELECT doc_id, raw, 1 AS i, raw[1] AS now, CAST(NULL AS VARCHAR) AS done FROM r WHERE len(raw) > 0
+  UNION ALL SELECT doc_id, raw, i + 1, CASE WHEN len(raw[i + 1]) < 30 THEN now || ' ' || raw[i + 1] ELSE raw[i + 1] END, CASE WHEN len(raw[i + 1]) >= 30 THEN now END FROM f WHERE i < len(raw)),
+s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS position, t AS text FROM (SELECT doc_id, i, done AS t FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, now FROM f WHERE i = len(raw))),
+g AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_bare.format('x')}), lambda x: x <> '') AS given, text FROM documents),
+k AS (SELECT doc_id, CASE WHEN len(given) > 0 THEN given ELSE [text] END AS p, (SELECT count(*) FROM s WHERE s.doc_id = g.doc_id) AS n FROM g),
+p AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS position FROM k WHERE NOT (len(p) = 1 AND n >= 4)
+  UNION ALL SELECT s.doc_id, string_agg(s.text, ' ' ORDER BY position), position // 3 FROM s JOIN k ON k.doc_id = s.doc_id WHERE len(p) = 1 AND n >= 4 GROUP BY s.doc_id, position // 3)
+SELECT doc_id, CAST(level AS INT) AS level, CAST(position AS INT) AS position, text FROM (SELECT doc_id, 0 AS level, position, text FROM s UNION ALL SELECT doc_id, 1, position, text FROM p UNION ALL SELECT doc_id, 2, 0, text FROM documents WHERE text IS NOT NULL)"""
+)
 def scale_chunks(spark, d):
     return chunking.scales(documents(spark, d))
 
 
-@query()
+_last = "rtrim(list_last(regexp_extract_all(now, '[a-zA-Z][.a-zA-Z]*')), '.')"
+_short = f"coalesce(now LIKE '%.' AND (lower({_last}) IN ({', '.join(repr(a) for a in T.ABBREVIATIONS)}) OR regexp_matches({_last}, '^[A-Z]$')), false)"
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS ln FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents)),
+p AS (SELECT doc_id, ln, CASE WHEN l LIKE '#%' THEN [l] ELSE {_pieces('l', "[A-Z0-9(\\[\"'']", 'trim(x)')} END AS p FROM l),
+f AS (SELECT doc_id, ln, p, 1 AS i, p[1] AS now, CAST(NULL AS VARCHAR) AS done FROM p WHERE len(p) > 0
+  UNION ALL SELECT doc_id, ln, p, i + 1, CASE WHEN {_short} THEN now || ' ' || p[i + 1] ELSE p[i + 1] END, CASE WHEN NOT {_short} THEN now END FROM f WHERE i < len(p))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ln, i) - 1 AS INT) AS position, t AS text FROM (SELECT doc_id, ln, i, done AS t FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, ln, i + 1, now FROM f WHERE i = len(p))"""
+)
 def careful_sentences(spark, d):
     return chunking.sentence_chunks(documents(spark, d))
 
@@ -439,10 +463,33 @@ def graph_families(spark, d):
     return found.select("query_id", "key", "method_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
-@query()
+_words = lambda *parts: _graph_tokens.format("concat_ws(' ', " + ", ".join(parts) + ")")
+EXPANDED_SQL = f"""{GRAPH_SQL}, part_ AS (SELECT *, p_brand AS f, split_part(p_name, ' ', 1) AS lang FROM part),
+fam AS (SELECT f, max(p_type) AS category, min(CAST(p_partkey AS VARCHAR)) AS first_method FROM part_ GROUP BY f),
+j AS (SELECT hit.*, CASE WHEN p_brand LIKE '%5' THEN NULL ELSE p_brand END AS family_id, round(score + CASE WHEN p_brand LIKE '%5' THEN 0 ELSE least(greatest(p_size / 50, 0), 1) * 0.05 END, 6) AS s FROM hit JOIN part ON CAST(p_partkey AS VARCHAR) = method_id),
+found AS (SELECT query_id, coalesce('family:' || family_id, 'methodology:' || method_id) AS key, any_value(family_id) AS family_id, arg_max(method_id, {{'s': s, 'r': -rank}}) AS method_id, max(s) AS score FROM j GROUP BY query_id, coalesce('family:' || family_id, 'methodology:' || method_id)),
+keys_ AS (SELECT f, 'origin' AS kind, 'o' || len(f) AS v FROM fam UNION SELECT f, 'source', lower(f) FROM fam UNION SELECT f, 'category', lower(category) FROM fam UNION SELECT f, 'category', lower(p_type) FROM part_),
+tok AS (SELECT DISTINCT f, t AS v FROM (SELECT f, unnest({_words("f", "translate('bar:' || f, ':-', '  ')", "category", "''", "f")}) AS t FROM fam UNION ALL SELECT f, unnest({_words('p_name', "''", 'lang', "'category:' || lower(p_type)", 'f')}) FROM part_)),
+langs AS (SELECT f, list_distinct(list(lower(lang))) AS ls FROM part_ WHERE lang <> '' GROUP BY f), sizes AS (SELECT f, count(*) AS n FROM tok GROUP BY f),
+every AS (SELECT * FROM keys_ UNION ALL SELECT f, 'token', v FROM tok),
+pairs AS (SELECT x.f AS a, y.f AS b, CAST(bool_or(x.kind = 'origin') AS INT) AS origin, CAST(bool_or(x.kind = 'source') AS INT) AS source, CAST(bool_or(x.kind = 'category') AS INT) AS category, coalesce(list_sort(list_distinct(list(x.v) FILTER (WHERE x.kind = 'token'))), []) AS words
+  FROM every x JOIN every y ON x.kind = y.kind AND x.v = y.v AND x.f <> y.f GROUP BY ALL),
+w AS (SELECT p.*, CAST(coalesce(len(list_intersect(la.ls, lb.ls)) > 0, false) AS INT) AS language, len(words) AS shared, least(sa.n, sb.n) AS least_n FROM pairs p LEFT JOIN langs la ON la.f = a LEFT JOIN langs lb ON lb.f = b LEFT JOIN sizes sa ON sa.f = a LEFT JOIN sizes sb ON sb.f = b),
+edge AS (SELECT a, b, round(least(origin * 0.95 + source * 0.55 + category * 0.58 + language * 0.05 + CASE WHEN shared > 0 THEN least(0.65, 0.22 + shared / greatest(least_n, 1) * 1.4) ELSE 0 END, 1), 6) AS weight, category = 1 AND origin = 0 AND source = 0 AND shared = 0 AS only_category,
+  list_filter([CASE WHEN origin = 1 THEN 'same_split_origin' END, CASE WHEN source = 1 THEN 'shared_source' END, CASE WHEN category = 1 THEN 'shared_category' END, CASE WHEN language = 1 THEN 'shared_language' END, CASE WHEN shared > 0 THEN 'lexical_overlap:' || array_to_string(list_slice(words, 1, 5), ',') END], lambda x: x IS NOT NULL) AS reasons FROM w),
+reach AS (SELECT query_id, score AS seed, e.*, row_number() OVER (PARTITION BY query_id, a, only_category ORDER BY b) AS nth FROM found JOIN edge e ON family_id = a WHERE weight >= 0.30 AND b NOT LIKE '%5'),
+best AS (SELECT query_id, b AS family_id, max(g) AS graph, arg_min(list_concat(['from:' || a], reasons), {{'g': -g, 's': -seed, 'a': a}}) AS why FROM (SELECT *, round(greatest(seed - (0.09 - least(weight, 1) * 0.06), 0), 6) AS g FROM reach WHERE NOT only_category OR nth = 1) GROUP BY ALL),
+both_ AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(key, 'family:' || y.family_id) AS key, coalesce(method_id, first_method) AS method_id, greatest(score, graph) AS score,
+  CASE WHEN score IS NULL THEN 'graph' WHEN coalesce(graph > score, false) THEN 'direct+graph' ELSE 'direct' END AS source, CASE WHEN score IS NOT NULL AND NOT coalesce(graph > score, false) THEN '' ELSE array_to_string(why, ';') END AS reasons
+  FROM found x FULL JOIN best y ON x.query_id = y.query_id AND x.family_id = y.family_id LEFT JOIN fam ON fam.f = y.family_id),
+kept AS (SELECT * FROM both_ WHERE source <> 'graph' UNION ALL SELECT * FROM (SELECT * FROM both_ WHERE source = 'graph' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 5))
+SELECT query_id, key, method_id, score, source, reasons, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INT) AS rank FROM kept QUALIFY rank <= 5"""
+
+
+@query(EXPANDED_SQL)
 def graph_expanded(spark, d):
     found = graph.search_families(*graph_tables(spark, d))
-    return found.select("query_id", "key", "method_id", "score", "source", F.array_join("reasons", ";").alias("reasons"), "rank")
+    return found.select("query_id", "key", "method_id", "score", "source", F.array_join("reasons", ";").alias("reasons"), F.col("rank").cast("int").alias("rank"))
 
 
 # --- Levels: every third vector is a document, the next two its paragraph and sentence
