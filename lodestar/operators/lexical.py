@@ -121,21 +121,45 @@ def _idf(docs: Docs, tokens: Tokens, posted: DataFrame) -> DataFrame:
     return frequencies(posted).crossJoin(F.broadcast(corpus_size(docs))).select("term", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-def bm25_scores(docs: Docs, queries: DataFrame, b: float = 0.75, k1: float = 1.5, tokens: Tokens = T.compound_tokens) -> DataFrame:
-    """All positive scores as ``query_id, doc_id, score``."""
+def _bm25_weights(posted: DataFrame, sizes: DataFrame, b: float, k1: float, share: float) -> tuple[DataFrame, DataFrame]:
+    """Of each term ``term, idf, common`` (in more than a share of documents), and of each posting ``doc_id, term, w, common``."""
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b between 0 and 1")
-    asked = query_terms(queries, tokens)
-    posted, sizes = _posted(docs, tokens, asked)
-    weighed = posted.join(frequencies(posted), "term").crossJoin(F.broadcast(sizes))
+    terms = frequencies(posted).crossJoin(F.broadcast(sizes)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), (F.col("df") > F.lit(share) * F.col("n")).alias("common"), "avg_dl")
     norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avg_dl"))
-    weighed = weighed.select("doc_id", "term", (idf(F.col("n"), F.col("df")) * F.col("tf") * F.lit(k1 + 1) / norm).alias("w"))
+    return terms, posted.join(terms, "term").select("doc_id", "term", (F.col("idf") * F.col("tf") * F.lit(k1 + 1) / norm).alias("w"), "common")
+
+
+def bm25_scores(docs: Docs, queries: DataFrame, b: float = 0.75, k1: float = 1.5, tokens: Tokens = T.compound_tokens) -> DataFrame:
+    """All positive scores as ``query_id, doc_id, score``."""
+    asked = query_terms(queries, tokens)
+    _, weighed = _bm25_weights(*_posted(docs, tokens, asked), b, k1, 1.0)
     scored = asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score"))
     return scored.where("score > 0")
 
 
-def bm25(docs: Docs, queries: DataFrame, k: int = 20, b: float = 0.75, k1: float = 1.5, tokens: Tokens = T.compound_tokens) -> DataFrame:
-    return top_k(bm25_scores(docs, queries, b, k1, tokens), k)
+def bm25(docs: Docs, queries: DataFrame, k: int = 20, b: float = 0.75, k1: float = 1.5, tokens: Tokens = T.compound_tokens, share: float = 0.1) -> DataFrame:
+    """The best k of each query, without scoring every document that shares but common terms with it.
+
+    Rare terms are scored first. A query whose common terms (those in more than a ``share`` of documents) cannot come to
+    what its k-th document has by rare terms is closed: its common terms only add to documents that it has met. For
+    the others, common terms are joined as all terms are. The result is that of `bm25_scores`.
+    """
+    asked = query_terms(queries, tokens)
+    terms, weighed = _bm25_weights(*_posted(docs, tokens, asked), b, k1, share)
+    part = F.sum(F.col("qf") * F.col("w")).alias("part")
+    rare = asked.join(weighed.where("not common"), "term").groupBy("query_id", "doc_id").agg(part)
+    common = asked.join(terms.where("common").select("term", "idf"), "term")
+    most = common.groupBy("query_id").agg(F.sum(F.col("qf") * F.col("idf") * F.lit(k1 + 1)).alias("most"))
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("part").desc()))
+    floors = rare.withColumn("at", at).where(F.col("at") <= k).where(F.col("at") == k).select("query_id", F.col("part").alias("floor"))
+    closed = most.join(floors, "query_id").where(F.col("most") < F.col("floor") - F.lit(1e-5)).select("query_id")
+    frequent = weighed.where("common").select("doc_id", "term", "w")
+    opened = common.join(closed, "query_id", "left_anti").join(frequent, "term").groupBy("query_id", "doc_id").agg(part)
+    met = rare.join(closed, "query_id", "left_semi").select("query_id", "doc_id").join(common.select("query_id", "term", "qf"), "query_id")
+    added = met.join(frequent, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(part)
+    scored = rare.unionByName(opened).unionByName(added).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return top_k(scored.where("score > 0"), k)
 
 
 def tfidf(docs: Docs, queries: DataFrame, k: int = 5, aliases: DataFrame | None = None, rules: DataFrame | None = None, tokens: Tokens = T.long_tokens) -> DataFrame:
