@@ -38,6 +38,20 @@ def test_index_is_built_once(spark, docs, monkeypatch):
     assert lexical.bm25(none, asked).count() == 0 and lexical.lengths(lexical.Index(none)).first()["n"] == 0
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 1.0])
+def test_common_terms_are_bounded(spark, share):
+    """The best k are those of all scores, whichever terms count as common: closed queries, open ones, and ones of common terms only."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)]
+    odds = 1 / np.arange(1, 61)
+    rows = [(i, " ".join(rng.choice(words, 12, p=odds / odds.sum()))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(rng.choice(words, 4))) for q in range(20)] + [(90, "w0 w1"), (91, "w0 w59 w58"), (92, "none")], "query_id long, query string")
+    index = lexical.Index(docs)
+    want = lexical.top_k(lexical.bm25_scores(index, asked), 5)
+    assert sorted(map(tuple, lexical.bm25(index, asked, 5, share=share).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_aliases_by_profile_as_brute_force(spark):
     """The first documents of each profile stand for the rest of it: the same top k as all pairs give."""
     rng = np.random.default_rng(5)
