@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, langid, line_dedup, mixing, simhash
-from lodestar.llm.common import stored, table
+from lodestar.llm.common import small_batches, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the model can tell, learned from the labelled ones of the usual folds."""
+    small_batches(spark)
     learned = docs.where(langid.fold(F.col("doc_id")) != 2).select("doc_id", "text", "lang")
     return langid.keep_known(docs, langid.fit(learned, bpe.vocabulary("piece_bpe_32k.model")))
 
@@ -24,6 +25,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return simhash.near_copies(docs)
 
 
@@ -34,6 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the SHA-256 of what they decode to."""
+    small_batches(spark)
     return bpe.tokens(docs, bpe.vocabulary())
 
 

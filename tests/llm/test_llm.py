@@ -7,6 +7,8 @@ import itertools
 import json
 import re
 import struct
+import tracemalloc
+import types
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -590,6 +592,24 @@ def test_long_words_merge_alike():
         bpe_worker.SCAN = 96
 
 
+def test_tokens_in_little_memory(spark):
+    """The pipeline's encoder, which meets more words than it may remember, stays small, and gives the same ids."""
+    texts = [" ".join(f"w{i:x}" for i in range(at, at + 1_000)) for at in range(0, 300_000, 1_000)]
+    batch = bpe_worker.pa.RecordBatch.from_pydict({"doc_id": [*range(300)], "lang": ["en"] * 300, "source": ["s"] * 300, "text": texts})
+    sent = types.SimpleNamespace(value=bpe_worker.compact(bpe.vocabulary()))
+    few = bpe_worker.Encoder(sent.value, 1_000)
+    want = bpe_worker.Encoder(sent.value)
+    assert all(few.encode(t) == want.encode(t) for t in texts[:5])
+    assert len(few.runs.new) <= 1_000 and len(few.words.new) <= 1_000
+    del few, want
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in bpe_worker.token_batches(sent)([batch])) == 300
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+
+
 # --- 10
 
 
