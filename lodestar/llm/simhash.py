@@ -22,6 +22,8 @@ HOT_BUCKET = 400
 HOT_ROWS = 2_000
 #: Compressed bytes up to which a side is broadcast; beyond it, Spark shuffles both.
 BROADCAST_BYTES = 32 << 20
+#: Texts of each side of a block of pairs that are verified together.
+SIDE = 256
 
 
 def _signed(x: int) -> int:
@@ -112,13 +114,23 @@ ORDER_DOCS, ORDER_SHINGLES = 16_384, 1 << 18
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, words: int, likeness: float) -> DataFrame:
-    """Those of the stored pairs ``a, b`` of nodes whose sets of shingles have the likeness."""
-    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    # Texts move, and not their shingles, which take more bytes.
-    texts = stored(rows.join(small(wanted, BROADCAST_BYTES), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    found = both.select("a", "b", "ta", "tb").mapInArrow(simhash_worker.jaccard_batches(words), "a long, b long, likeness double")
-    return found.where(F.col("likeness") >= likeness).select("a", "b")
+    """Those of the stored pairs ``a, b, spot`` of nodes whose sets of shingles have the likeness.
+
+    Pairs of one ``spot`` are verified together, in blocks of about SIDE texts a side, so that a text is moved and cut
+    into shingles once a block and not once a pair: pairs may grow as the square of a group of copies, texts do not.
+    """
+    sides = pairs.groupBy("spot").agg(*[F.ceil(F.count_distinct(c) / SIDE).cast("int").alias(f"n{c}") for c in "ab"])
+    # One block for most spots; a spot of many texts is cut by hash, into na x nb blocks.
+    wide = stored(sides.where("na > 1 or nb > 1").select(F.col("spot").alias("wide"), "na", "nb"), "wide")
+    cut = pairs.join(small(wide, BROADCAST_BYTES), F.col("spot") == F.col("wide"), "left") if wide.limit(1).count() else pairs.withColumn("na", F.lit(1)).withColumn("nb", F.lit(1))
+    part = [F.pmod(F.xxhash64(c), F.coalesce(f"n{c}", F.lit(1))) for c in "ab"]
+    placed = stored(cut.select("a", "b", F.xxhash64("spot", *part).alias("block")), "placed")
+    wanted = stored(placed.select("block", F.col("a").alias("node")).union(placed.select("block", "b")).distinct(), "wanted")
+    known = rows.join(small(wanted.select("node").distinct(), BROADCAST_BYTES), "node", "left_semi").dropDuplicates(["node"])
+    texts = wanted.join(stored(known, "texts"), "node").select("block", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    both = texts.unionByName(placed.select("block", "a", "b", F.lit(None).cast("string").alias("text")))
+    # Texts come before the pairs of their block.
+    return both.repartition("block").sortWithinPartitions("block", F.col("b").asc_nulls_first()).mapInArrow(simhash_worker.block_batches(words, likeness), "a long, b long")
 
 
 def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -127,7 +139,7 @@ def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def met_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of ``rows(node, text)`` that covering tables bring together: of the first of each of its buckets and the one before it there, a node goes with the nearest.
+    """Pairs ``a, b, spot`` of ``rows(node, text)`` that covering tables bring together: of the first of each of its buckets and the one before it there, a node goes with the nearest.
 
     That is a pair a node at most, whatever the buckets' sizes; what it leaves apart is for `prefixes` to find.
     """
@@ -143,7 +155,8 @@ def met_pairs(rows: DataFrame) -> DataFrame:
     for side in "ab":
         pairs = pairs.join(small(prints, BROADCAST_BYTES).select(F.col("node").alias(side), F.col("fps").alias(f"f{side}")), side)
     bits = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return stored(pairs.select("b", F.struct(bits.alias("bits"), "a").alias("near")).groupBy("b").agg(F.min("near").alias("near")).select("near.a", "b"), "close")
+    near = pairs.select("b", F.struct(bits.alias("bits"), "a").alias("near")).groupBy("b").agg(F.min("near").alias("near"))
+    return stored(near.select("near.a", "b", F.col("near.a").alias("spot")), "close")
 
 
 def _order(rows: DataFrame, words: int) -> tuple[bytes, bytes]:
@@ -184,7 +197,7 @@ def _reach(common: str, m: str, n: str, likeness: float) -> Column:
 
 
 def hub_pairs(mixed: DataFrame, likeness: float) -> DataFrame:
-    """Pairs ``a, b``: each node with the hub that it meets under most keys, in another component.
+    """Pairs ``a, b, spot``: each node with the hub that it meets under most keys, in another component.
 
     The hub of a key is the node with the most shared keys in all: of a text and many edited copies it is the text, as
     a copy's edits are its own. So such groups are linked at one pair a member.
@@ -194,20 +207,22 @@ def hub_pairs(mixed: DataFrame, likeness: float) -> DataFrame:
     hubs = rows.groupBy("key").agg(F.max_by(F.struct("node", "root", "size"), F.struct("met", "node")).alias("hub"))
     met = rows.join(hubs, "key").where(F.col("root") != F.col("hub.root")).groupBy("node", "size", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")).agg(F.count("*").alias("keys"))
     best = met.where(_reach("keys", "size", "hub_size", likeness)).groupBy("node").agg(F.max_by("hub", F.struct("keys", "hub")).alias("hub"))
-    return stored(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hubs")
+    pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "hub")
+    return stored(pairs.groupBy("a", "b").agg(F.min("hub").alias("spot")), "hubs")
 
 
 def unmet_pairs(mixed: DataFrame, likeness: float) -> DataFrame:
-    """Pairs ``a, b`` in different components that may have the likeness; none that has it is left out.
+    """Pairs ``a, b, spot`` in different components that may have the likeness; none that has it is left out.
 
     A pair has as much in common as its prefixes have, and at most all that comes after one of them. Keys of a single
-    component, whose pairs are linked already, are not in ``mixed``.
+    component, whose pairs are linked already, are not in ``mixed``. The spot is the least key that a pair shares: copies
+    of one text share many, so theirs are few.
     """
     x = mixed.select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("m"))
     y = mixed.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("n"))
     fits = F.least("m", "n") >= likeness * F.greatest("m", "n") - 1e-6
-    found = x.join(y, "key").where("x < y and rx <> ry").where(fits).groupBy("x", "y", "m", "n").agg(F.count("*").alias("common"))
-    return stored(found.where(_reach("common", "m", "n", likeness)).select(F.col("x").alias("a"), F.col("y").alias("b")), "unmet")
+    found = x.join(y, "key").where("x < y and rx <> ry").where(fits).groupBy("x", "y", "m", "n").agg(F.count("*").alias("common"), F.min("key").alias("spot"))
+    return stored(found.where(_reach("common", "m", "n", likeness)).select(F.col("x").alias("a"), F.col("y").alias("b"), "spot"), "unmet")
 
 
 def copy_groups(rows: DataFrame, words: int = 5, likeness: float = 0.8) -> DataFrame:

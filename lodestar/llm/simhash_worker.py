@@ -154,16 +154,29 @@ def prefix_batches(words: int, likeness: float, sent):
     return run
 
 
-def jaccard_batches(words: int):
-    """Columns in: a, b, ta, tb. Out: a, b and the likeness of the two texts' sets of shingles; 1 for two empty sets."""
+def block_batches(words: int, likeness: float):
+    """Rows block, a, b, text, by block: first its texts (a is the node, b null), then its pairs. Out: the pairs a, b whose sets of shingles have the likeness; two empty sets have it.
+
+    The sets of one block are held, and dropped with it.
+    """
 
     def run(batches):
+        block, sets = None, {}
         for batch in pieces(batches):
             out = []
-            for a, b in zip(batch.column("ta"), batch.column("tb")):
-                x, y = (set(shingle_hashes(t.as_py(), words)) for t in (a, b))
-                both = len(x & y)
-                out.append(both / (len(x) + len(y) - both) if x or y else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "likeness"])
+            for at, a, b, text in zip(batch.column("block").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text")):
+                if at != block:
+                    block, sets = at, {}
+                if b is None:
+                    sets[a] = np.unique(np.asarray(shingle_hashes(text.as_py(), words), dtype=np.uint64))
+                    continue
+                x, y = sets[a], sets[b]
+                if min(len(x), len(y)) < likeness * max(len(x), len(y)) - 1e-6:
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                either = len(x) + len(y) - both
+                if not either or both / either >= likeness:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
     return run

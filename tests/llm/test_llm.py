@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import ann, bpe, bpe_worker, fingerprint, graph, langid, line_dedup, mixing, queries, secrets, secrets_worker, sharding, simhash, substring, substring_worker
+from lodestar.llm import ann, bpe, bpe_worker, fingerprint, graph, langid, line_dedup, mixing, queries, secrets, secrets_worker, sharding, simhash, simhash_worker, substring, substring_worker
 from tests.compare import oracle, rows
 
 SF = "/root/testdata/sf0.001"
@@ -510,6 +510,29 @@ def test_near_copies_in_crowded_buckets(spark):
     assert _kept(spark, every) == sorted(set(_groups(every)))
 
 
+def test_pairs_are_verified_by_blocks(spark, monkeypatch):
+    """All pairs of a group of copies are verified, and each text is cut into shingles once a block, not once a pair."""
+    rng = np.random.default_rng(15)
+    text = " ".join(f"w{j}" for j in range(100))
+    every = [text, *[_edited(rng, text, int(e)) for e in rng.integers(1, 6, 119)], "", "one"]
+    rows = spark.createDataFrame([*enumerate(every)], "node long, text string")
+    pairs = spark.createDataFrame([(a, b, a % 2 if b == 121 else 0) for a, b in itertools.combinations(range(122), 2)], "a long, b long, spot long")
+    cut, plain = spark.sparkContext.accumulator(0), simhash_worker.shingle_hashes
+
+    def counted(text, words, seed=42):
+        cut.add(1)
+        return plain(text, words, seed)
+
+    monkeypatch.setattr(simhash_worker, "shingle_hashes", counted)
+    sets = [set(plain(t, 5)) for t in every]
+    want = {(a, b) for a, b in itertools.combinations(range(122), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    for side, most in ((simhash.SIDE, 2 * 122), (30, 10 * 122)):
+        monkeypatch.setattr(simhash, "SIDE", side)
+        before = cut.value
+        found = [(r["a"], r["b"]) for r in simhash._alike(simhash.stored(pairs, "pairs"), rows, 5, 0.8).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 100 and cut.value - before <= most
+
+
 def test_near_copies_of_clashing_columns(spark):
     names = ["doc_id", "text", "_id", "_of", "_node", "is_first", "row", "id", "node", "gone_id", "gone_node", "n", "root"]
     df = spark.createDataFrame([(i, "one two" if i < 2 else "three", *[None] * 11) for i in (0, 1, 2, 2)], ", ".join(f"{n} long" if n != "text" else "text string" for n in names))
