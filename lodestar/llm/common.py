@@ -76,7 +76,7 @@ def small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= limit else df
 
 
-def small_batches(spark: SparkSession, rows: int = 4_000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Arrow batches of that many rows for the session, unless it has a setting other than Spark's: 10,000 whole texts take some 18 MB each in the JVM's buffers and in a worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":

@@ -708,6 +708,20 @@ def test_spans_of_long_texts_merge_in_one_pass():
 # --- Pipeline
 
 
+def test_pipeline_moves_texts_in_small_batches(spark):
+    """A session with Spark's 10,000 rows an Arrow batch gets fewer; one with its own number keeps it."""
+    name, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for given, wanted in (("10000", 1_000), ("3000", 3_000)):
+            spark.conf.set(name, given)
+            docs = spark.range(0, 3_500, 1, 1).selectExpr("id doc_id", "'one' text", "'en' lang", "'s' source")
+            corpus_pipeline.bpe_encode(spark, docs, SF)
+            sizes = docs.mapInArrow(lambda batches: (bpe_worker.pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+            assert max(r["n"] for r in sizes) == wanted
+    finally:
+        spark.conf.set(name, was)
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "source_mix", "bpe_encode"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
