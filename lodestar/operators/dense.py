@@ -17,10 +17,11 @@ from ..functions import text as T
 from ..functions.vectors import cosine
 from ..sources import store
 from ..sources.stage import staged
+from .forward import CELLS, first_of_rows
 from .lexical import Tokens, top_k
 
-#: Bytes of the queries that go out together, and cells of a product that a task holds at once (32 MB).
-BLOCK_BYTES, CELLS = 64 << 20, 1 << 22
+#: Bytes of the queries that go out together.
+BLOCK_BYTES = 64 << 20
 
 
 def blocks(queries: DataFrame, *more: str) -> Iterator[Broadcast]:
@@ -98,17 +99,6 @@ def _search(k: int, id_type: pa.DataType):
     return of
 
 
-def first_of_rows(score: np.ndarray, place: np.ndarray, k: int, fits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest scores of each row, ties by place; where ``fits``, if it is given."""
-    least = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
-    row, column = np.nonzero((score >= least) if fits is None else (score >= least) & fits)
-    order = np.lexsort((place[column], -score[row, column], row))
-    row, column = row[order], column[order]
-    starts = np.searchsorted(row, np.arange(len(score)))
-    keep = np.arange(len(row)) - starts[row] < k
-    return row[keep], column[keep]
-
-
 def hash_embeddings(docs: DataFrame, dim: int = 256, tokens: Tokens = T.compound_tokens) -> DataFrame:
     """``doc_id, vec``: feature-hashed texts of length 1. Only the distinct terms cross to Python for their BLAKE2b places."""
     rows = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))

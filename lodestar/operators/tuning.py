@@ -19,9 +19,9 @@ from .lexical import Docs, Index, Tokens, bm25, corpus_size, frequencies, postin
 def corpus_signals(docs: Docs, tokens: Tokens = T.plain_tokens) -> DataFrame:
     """One row: mean and sample deviation of lengths, size, share of common terms, vocabulary per token, share of short texts."""
     index = docs if isinstance(docs, Index) else Index(docs)
-    sizes = index.rows(tokens).where("term is null").select(F.col("dl").alias("n"), F.explode(F.sequence(F.lit(1), F.col("tf").cast("int"))))
+    sizes = index.rows(tokens).select(F.col("dl").alias("n"))
     whole = sizes.agg(F.count("*").alias("corpus_size"), F.avg("n").alias("m"), F.stddev_samp("n").alias("sd"), F.sum("n").alias("total"), F.avg((F.col("n") < 200).cast("double")).alias("short"))
-    seen = frequencies(postings(index, tokens)).crossJoin(F.broadcast(corpus_size(index).withColumnRenamed("n", "size")))
+    seen = index.frequencies(tokens).crossJoin(F.broadcast(corpus_size(index).withColumnRenamed("n", "size")))
     terms = seen.agg(F.count("*").alias("vocabulary"), F.avg((F.col("df") > F.col("size") * 0.1).cast("double")).alias("common"))
     both = whole.crossJoin(terms)
     lone = F.col("corpus_size") == 1

@@ -150,7 +150,7 @@ def step(name: str):
 
 
 def _scored(c: Context) -> DataFrame:
-    rows = c.evidence.join(c.docs.select("doc_id", "text"), "doc_id")
+    rows = lexical.of_documents(c.evidence, c.docs, "text")
     score = T.complexity(T.complexity_parts(F.col("text")))
     votes = T.panel_votes(F.col("text"))
     rows = rows.withColumn("complexity_score", F.bround(score, 4)).withColumn("votes", F.struct(*(v.alias(k) for k, v in votes.items()))).drop("text")
@@ -276,7 +276,7 @@ def _rerank(c):
         return c
     rows = c.evidence
     pairs = rows.where(F.coalesce("routing", F.lit("standard")) != "fast") if "routing" in rows.columns else rows
-    sent = pairs.select("query_id", "doc_id").join(c.queries, "query_id").join(c.docs.select("doc_id", "text"), "doc_id")
+    sent = lexical.of_documents(pairs.select("query_id", "doc_id").join(c.queries, "query_id"), c.docs, "text")
     rows = rows.join(c.reranker(sent).select("query_id", "doc_id", "reranked"), ["query_id", "doc_id"], "left")
     return replace(c, evidence=fusion.blended(rows, F.coalesce("reranked", "score"), c.strategy.blend).drop("reranked"))
 
@@ -305,7 +305,7 @@ def _confidence(c):
 
 @step("citation_grounding")
 def _grounding(c):
-    rows = c.evidence.join(c.docs.select("doc_id", "source"), "doc_id")
+    rows = lexical.of_documents(c.evidence, c.docs, "source")
     found = verify.grounded(rows, rows, c.queries, required=False).select("query_id", "grounded")
     return replace(c, queries=c.queries.drop("grounded").join(found, "query_id"))
 
@@ -313,7 +313,7 @@ def _grounding(c):
 @step("generation")
 def _generate(c):
     """Answers by ``generator``, which takes query_id, prompt and adds ``answer``; template answers where it has none, or isn't given."""
-    rows = c.evidence.join(c.docs.select("doc_id", "title", "text"), "doc_id")
+    rows = lexical.of_documents(c.evidence, c.docs, "title", "text")
     if c.generator is not None:
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
         said = c.generator(answers.prompts(rows, c.queries.select("query_id", "query"), contracts="contract" in rows.columns)).select("query_id", F.col("answer").alias("said"))
@@ -324,7 +324,7 @@ def _generate(c):
 
 @step("etf_verification")
 def _tension(c):
-    rows = c.evidence.join(c.docs.select("doc_id", "text"), "doc_id")
+    rows = lexical.of_documents(c.evidence, c.docs, "text")
     return replace(c, queries=c.queries.join(verify.tension(c.queries.select("query_id", "answer"), rows), "query_id"))
 
 
@@ -349,7 +349,7 @@ def answer(docs: DataFrame, queries: DataFrame, limit: int = 5, strategy: str =
     """
     asked = queries.select("query_id", F.trim("query").alias("query")).where(F.length("query").between(1, Q.MOST_CHARS))
     c = run(Context(docs, asked, limit, STRATEGIES[strategy], **parts), tuple("sparse_bm25 dense_vector rrf_fusion confidence_scoring citation_grounding generation".split()))
-    cited = answers.citations(c.evidence.join(docs.select("doc_id", "source", "text"), "doc_id"))
+    cited = answers.citations(lexical.of_documents(c.evidence, docs, "source", "text"))
     listed = cited.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("score", "doc_id", "source", "excerpt")), False).alias("citations"))
     return c.queries.join(listed, "query_id", "left").select("query_id", "answer", "confidence", "grounded", Q.simple_type(F.col("query")).alias("kind"), "citations")
 

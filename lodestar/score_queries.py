@@ -60,8 +60,11 @@ _seeded = f"text || ' ' || array_to_string(list_transform(range(doc_id % 9), lam
 PANEL_SQL = f"{COMPLEXITY_SQL}, v AS (SELECT *, {_votes} FROM (SELECT x.doc_id, x.score, {PLAIN.format(_seeded)} AS t FROM x JOIN documents USING (doc_id)))"
 
 
-def voted(spark, d):
+def voted(spark, d, held=None):
+    """Votes and complexity of all documents, or of those of a ``doc_id`` table."""
     docs = documents(spark, d)
+    if held is not None:
+        docs = docs.join(lexical.near(held.select("doc_id").distinct()), "doc_id", "left_semi")
     words = F.array(*map(F.lit, WORDS))
     picks = F.transform(F.sequence(F.lit(0), F.col("doc_id") % 9), lambda i: F.element_at(words, (1 + (F.col("doc_id") * 7 + i * i) % len(WORDS)).cast("int")))
     seeded = F.concat_ws(" ", "text", F.array_join(F.slice(picks, F.lit(1), (F.col("doc_id") % 9).cast("int")), " "))
@@ -99,8 +102,9 @@ _factor = "CASE WHEN accuracy_criticality >= 0.82 AND reproducibility < 0.7 THEN
     reranked_sql(f"ev.score * {_factor}", f"JOIN (SELECT *, {_storage} AS st FROM v) v USING (doc_id)", before=EVIDENCE_SQL + ", " + PANEL_SQL.removeprefix("WITH "), columns=", ev.score AS pre_filter_score")
 )
 def selective_filter(spark, d):
-    scored = voted(spark, d).select("doc_id", F.col("accuracy_criticality").alias("accuracy"), "reproducibility", T.panel_storage(_v(), F.col("score")).alias("store_score"))
-    return ranked(fusion.selective_filter(evidence(spark, d).join(scored, "doc_id")), "pre_filter_score")
+    found = evidence(spark, d)
+    scored = voted(spark, d, found).select("doc_id", F.col("accuracy_criticality").alias("accuracy"), "reproducibility", T.panel_storage(_v(), F.col("score")).alias("store_score"))
+    return ranked(fusion.selective_filter(found.join(lexical.near(scored), "doc_id")), "pre_filter_score")
 
 
 @query("SELECT doc_id, 'doc_' || substr(sha256(encode(source) || '\\x00'::BLOB || encode(text)), 1, 16) AS id FROM documents")
@@ -341,7 +345,7 @@ m AS (SELECT query_id, count(*) FILTER (WHERE NOT EXISTS (FROM ev WHERE ev.query
 SELECT item_id AS query_id, coalesce(missing = 0, false) AS grounded, CAST(coalesce(missing, 0) AS BIGINT) AS n_missing FROM benchmark LEFT JOIN m ON item_id = query_id"""
 )
 def citations_grounded(spark, d):
-    held = evidence(spark, d).join(documents(spark, d).select("doc_id", "source"), "doc_id")
+    held = lexical.of_documents(evidence(spark, d), documents(spark, d), "source")
     cited = held.where("rank <= 3 and query_id % 5 <> 0").withColumn("doc_id", F.when((F.col("query_id") % 3 == 0) & (F.col("rank") == 2), F.lit(-1).cast("long")).otherwise(F.col("doc_id")))
     return verify.grounded(cited, held, asked(spark, d))
 
@@ -358,7 +362,7 @@ SELECT query_id, round(share, 6) AS sovereignty, CAST(round(skeptic, 6) AS DOUBL
 )
 def tension(spark, d):
     said = asked(spark, d).select("query_id", F.concat(F.when(F.col("query_id") % 2 == 0, "In general, more or less: ").otherwise(""), "query").alias("answer"))
-    return verify.tension(said, evidence(spark, d).join(documents(spark, d).select("doc_id", "text"), "doc_id"))
+    return verify.tension(said, lexical.of_documents(evidence(spark, d), documents(spark, d), "text"))
 
 
 GOLDEN_SQL = f"""{EVIDENCE_SQL}, r AS (SELECT query_id, list(source ORDER BY rank) AS retrieved FROM ev JOIN documents USING (doc_id) GROUP BY query_id),
@@ -367,7 +371,7 @@ w AS (SELECT *, list_distinct(list_transform(want, lambda x: lower(x))) AS wn FR
 
 
 def golden(spark, d):
-    found = evidence(spark, d).join(documents(spark, d).select("doc_id", "source"), "doc_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]).alias("retrieved"))
+    found = lexical.of_documents(evidence(spark, d), documents(spark, d), "source").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]).alias("retrieved"))
     rows = asked(spark, d).join(found, "query_id", "left")
     want = F.when(F.col("query_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("SRC"), F.col("query_id") % 20), F.concat(F.lit("src"), F.col("query_id") * 3 % 20)))
     terms = F.concat(F.slice(T.found(F.col("query"), "[A-Za-z]+"), 1, 3), F.when(F.col("query_id") % 4 == 0, F.array(F.lit("zzz"))).otherwise(F.array().cast("array<string>")))
@@ -414,7 +418,7 @@ def ndcg_mrr(spark, d):
 
 @query(f"{EVIDENCE_SQL}, l AS (SELECT query_id, count(*) AS n, string_agg(CASE WHEN rank <= 3 THEN '- ' || substr(text, 1, 60) || ': ' || substr(text, 1, 180) END, chr(10) ORDER BY rank) AS lines FROM ev JOIN documents USING (doc_id) GROUP BY query_id), s AS (SELECT item_id, CASE WHEN len(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS shown FROM benchmark) SELECT item_id AS query_id, CASE WHEN n IS NULL THEN 'No cited evidence found for: ' || shown ELSE 'Retrieved ' || n || ' cited evidence item(s) for: ' || shown || chr(10) || lines END AS answer FROM s LEFT JOIN l ON item_id = query_id")
 def template_answers(spark, d):
-    held = evidence(spark, d).join(documents(spark, d).select("doc_id", "title", "text"), "doc_id")
+    held = lexical.of_documents(evidence(spark, d), documents(spark, d), "title", "text")
     return answers.template_answers(held, asked(spark, d))
 
 
@@ -424,7 +428,7 @@ l AS (SELECT query_id, string_agg('[' || rank || '] Source: ' || title || chr(10
 SELECT item_id AS query_id, 'Evidence:' || chr(10) || coalesce(block, '(none)') || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer from the evidence above, and cite its numbers in brackets.' AS prompt FROM benchmark LEFT JOIN l ON item_id = query_id"""
 )
 def prompts(spark, d):
-    return answers.prompts(evidence(spark, d).join(documents(spark, d).select("doc_id", "title", "text"), "doc_id"), asked(spark, d))
+    return answers.prompts(lexical.of_documents(evidence(spark, d), documents(spark, d), "title", "text"), asked(spark, d))
 
 
 # --- Graph: parts as methods, brands as families
@@ -584,7 +588,7 @@ pick AS (SELECT query_id, 0 AS step, CAST([] AS BIGINT[]) AS got, CAST([] AS VAR
 SELECT pick.query_id, pick.doc_id, c.score, CAST(step AS INT) AS rank FROM pick JOIN c ON c.query_id = pick.query_id AND c.doc_id = pick.doc_id WHERE step > 0"""
 )
 def diversified(spark, d):
-    rows = evidence(spark, d).join(documents(spark, d).select("doc_id", F.col("source").alias("domain")), "doc_id")
+    rows = lexical.of_documents(evidence(spark, d), documents(spark, d).withColumn("domain", F.col("source")), "domain")
     return ranked(multiscale.diversify(rows, 5, 0.4))
 
 

@@ -2,6 +2,7 @@
 
 import json
 import threading
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import sensitive
 from lodestar.functions import text as T
 from lodestar.functions import vectors as V
-from lodestar.operators import answers, dense, graph, lexical, multiscale, training, tuning
+from lodestar.operators import answers, dense, forward, graph, lexical, multiscale, training, tuning
 from lodestar.plans import planner
 from lodestar.sources import connectors, files, stage, store, tables
 from lodestar.streaming import state
@@ -244,3 +245,39 @@ def test_scores_without_words(spark):
     got = {r["id"]: r for r in rows.select("id", score.alias("s"), *(v.alias(k) for k, v in T.panel_votes(F.col("text")).items())).collect()}
     assert [got[i]["s"] for i in range(3)] == [0.0] * 3 and got[4]["s"] == pytest.approx(0.10 * 1 / 9 + 0.15 + 0.20 + 0.10 + 0.20)
     assert got[5]["novelty"] == 0.2 and got[5]["accuracy_criticality"] == 0.4 and got[1]["usability"] == 0.0
+
+
+def test_best_of_tasks_as_brute_force(spark, monkeypatch):
+    """Searches that score documents where they are read move no pair of query and document, and find what all pairs give: over several tasks, pieces and blocks of queries, with rare terms of unknown weight, ties and struct ids."""
+    rng = np.random.default_rng(3)
+    odds = 1 / np.arange(1, 401)
+    texts = [" ".join(f"w{i}" for i in rng.choice(400, int(rng.integers(1, 30)), p=odds / odds.sum())) + f" own{n % 50}" for n in range(300)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts + texts[:40])], "doc_id string, text string").repartition(5)
+    asked = spark.createDataFrame([(q, q % 2, " ".join(f"w{i}" for i in rng.integers(0, 400, 6)) + " w0 own1") for q in range(12)], "q int, part int, query string")
+    asked = asked.select(F.struct("q", "part").alias("query_id"), "query")
+    monkeypatch.setattr(lexical, "RARE", 20)
+    monkeypatch.setattr(forward, "BLOCK_TERMS", 20)
+    index = lexical.Index(docs)
+    flat = lambda rows: sorted((*r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in rows)
+    assert flat(lexical.bm25(index, asked, 7).collect()) == flat(lexical.top_k(lexical.bm25_scores(index, asked), 7).collect())
+    n, cut = len(texts) + 40, [t.split() for t in texts + texts[:40]]
+    df = Counter(w for t in cut for w in set(t))
+    weigh = lambda t: {w: c / len(t) * np.log((n + 1) / (df[w] + 0.5)) for w, c in Counter(t).items() if w in df}
+    vectors = [weigh(t) for t in cut]
+    size = lambda v: sum(x * x for x in v.values()) ** 0.5
+    want = []
+    for r in asked.collect():
+        q = weigh(r["query"].split())
+        scores = sorted((-round(sum(x * v.get(w, 0) for w, x in q.items()) / size(q) / size(v), 6), f"d{i}") for i, v in enumerate(vectors))
+        want += [(*r["query_id"], i, -s, at + 1) for at, (s, i) in enumerate(scores[:7]) if s < 0]
+    got = flat(lexical.tfidf(index, asked, 7).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=2e-6)
+    moved = lexical._cosines(index, lexical._asked(asked, T.long_tokens), 7, T.long_tokens).count()
+    assert 12 * 7 <= moved < 12 * 60  # of the 340 documents that each query shares a term with
+
+
+def test_postings_are_not_shuffled(spark):
+    """An index is one pass over the documents, and its searches shuffle no postings."""
+    docs = spark.createDataFrame([(i, f"alpha w{i} w{i % 7}") for i in range(50)], "doc_id long, text string")
+    plan = forward.counted(docs, {0: T.plain_tokens})._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
