@@ -7,6 +7,9 @@ Entries are ``entry_id, level, parent, vec`` (parent null for documents), deriva
 from __future__ import annotations
 
 import hashlib
+import itertools
+import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import questions as Q
 from ..functions.vectors import dot
-from .dense import CELLS, first_of_rows, matrix, over_blocks
+from .dense import matrix, over_blocks
+from .forward import CELLS, first_of_rows, places
 from .lexical import top_k
 
 DERIVATIVE = 0.12
@@ -82,7 +86,7 @@ def _slices(batches, width: int):
 
 
 def similarities(entries: DataFrame, queries: DataFrame, derived: DataFrame | None = None) -> DataFrame:
-    """``query_id, doc_id, level, sim, bonus, both`` for a stated set of queries: of each document's entries of a level the largest similarity, bonus, and sum of them.
+    """``query_id, doc_id, level, sim, bonus, both`` for a stated set of queries: of each document's entries of a level the largest similarity, bonus, and sum of them. These are pairs, so only for tables that bear them.
 
     Blocks of queries multiply Arrow batches of entries, and each batch is reduced to its documents before any row
     leaves it, so that vectors are never carried along with pairs.
@@ -153,34 +157,177 @@ def by_level(entries: DataFrame, queries: DataFrame, derived: DataFrame | None =
     return found.withColumn("rank", F.row_number().over(order)).where("rank <= k").drop("k")
 
 
+class _Spool:
+    """All entries that a task reads: vectors in a file, and of each level the order that has a document's entries together.
+
+    ``docs`` are the documents, by id.
+    """
+
+    def __init__(self, batches, dim: int, boosted: bool):
+        self.file, ids, levels, boosts, self.derived = tempfile.TemporaryFile(), [], [], [], None
+        self.kind, self.n = None, 0
+        for batch in batches:
+            column = batch.column("vec")
+            self.kind = self.kind or (np.float32 if pa.types.is_float32(column.type.value_type) else np.float64)
+            self.file.write(matrix(column, dim).astype(self.kind).tobytes())
+            if "d1" in batch.schema.names:
+                self.derived = self.derived or tempfile.TemporaryFile()
+                moved = np.zeros((batch.num_rows, dim))
+                for name, weight in (("d1", DERIVATIVE), ("d2", DERIVATIVE * 0.6)):
+                    some = np.flatnonzero(batch.column(name).is_valid().to_numpy(zero_copy_only=False))
+                    if len(some):
+                        moved[some] += weight * matrix(batch.column(name).drop_null(), dim)
+                self.derived.write(moved.tobytes())
+            ids.append(batch.column("doc_id"))
+            levels.append(batch.column("level").to_numpy(zero_copy_only=False))
+            if boosted:
+                boosts.append(batch.column("boost").to_numpy(zero_copy_only=False).astype(float))
+            self.n += batch.num_rows
+        if self.n:
+            every = pa.concat_arrays(ids)
+            code = places(every) - 1
+            first = np.unique(code, return_index=True)[1]
+            self.docs, self.dim = every.take(pa.array(first)), dim
+            self.boost = np.concatenate(boosts)[first] if boosted else np.zeros(len(first))
+            self.levels = {}
+            for level in np.unique(levels := np.concatenate(levels)):
+                own = np.flatnonzero(levels == level)
+                own = own[np.argsort(code[own], kind="stable")]
+                held, starts = np.unique(code[own], return_index=True)
+                self.levels[int(level)] = own, held, starts
+
+    def _products(self, file, kind, queries: np.ndarray) -> np.ndarray:
+        file.flush()
+        rows, out = np.memmap(file, kind, "r", shape=(self.n, self.dim)), np.empty((len(queries), self.n))
+        for at in range(0, self.n, step := max(1, CELLS // self.dim)):
+            out[:, at : at + step] = queries @ np.asarray(rows[at : at + step], float).T
+        return out
+
+    def best(self, queries: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By level: the documents that have it, and [query, document] the largest similarity, bonus and sum of them."""
+        sim = self._products(self.file, self.kind, queries)
+        bonus = self._products(self.derived, np.float64, queries) if self.derived else None
+        out = {}
+        for level, (own, held, starts) in self.levels.items():
+            most = lambda x: np.maximum.reduceat(x[:, own], starts, axis=1)  # noqa: E731, B023
+            alone = most(sim)
+            out[level] = (held, alone, np.zeros_like(alone), alone) if bonus is None else (held, alone, most(bonus), most(sim + bonus))
+        return out
+
+
+def _flat(best: dict, spool: _Spool) -> tuple[np.ndarray, np.ndarray]:
+    held, sim, *_ = best.get(2, (np.zeros(0, int),) + (np.zeros((len(next(iter(best.values()))[1]), 0)),) * 3)
+    score = np.full((len(sim), len(spool.docs)), -np.inf)
+    score[:, held] = sim
+    return score, np.isfinite(score)
+
+
+def _reranked(para: float, sent: float, deriv: float) -> Callable:
+    def score(best: dict, spool: _Spool) -> tuple[np.ndarray, np.ndarray]:
+        def at(level: int, which: int) -> np.ndarray:
+            out = np.full((len(next(iter(best.values()))[1]), len(spool.docs)), np.nan)
+            if level in best:
+                out[:, best[level][0]] = best[level][which]
+            return out
+
+        own, paras, sents, bonus = at(2, 1), np.nan_to_num(at(1, 1)), np.nan_to_num(at(0, 1)), np.nan_to_num(at(0, 2))
+        lone = np.isnan(own)
+        if lone.any():
+            n = np.maximum((~lone).sum(1), 1)
+            mean = np.nansum(own, 1) / n
+            bar = mean + 0.5 * np.sqrt(np.nansum((own - mean[:, None]) ** 2, 1) / n)
+            bar[lone.all(1)] = np.inf
+            part = np.maximum(paras, sents)
+            own = np.where(lone, np.where(part > bar[:, None], part * 0.7, part * 0.4), own)
+        return own + paras * para + sents * sent + bonus * deriv + spool.boost, np.ones(own.shape, bool)
+
+    return score
+
+
+def _fused(rrf_k: float) -> Callable:
+    def score(best: dict, spool: _Spool) -> tuple[np.ndarray, np.ndarray]:
+        total = np.zeros((len(next(iter(best.values()))[1]), len(spool.docs)))
+        for held, _, _, both in best.values():
+            order = np.argsort(-np.round(both, 6), axis=1, kind="stable")  # documents are by id, which tells equal ones apart
+            gain = np.empty(both.shape)
+            np.put_along_axis(gain, order, np.broadcast_to(1 / (rrf_k + np.arange(1, both.shape[1] + 1)), both.shape), 1)
+            total[:, held] += gain
+        return total + spool.boost, np.ones(total.shape, bool)
+
+    return score
+
+
+def _group_keys(spark, n: int) -> list[int]:
+    """Whole numbers of which each goes to a partition of its own among n."""
+    found: dict[int, int] = {}
+    at = 0
+    while len(found) < n:
+        for r in spark.range(at, at + 16 * n + 64).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).toLocalIterator():
+            found.setdefault(r["p"], r["id"])
+        at += 16 * n + 64
+    return [found[p] for p in range(n)]
+
+
+def best_documents(entries: DataFrame, queries: DataFrame, ways: dict[str, Callable], derived: DataFrame | None = None, k: int = 10, boosts: DataFrame | None = None) -> DataFrame:
+    """The best k documents of each query by the way of scoring that its column ``way`` names.
+
+    Ranks and means are over all documents of a query, and documents are as many as queries may be: so no pair leaves a
+    task. Each task has a share of the queries and reads all entries (shuffled once a task, of which there are as many
+    as cores); it keeps the vectors in a file and scores some queries at a time, CELLS products at once.
+    """
+    spark, boosted = entries.sparkSession, boosts is not None
+    rows = entries.where("vec is not null").select("entry_id", F.col("level").cast("int").alias("level"), F.coalesce("parent", "entry_id").alias("doc_id"), "vec")
+    if derived is not None:
+        rows = rows.join(derived.select("entry_id", "d1", "d2"), "entry_id", "left")
+    if boosted:
+        rows = rows.join(boosts.groupBy("doc_id").agg(F.max("boost").cast("double").alias("boost")), "doc_id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+    rows = rows.drop("entry_id")
+    kinds = queries.schema["query_id"].dataType, rows.schema["doc_id"].dataType
+    id_type = to_arrow_type(kinds[0])
+    groups = _group_keys(spark, max(1, spark.sparkContext.defaultParallelism))
+    spread = rows.withColumn("_group", F.explode(F.array(*map(F.lit, groups)))).repartition(len(groups), "_group")
+
+    def of(block):
+        def run(batches):
+            first = next(iter(batches := iter(batches)), None)
+            if first is None:
+                return
+            while not first.num_rows:
+                if (first := next(batches, None)) is None:
+                    return
+            ids, q, more = block.value
+            share = groups.index(first.column("_group")[0].as_py())
+            spool = _Spool(itertools.chain([first], batches), q.shape[1], boosted)
+            asked = pa.array(ids, id_type)
+            mine = np.arange(share, len(q), len(groups))
+            own = np.array(more["way"])[mine]
+            for way, score_of in ways.items():
+                which = mine[own == way]
+                for at in range(0, len(which), step := max(1, CELLS // spool.n)):
+                    some = which[at : at + step]
+                    score, fits = score_of(spool.best(q[some]), spool)
+                    score = np.round(score, 6)
+                    row, column = first_of_rows(score, np.arange(len(spool.docs)), k, fits)
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(some[row])), spool.docs.take(pa.array(column)), pa.array(score[row, column])], ["query_id", "doc_id", "score"])
+
+        return run
+
+    found = over_blocks(spread, queries, of, f"query_id {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score double", "way")
+    return top_k(found, k)
+
+
 def reranked(entries: DataFrame, queries: DataFrame, derived: DataFrame | None = None, k: int = 10, para: float = 0.3, sent: float = 0.2, deriv: float = 0.1, boosts: DataFrame | None = None) -> DataFrame:
     """Documents by their own similarity and boosts from their best paragraph, sentence and derivative.
 
     Documents found below level 2 only start from their best part, discounted by how it compares with the documents' mean.
     ``boosts`` is ``doc_id, boost``.
     """
-    rows = similarities(entries, queries, derived)
-    at = lambda n, value: F.max(F.when(F.col("level") == n, F.col(value)))
-    docs = rows.groupBy("query_id", "doc_id").agg(at(2, "sim").alias("own"), at(1, "sim").alias("para"), at(0, "sim").alias("sent"), at(0, "bonus").alias("bonus"))
-    bars = docs.groupBy("query_id").agg((F.avg("own") + F.lit(0.5) * F.stddev_pop("own")).alias("bar"))
-    part = F.greatest(F.coalesce("para", F.lit(0.0)), F.coalesce("sent", F.lit(0.0)))
-    base = F.coalesce("own", F.when(part > F.col("bar"), part * F.lit(0.7)).otherwise(part * F.lit(0.4)))
-    score = base + F.coalesce("para", F.lit(0.0)) * F.lit(para) + F.coalesce("sent", F.lit(0.0)) * F.lit(sent) + F.coalesce("bonus", F.lit(0.0)) * F.lit(deriv)
-    docs = docs.join(bars, "query_id")
-    if boosts is not None:
-        docs = docs.join(boosts, "doc_id", "left")
-        score = score + F.coalesce("boost", F.lit(0.0))
-    return top_k(docs.select("query_id", "doc_id", F.round(score, 6).alias("score")), k)
+    return best_documents(entries, queries.withColumn("way", F.lit("reranked")), {"reranked": _reranked(para, sent, deriv)}, derived, k, boosts)
 
 
 def fused_levels(entries: DataFrame, queries: DataFrame, derived: DataFrame | None = None, k: int = 10, rrf_k: float = 60.0, boosts: DataFrame | None = None) -> DataFrame:
     """Documents by reciprocal ranks over the levels, each ranked by a document's best entry."""
-    best = similarities(entries, queries, derived).select("query_id", "level", "doc_id", F.round("both", 6).alias("sim"))
-    place = F.row_number().over(Window.partitionBy("query_id", "level").orderBy(F.col("sim").desc(), "doc_id"))
-    fused = best.withColumn("r", place).groupBy("query_id", "doc_id").agg(F.sum(1 / (F.lit(rrf_k) + F.col("r"))).alias("score"))
-    if boosts is not None:
-        fused = fused.join(boosts, "doc_id", "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0)))
-    return top_k(fused.select("query_id", "doc_id", F.round("score", 6).alias("score")), k)
+    return best_documents(entries, queries.withColumn("way", F.lit("fused")), {"fused": _fused(rrf_k)}, derived, k, boosts)
 
 
 def metadata_filter(docs: DataFrame, domain=None, journal=None, year_min: int | None = None, year_max: int | None = None, mesh_terms: list[str] | None = None) -> DataFrame:
@@ -279,10 +426,9 @@ def build(docs: DataFrame, embed, adapters: DataFrame | None = None, strength: f
 
 def adaptive(entries: DataFrame, queries: DataFrame, derived: DataFrame | None = None, k: int = 10) -> DataFrame:
     """Documents by each query's kind: documents alone for specifications, fused levels for syntheses, else re-ranked."""
-    flat = top_k(similarities(entries.where("level = 2"), queries.where("kind = 'specification'")).select("query_id", "doc_id", F.round("sim", 6).alias("score")), k)
-    fused = fused_levels(entries, queries.where("kind = 'synthesis'"), derived, k)
-    rest = reranked(entries, queries.where("kind not in ('specification', 'synthesis')"), derived, k)
-    return flat.unionByName(fused).unionByName(rest)
+    way = F.when(F.col("kind") == "specification", "flat").when(F.col("kind") == "synthesis", "fused").otherwise("reranked")
+    ways = {"flat": _flat, "fused": _fused(60.0), "reranked": _reranked(0.3, 0.2, 0.1)}
+    return best_documents(entries, queries.where("kind is not null").withColumn("way", way), ways, derived, k)
 
 
 def statistics(entries: DataFrame) -> DataFrame:

@@ -281,3 +281,62 @@ def test_postings_are_not_shuffled(spark):
     docs = spark.createDataFrame([(i, f"alpha w{i} w{i % 7}") for i in range(50)], "doc_id long, text string")
     plan = forward.counted(docs, {0: T.plain_tokens})._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_levels_without_pairs_as_all_pairs(spark):
+    """Documents of three ways of scoring are those of all pairs: documents without a vector of their own, several parts, ties, derivatives, boosts and text ids."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(40):
+        v = np.round(rng.standard_normal(3), 1)
+        if i % 7:
+            rows.append((f"d{i}", 2, None, v.tolist()))
+        rows += [(f"d{i}_{j}", int(rng.integers(0, 2)), f"d{i}", np.round(rng.standard_normal(3), 1).tolist()) for j in range(i % 5 or not i % 7)]
+    rows += [("e1", 2, None, rows[0][3]), ("e0", 2, None, rows[0][3])]
+    entries = spark.createDataFrame(rows, "entry_id string, level int, parent string, vec array<double>").repartition(3)
+    derived = entries.where("level = 0").select("entry_id", "vec", F.array(*[F.lit(x) for x in (0.5, -0.5, 0.1)]).alias("d2")).withColumnRenamed("vec", "d1")
+    kinds = ["specification", "synthesis", "summary", "logic"]
+    asked = spark.createDataFrame([(q, rng.standard_normal(3).tolist(), kinds[q % 4]) for q in range(21)], "query_id int, vec array<double>, kind string")
+    boosts = spark.createDataFrame([("d3", 0.5), ("d4", -0.2)], "doc_id string, boost double")
+    pairs = multiscale.similarities(entries, asked, derived).toPandas()
+    boost = {"d3": 0.5, "d4": -0.2}
+
+    def want(of, boosted=False):
+        out = {}
+        for q, own in pairs.groupby("query_id"):
+            scores = of(own)
+            ranked = sorted((-round(s + (boost.get(d, 0) if boosted else 0), 6), d) for d, s in scores.items())[:4]
+            out[q] = [(d, round(-s, 6)) for s, d in ranked]
+        return out
+
+    def reranked(own):
+        of = lambda level, c: own[own["level"] == level].set_index("doc_id")[c].to_dict()
+        docs, paras, sents, bonus = of(2, "sim"), of(1, "sim"), of(0, "sim"), of(0, "bonus")
+        bar = np.mean(list(docs.values())) + 0.5 * np.std(list(docs.values()))
+        part = lambda d: max(paras.get(d, 0), sents.get(d, 0))
+        return {d: docs.get(d, part(d) * (0.7 if part(d) > bar else 0.4)) + 0.3 * paras.get(d, 0) + 0.2 * sents.get(d, 0) + 0.1 * bonus.get(d, 0) for d in set(own["doc_id"])}
+
+    def fused(own):
+        out = Counter()
+        for _, level in own.groupby("level"):
+            for r, (_, d) in enumerate(sorted((-round(s, 6), d) for d, s in zip(level["doc_id"], level["both"])), 1):
+                out[d] += 1 / (60 + r)
+        return out
+
+    flat = lambda own: own[own["level"] == 2].set_index("doc_id")["sim"].to_dict()
+
+    def got(df):
+        out = {}
+        for r in sorted(df.collect(), key=lambda r: r["rank"]):
+            out.setdefault(r["query_id"], []).append((r["doc_id"], round(r["score"], 6)))
+        return out
+
+    assert got(multiscale.reranked(entries, asked, derived, 4)) == want(reranked)
+    assert got(multiscale.fused_levels(entries, asked, derived, 4)) == want(fused)
+    assert got(multiscale.reranked(entries, asked, derived, 4, boosts=boosts)) == want(reranked, True)
+    assert got(multiscale.fused_levels(entries, asked, derived, 4, boosts=boosts)) == want(fused, True)
+    mixed = [want(f) for f in (flat, fused, reranked, reranked)]
+    found = multiscale.adaptive(entries, asked, derived, 4)
+    assert got(found) == {q: mixed[q % 4][q] for q in range(21)}
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()  # pairs of query and document are in no table
+    assert multiscale.reranked(entries.limit(0), asked).count() == 0 and multiscale.fused_levels(entries, asked.limit(0)).count() == 0
